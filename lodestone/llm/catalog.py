@@ -5,10 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import splitting, vectors
+from lodestone.llm import leakage, secrets, splitting, vectors
 from lodestone.sources.tables import table
 
 
+def _contents(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, content) of both tables that hold indexed text; key is the table's name, a tab and the id."""
+    parts = [
+        table(spark, folder, t, "id", "content").where("content is not null").select(F.concat(F.lit(t + "\t"), F.col("id")).alias("key"), "content")
+        for t in ("code_chunks", "chunks")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(tab, chunk_id, line_no): lines on which the value of a usable secret begins."""
+    hits = secrets.scan_secrets(_contents(spark, folder), "key", "content")
+    part = F.split("id", "\t", 2)
+    return hits.select(part[0].alias("tab"), part[1].alias("chunk_id"), "line_no")
+
+
+def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """(tab, chunk_id, content): a copy of each content in which every secret is masked and all else is unchanged."""
+    part = F.split("key", "\t", 2)
+    masked = secrets.redact_secrets(_contents(spark, folder), "content")
+    return masked.select(part[0].alias("tab"), part[1].alias("chunk_id"), "content").distinct()
+
+
 def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """(id, neighbour, rank, similarity): the five most similar other records of every usable vector."""
     return vectors.top_k_neighbours(table(spark, folder, "chunks", "id", "vector"))
@@ -33,11 +56,25 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_items(src, "content", "first_line", 2000, 50).where("piece_no = 1").select("chunk_id").distinct()
 
 
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, item_id, words, distance, item_chars, passage) also of passages with up to five edits in each 100 characters."""
+    return leakage.find_leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text"), edits=5, q=12, min_chars=100)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, item_id): documents that share 13 or more consecutive words with an item."""
+    return leakage.find_leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text")).select("doc_id", "item_id")
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
 }
 
 ORACLES = {
