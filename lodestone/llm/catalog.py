@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import leakage, secrets, splitting, vectors
+from lodestone.llm import leakage, residue, secrets, splitting, vectors
 from lodestone.sources.tables import table
 
 
@@ -66,6 +66,22 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.find_leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text")).select("doc_id", "item_id")
 
 
+def p9_residue(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, kind, evidence_words, content_words) of documents without real content."""
+    return residue.find_residue(table(spark, folder, "documents", "doc_id", "text", "repo")).withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id): documents without real content."""
+    return p9_residue(spark, folder).select("doc_id").distinct()
+
+
+def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that remain, null and blank texts included, without redelivered rows."""
+    docs = table(spark, folder, "documents").distinct()
+    return docs.join(p9_found(spark, folder), "doc_id", "left_anti").select("doc_id", "lang", "source", "repo", F.length("text").alias("chars"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
@@ -75,6 +91,9 @@ QUERIES = {
     "p5_pieces": p5_pieces,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p9_found": p9_found,
+    "p9_residue": p9_residue,
+    "p9_kept": p9_kept,
 }
 
 ORACLES = {
