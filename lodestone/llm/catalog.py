@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import leakage, residue, secrets, splitting, vectors
+from lodestone.llm import leakage, residue, secrets, splitting, syntax, vectors
 from lodestone.sources.tables import table
 
 
@@ -56,6 +56,21 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_items(src, "content", "first_line", 2000, 50).where("piece_no = 1").select("chunk_id").distinct()
 
 
+def p6_judged(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, repo, language, ext, judged, cause, line) of each scanned file in a language that has a grammar."""
+    return syntax.judge_files(table(spark, folder, "scanned_files"), table(spark, folder, "code_chunks", "filepath", "startline", "content"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(path): scanned files that break the grammar of their extension's language."""
+    return p6_judged(spark, folder).where("cause is not null").select("path")
+
+
+def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """(repo, language, files, invalid, rate)."""
+    return syntax.rates(p6_judged(spark, folder))
+
+
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, item_id, words, distance, item_chars, passage) also of passages with up to five edits in each 100 characters."""
     return leakage.find_leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text"), edits=5, q=12, min_chars=100)
@@ -89,6 +104,9 @@ QUERIES = {
     "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p6_found": p6_found,
+    "p6_judged": p6_judged,
+    "p6_rates": p6_rates,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p9_found": p9_found,
