@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import leakage, residue, secrets, splitting, syntax, vectors
+from lodestone.llm import leakage, provenance, residue, secrets, splitting, syntax, vectors
 from lodestone.sources.tables import table
 
 
@@ -32,6 +32,16 @@ def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return masked.select(part[0].alias("tab"), part[1].alias("chunk_id"), "content").distinct()
 
 
+def p3_foreign(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, repo, ext, kind) of scanned files that weren't written by hand in this project."""
+    return provenance.find_foreign(table(spark, folder, "scanned_files"), table(spark, folder, "code_chunks", "filepath", "startline", "content"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(path): scanned files that a tool wrote, that were minified or copied in, or that are data in the guise of code."""
+    return p3_foreign(spark, folder).select("path").distinct()
+
+
 def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """(id, neighbour, rank, similarity): the five most similar other records of every usable vector."""
     return vectors.top_k_neighbours(table(spark, folder, "chunks", "id", "vector"))
@@ -100,6 +110,8 @@ def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
+    "p3_found": p3_found,
+    "p3_foreign": p3_foreign,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
