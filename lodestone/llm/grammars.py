@@ -39,6 +39,13 @@ class Language:
             self.code[t] = self.voc.token(t)
         self.enders = frozenset(self.voc.token(t) for t in sets.get("Ender", []))
         self.starters = frozenset(self.voc.token(t) for t in sets.get("Starter", []))
+        lit = {t: re.escape(self.voc.token(t)) for t in "()[]{}"}
+        none = f"([^{''.join(lit.values())}]*)"
+        self._innermost = re.compile("|".join(lit[o] + none + lit[c] for o, c in _OPEN.items()))
+        self._bracket = re.compile(f"[{''.join(lit.values())}]")
+        follow = "[" + "".join(map(re.escape, self.enders)) + "\U00010000-\U0010ffff]"
+        self._no_end = re.compile(f"(?<!{follow})N+|N+(?![{''.join(map(re.escape, self.starters)) or 'N'}])") if self.enders else None
+        self._after_end = re.compile(f"(?<={follow})N+") if self.enders else None
 
     def kind(self, t: str) -> str:
         """The character of a token that isn't a keyword or operator; '' for what doesn't count."""
@@ -54,16 +61,14 @@ class Language:
 
     def codes(self, tokens: list[str]) -> list[str]:
         code, kind = self.code, self.kind
-        out = []
-        for t in tokens:
-            c = code.get(t)
-            if c is None:
-                c = kind(t)
-                if len(t) < 40:
-                    if len(code) > 200_000:
-                        self.forget()
-                    code[t] = c
-            out.append(c)
+        out = list(map(code.get, tokens))
+        for k in [k for k, c in enumerate(out) if c is None]:
+            t = tokens[k]
+            out[k] = c = kind(t)
+            if len(t) < 40:
+                if len(code) > 200_000:
+                    self.forget()
+                code[t] = c
         return out
 
     def forget(self) -> None:
@@ -74,8 +79,32 @@ class Language:
     def lex(self, text: str) -> list[str]:
         return self.rx.findall(text)
 
+    def exact(self, text: str) -> list[str]:
+        """The tokens, one for each code."""
+        return self.lex(text)
+
+    def folded(self, text: str) -> str | None:
+        """The top level's string, or None if brackets don't match: innermost brackets become groups, again and again."""
+        return self.collapse(self.joined(text))
+
+    def joined(self, text: str) -> str:
+        tokens = self.lex(text)
+        return "".join(self.codes(tokens))
+
+    def collapse(self, s: str) -> str | None:
+        group, settle = self.grammar.group, self.settle
+
+        def one(m: re.Match) -> str:
+            k = m.lastindex
+            return group("PKB"[k - 1], settle(m.group(k), "([{"[k - 1]))
+
+        n = 1
+        while n:
+            s, n = self._innermost.subn(one, s)
+        return None if self._bracket.search(s) else settle(s, "")
+
     def fold(self, tokens: list[str], where: list | None = None) -> str | None:
-        """The top level's string, or None if brackets don't match. where: gets for each level its tokens' numbers."""
+        """The same token by token. where: gets for each level its tokens' numbers; stopped: the bracket without a match."""
         codes = self.codes(tokens)
         group = self.grammar.group
         stack: list[tuple[str, list[str], list]] = []
@@ -126,7 +155,7 @@ class Language:
     def failure(self, text: str) -> int | None:
         """The number, from 0, of the token at which parsing got stuck; None if the source is valid."""
         self.grammar.fresh()
-        tokens = self.lex(text)
+        tokens = self.exact(text)
         where: list = []
         top = self.fold(tokens, where)
         if top is None:
@@ -153,7 +182,7 @@ class Language:
 
     def valid(self, text: str) -> bool:
         self.grammar.fresh()
-        top = self.fold(self.lex(text))
+        top = self.folded(text)
         if top is None:
             return False
         ok, _ = self.grammar.parse(self.start, top)
@@ -179,19 +208,8 @@ class LineLanguage(Language):
             return level
         if opener in ("(", "["):
             return level.replace("N", "")
-        out = []
-        prev = ""
-        pending = False
-        for c in level:
-            if c == "N":
-                pending = True
-                continue
-            if pending and prev and self.ends(prev) and self.starts(c):
-                out.append("N")
-            pending = False
-            out.append(c)
-            prev = c
-        return "".join(out)
+        level = self._no_end.sub("", level)
+        return re.sub("NN+", "N", level) if "NN" in level else level
 
     def ends(self, c: str) -> bool:
         return c in self.enders or ord(c) >= 0x10000
@@ -374,7 +392,7 @@ class Script(LineLanguage):
 
     @lru_cache(maxsize=20_000)  # noqa: B019
     def inner_valid(self, e: str) -> bool:
-        top = self.fold(self.lex(e))
+        top = self.folded(e)
         return top is not None and self.grammar.parse("Expr", top)[0]
 
     def lex(self, text: str) -> list[str]:
@@ -382,23 +400,22 @@ class Script(LineLanguage):
             text = text[1:]
         if text.startswith("#!"):
             text = text[text.find("\n") :] if "\n" in text else ""
-        tokens = self.rx.findall(text)
-        if "/" not in text:
-            return tokens
+        return self.rx.findall(text)
+
+    def exact(self, text: str) -> list[str]:
         out = []
-        for t in tokens:
-            # A regular expression literal is lexed together with what must stand before it.
-            if len(t) > 2 and t[0] not in "/\"'`\n" and "/" in t and not t[0] == "#":
-                m = _BEFORE_REGEX.match(t)
-                if m:
-                    out.append(m.group(1))
-                    out.append("/re/")
-                    continue
-            out.append(t)
+        for t in self.lex(text):
+            m = _BEFORE_REGEX.match(t) if len(t) > 2 and t[0] not in "/\"'`\n#" and "/" in t else None
+            out += [m.group(1), "/re/"] if m else [t]
         return out
 
     def kind(self, t: str) -> str:
-        return "x" if t == "/re/" else super().kind(t)
+        if t == "/re/":
+            return "x"
+        # A regular expression literal is lexed together with what must stand before it.
+        m = _BEFORE_REGEX.match(t) if len(t) > 2 and t[0] not in "/\"'`\n#" and "/" in t else None
+        return self.code[m.group(1)] + "x" if m else super().kind(t)
+
 
 
 def _script(ts: bool) -> Script:
@@ -504,18 +521,7 @@ class Go(LineLanguage):
         """Go's rule: a line end after a token that can end a statement is a semicolon."""
         if "N" not in level:
             return level
-        semi = self.voc.token(";")
-        out = []
-        for c in level:
-            if c == "N":
-                if out and out[-1] != semi and self.ends(out[-1]):
-                    out.append(semi)
-            else:
-                out.append(c)
-        # Before the closing bracket the semicolon may be left out; a call's last argument however needs its comma.
-        if out and out[-1] == semi and level[-1] != "N" and False:
-            out.pop()
-        return "".join(out)
+        return self._after_end.sub(self.voc.token(";"), level).replace("N", "")
 
 
 def _go() -> Go:
@@ -752,6 +758,10 @@ Slice <- Expr? ':' Expr? (':' Expr?)? / StarNamed
 """
 
 
+_INDENT = 0xE000
+_LINE_END = re.compile("[\ue000-\uefff]")
+
+
 class Python(Language):
     def special(self, t: str) -> str:
         if t[0] in "\"'" and len(t) > 1:
@@ -759,10 +769,50 @@ class Python(Language):
         return ERROR
 
     def kind(self, t: str) -> str:
+        c = t[0]
+        if c in "\n\r":
+            # A line end carries the next line's indentation.
+            return chr(_INDENT + min(len(t[t.rfind("\n") + 1 :].expandtabs(8)), 0xFFF))
+        if c == "#" or c == "\\" and len(t) > 1:
+            return ""
         if t[-1] in "\"'" and len(t) > 1:
             return "s"
         return super().kind(t)
 
+    def settle(self, level: str, opener: str) -> str:
+        return _LINE_END.sub("", level) if opener else level
+
+    def folded(self, text: str) -> str | None:
+        s = self.collapse(self.joined(text))
+        if s is None:
+            return None
+        group = self.grammar.group
+        blocks: list[tuple[int, list[str]]] = []
+        level: list[str] = []
+        indent = 0
+        parts = _LINE_END.split(s)
+        widths = [0, *map(ord, _LINE_END.findall(s))]
+        for line, width in zip(parts, widths):
+            if not line:
+                continue
+            width = width and width - _INDENT
+            if width > indent:
+                blocks.append((indent, level))
+                level, indent = [], width
+            else:
+                while width < indent:
+                    indent, outer = blocks.pop()
+                    outer.append(group("D", "".join(level)))
+                    level = outer
+                if width != indent:
+                    return None
+            level.append(line + "N")
+        while blocks:
+            indent, outer = blocks.pop()
+            outer.append(group("D", "".join(level)))
+            level = outer
+        return "".join(level)
+
     def fold(self, tokens: list[str], where: list | None = None) -> str | None:
         """Brackets become groups, and so do indented blocks: 'nl' before, an indented group after."""
         group = self.grammar.group

@@ -18,7 +18,7 @@ from collections.abc import Callable
 ROOM = 0x30000
 BASE = {"P": 0x10000, "K": 0x10000 + ROOM, "B": 0x10000 + 2 * ROOM, "D": 0x10000 + 3 * ROOM}
 #: Tokens that a rule's memo by content may read.
-WINDOW = 48
+WINDOW = 64
 ERROR = "\x00"
 
 
@@ -53,7 +53,8 @@ class Grammar:
         self.next = dict(BASE)
         self.whole: dict[tuple[str, str], bool] = {}
         self.far: dict[tuple[str, str], int] = {}
-        self.content: dict[tuple[str, str], tuple[int, int]] = {}
+        self.content: dict[tuple[str, int, str], int] = {}
+        self.lengths: dict[tuple[str, str], list[int]] = {}
         for line in re.sub(r"\n[ \t]+/", " /", text).splitlines():
             line = line.split("  ##")[0].strip()
             if not line:
@@ -79,6 +80,7 @@ class Grammar:
             self.whole.clear()
             self.far.clear()
             self.content.clear()
+            self.lengths.clear()
             self.next = dict(BASE)
 
     def group(self, kind: str, inner: str) -> str:
@@ -119,6 +121,7 @@ class Grammar:
     def _rule(self, name: str, body: Callable) -> Callable:
         by_content = name in self.by_content
         content = self.content
+        lengths = self.lengths
 
         def run(s: str, i: int) -> int:
             memo = self._memo
@@ -130,22 +133,29 @@ class Grammar:
                     self._seen = read
                 return j
             if by_content:
-                window = (name, s[i : i + WINDOW])
-                hit = content.get(window)
-                if hit is not None:
-                    n, read = hit
-                    read += i
-                    j = -1 if n < 0 else i + n
-                    memo[key] = (j, read)
-                    if read > self._seen:
-                        self._seen = read
-                    return j
+                # What a rule reads from here on decides its result; how far it read is known from the same beginning.
+                start = (name, s[i : i + 3])
+                for n in lengths.get(start, ()):
+                    hit = content.get((name, n, s[i : i + n]))
+                    if hit is not None:
+                        j = -1 if hit < 0 else i + hit
+                        read = i + n
+                        memo[key] = (j, read)
+                        if read > self._seen:
+                            self._seen = read
+                        return j
             outer, self._seen = self._seen, i
             j = body(s, i)
             read = self._seen
-            # What a rule read includes a look past the level's end, which the window only shows if it is shorter.
-            if by_content and (read - i <= WINDOW or len(s) - i < WINDOW):
-                content[window] = (-1 if j < 0 else j - i, read - i)
+            # A look past the level's end shows as a slice that is shorter than its length.
+            if by_content and read - i <= WINDOW:
+                n = read - i
+                content[(name, n, s[i : i + n])] = -1 if j < 0 else j - i
+                known = lengths.get(start)
+                if known is None:
+                    lengths[start] = [n]
+                elif n not in known:
+                    known.append(n)
             memo[key] = (j, read)
             if outer > read:
                 self._seen = outer
