@@ -12,6 +12,7 @@ from functools import lru_cache
 from lodestone.llm.peg import ERROR, Grammar, Vocabulary
 
 KINDS = {"ident": "i", "num": "n", "str": "s", "regex": "x", "template": "t", "nl": "N", "annot": "@"}
+_RUN = re.compile("NN+")
 _OPEN = {"(": ")", "[": "]", "{": "}"}
 _GROUP = {"(": "P", "[": "K", "{": "B"}
 
@@ -44,7 +45,7 @@ class Language:
         self._innermost = re.compile("|".join(lit[o] + none + lit[c] for o, c in _OPEN.items()))
         self._bracket = re.compile(f"[{''.join(lit.values())}]")
         follow = "[" + "".join(map(re.escape, self.enders)) + "\U00010000-\U0010ffff]"
-        self._no_end = re.compile(f"(?<!{follow})N+|N+(?![{''.join(map(re.escape, self.starters)) or 'N'}])") if self.enders else None
+        self._no_end = re.compile(f"(?<!{follow})N|N(?![{''.join(map(re.escape, self.starters)) or 'N'}])") if self.enders else None
         self._after_end = re.compile(f"(?<={follow})N+") if self.enders else None
 
     def kind(self, t: str) -> str:
@@ -208,8 +209,9 @@ class LineLanguage(Language):
             return level
         if opener in ("(", "["):
             return level.replace("N", "")
-        level = self._no_end.sub("", level)
-        return re.sub("NN+", "N", level) if "NN" in level else level
+        if "NN" in level:
+            level = _RUN.sub("N", level)
+        return self._no_end.sub("", level)
 
     def ends(self, c: str) -> bool:
         return c in self.enders or ord(c) >= 0x10000
