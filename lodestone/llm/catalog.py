@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import leakage, provenance, residue, secrets, splitting, syntax, vectors
+from lodestone.llm import leakage, mixing, provenance, residue, secrets, splitting, syntax, vectors
 from lodestone.sources.tables import table
 
 
@@ -91,6 +91,20 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.find_leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text")).select("doc_id", "item_id")
 
 
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, source, tokens, repeats): the documents of the mix."""
+    return _mix(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, target_share, max_repeats, reached_share, tokens, documents, uses)."""
+    return _mix(spark, folder)[1]
+
+
 def p9_residue(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, kind, evidence_words, content_words) of documents without real content."""
     return residue.find_residue(table(spark, folder, "documents", "doc_id", "text", "repo")).withColumnRenamed("id", "doc_id")
@@ -121,6 +135,8 @@ QUERIES = {
     "p6_rates": p6_rates,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_residue": p9_residue,
     "p9_kept": p9_kept,
