@@ -143,5 +143,16 @@ QUERIES = {
 }
 
 ORACLES = {
+    "p4_found": """
+        WITH v AS (SELECT DISTINCT ON (id) id, list_transform(vector, lambda x: x::DOUBLE)::DOUBLE[384] AS v FROM chunks
+            WHERE len(vector) = 384 AND list_bool_and(list_transform(vector, lambda x: isfinite(x))) AND list_bool_or(list_transform(vector, lambda x: x <> 0))),
+        s AS (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY round(array_cosine_similarity(a.v, b.v), 12) DESC, b.id) AS rn FROM v a JOIN v b ON a.id <> b.id)
+        SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM s WHERE rn <= 5""",
     "p5_found": "SELECT DISTINCT id AS chunk_id FROM code_chunks WHERE length(content) > 8000",
+    "p7_found": """
+        WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+        e AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+        dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) AS r(i)),
+        eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS g FROM e, unnest(range(1, len(w) - 11)) AS r(i))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
 }
