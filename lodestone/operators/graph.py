@@ -69,8 +69,8 @@ def graph_stats(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, all_nodes: DataFrame | None = None, damping: float = DAMPING, iterations: int = ITERATIONS, cut_every: int = 5) -> DataFrame:
     """(node, score) after a fixed number of steps; what a node without out-edges holds isn't handed on.
 
-    Out-degrees are joined to the edges once. A step is one join on the source and one aggregation on the target, which is
-    pre-aggregated before its shuffle, so a target with a third of all edges is no hot key; every few steps the scores are
+    Out-degrees are joined to the edges once. A step is one join on the source and one aggregation on the target, in which each
+    node's own share takes part; it is pre-aggregated before its shuffle, so a target with a third of all edges is no hot key; every few steps the scores are
     written, so that lineage stays short and a lost executor costs little.
     """
     ns = (all_nodes if all_nodes is not None else nodes(edges)).select("node").distinct()
@@ -82,9 +82,10 @@ def pagerank(edges: DataFrame, all_nodes: DataFrame | None = None, damping: floa
     ns = materialize(ns, "pagerank-nodes")
     base = (1.0 - damping) / n
     scores = ns.withColumn("score", F.lit(1.0 / n))
+    rest = ns.select("node", F.lit(base).alias("part"))
     for step in range(1, iterations + 1):
-        inflow = weighted.join(scores, weighted["src"] == scores["node"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("w")).alias("inflow"))
-        scores = ns.join(inflow, ns["node"] == inflow["dst"], "left").select("node", (F.lit(base) + F.coalesce("inflow", F.lit(0.0))).alias("score"))
+        inflow = weighted.join(scores, weighted["src"] == scores["node"]).select(F.col("dst").alias("node"), (F.col("score") * F.col("w")).alias("part"))
+        scores = rest.unionByName(inflow).groupBy("node").agg(F.sum("part").alias("score"))
         if step % cut_every == 0 and step < iterations:
             scores = materialize(scores, "pagerank")
     return scores

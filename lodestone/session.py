@@ -57,6 +57,13 @@ def default_parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, 2)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores before costly work a row: repartitioned if its scan has fewer tasks than the cluster has cores, as
+    when a table is one file of one row group. Otherwise it is left as it is, and nothing is shuffled."""
+    want = default_parallelism(df.sparkSession)
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def data_root() -> str:
     """Where entry() finds the small sample; LODESTONE_DATA overrides it."""
     return os.environ.get("LODESTONE_DATA", "/root/testdata")
