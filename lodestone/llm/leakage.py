@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import spread
+
 #: Characters of item text in one block of the item index, the bound of what is broadcast.
 BLOCK_CHARS = 8_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -204,6 +206,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
     if q + q * edits > min_chars:
         raise ValueError("q * (edits + 1) must not exceed the least length")
     own = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(doc_text).alias("t")).where("t is not null")
+    own = spread(own)
     spark = docs.sparkSession
     schema = "doc_id bigint, item_id bigint, words int, distance int, item_chars int, passage string"
     parts = []

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import spread
+
 # Published token formats.
 ISSUED = (
     r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
@@ -340,7 +342,7 @@ def scan_secrets(df: DataFrame, id_col: str, content: str) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=["id", "line_no", "kind"])
 
-    src = df.select(F.col(id_col).cast("string").alias("id"), F.col(content).alias("t")).where("t is not null")
+    src = spread(df.select(F.col(id_col).cast("string").alias("id"), F.col(content).alias("t")).where("t is not null"))
     return src.mapInPandas(scan, "id string, line_no bigint, kind string").dropDuplicates(["id", "line_no"])
 
 
@@ -351,4 +353,4 @@ def redact_secrets(df: DataFrame, content: str, into: str | None = None) -> Data
     def masked(t: pd.Series) -> pd.Series:
         return t.map(redact, na_action="ignore")
 
-    return df.withColumn(into or content, masked(F.col(content)))
+    return spread(df).withColumn(into or content, masked(F.col(content)))

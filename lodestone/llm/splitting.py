@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import spread
+
 #: A token is this many characters.
 TOKEN_CHARS = 4
 
@@ -157,8 +159,8 @@ def split_items(df: DataFrame, content: str, first_line: str | None = None, max_
     """df's columns but `content`, with the columns of SCHEMA: one row a piece.
 
     Items within the limit yield no row if oversized_only, else one piece; null content yields none. An empty text is one
-    empty piece. Columns of df that are named like those of SCHEMA are dropped in favour of these. The work is narrow: no
-    shuffle, and only oversized rows leave the JVM.
+    empty piece. Columns of df that are named like those of SCHEMA are dropped in favour of these. The work is narrow but for spreading a table
+    of fewer parts than there are cores, and only oversized rows leave the JVM.
     """
     if overlap_tokens < 0 or max_tokens < 1 or overlap_tokens >= max_tokens:
         raise ValueError("0 <= overlap_tokens < max_tokens is needed")
@@ -168,7 +170,7 @@ def split_items(df: DataFrame, content: str, first_line: str | None = None, max_
     src = df.where(F.col(content).isNotNull())
     if oversized_only:
         src = src.where(F.length(content) > max_tokens * TOKEN_CHARS)
-    src = src.select(*keep, F.col(content).alias("__text"), line.alias("__line"))
+    src = spread(src.select(*keep, F.col(content).alias("__text"), line.alias("__line")))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*keep).schema), SCHEMA])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
