@@ -42,19 +42,15 @@ def _bounded(expr: str) -> str:
     return rf"(?<![\p{{L}}\p{{N}}_])(?:{expr})(?![\p{{L}}\p{{N}}_])"
 
 
-def has_word(text: Column, phrase: str) -> Column:
-    return F.lower(text).rlike(_bounded(re.escape(phrase)))
+def words_of(text: Column) -> Column:
+    """The distinct words of a text in lower case."""
+    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"))
 
 
 def task_scores(text: Column) -> dict[str, Column]:
     """How many of each task's words stand in the text."""
-    out = {}
-    for task, words in TASK_WORDS.items():
-        total = F.lit(0)
-        for w in words:
-            total = total + has_word(text, w).cast("int")
-        out[task] = total
-    return out
+    words = words_of(text)
+    return {task: F.size(F.array_intersect(words, F.array(*map(F.lit, own)))) for task, own in TASK_WORDS.items()}
 
 
 def detect_task(text: Column) -> Column:
