@@ -104,3 +104,48 @@ def missing_tags(required: Column, answer: Column) -> Column:
 def answer_is_valid(required: Column, answer: Column, least: int = 100) -> Column:
     """Whether an answer has more than `least` characters and every tag that is required."""
     return (F.length(F.trim(answer)) > least) & (F.size(missing_tags(required, answer)) == 0)
+
+
+def by_task(task: Column, values: dict[str, str], default: str = "research") -> Column:
+    """The text that belongs to a task, else that of the default task."""
+    out = F.lit(values[default])
+    for k, v in values.items():
+        out = F.when(task == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def objective(text: Column, task: Column, templates: dict[str, str], suffixes: dict[str, str], note: str) -> Column:
+    """The task's template around the subject where the leading phrase could be taken off, else the text and the task's suffix;
+    below it a note and the original. Templates hold `{subject}`."""
+    framed = F.replace(by_task(task, templates), F.lit("{subject}"), subject(text, task))
+    plain = F.concat(text, F.lit(". "), by_task(task, suffixes))
+    return F.concat(F.when(was_stripped(text, task), framed).otherwise(plain), F.lit("\n" + note + "\nOriginal request: "), text)
+
+
+def numbered(task: Column, checks: dict[str, list[str]], common: list[str]) -> Column:
+    """The task's checks and the common ones as a numbered list."""
+    return by_task(task, {k: "\n".join(f"  {i}. {c}" for i, c in enumerate([*own, *common], 1)) for k, own in checks.items()})
+
+
+def tool_rules(text: Column, task: Column) -> Column:
+    """The first tool of the task with the text's first 60 characters as its query, and the others."""
+    hint = F.substring(normalize(text), 1, 60)
+    first = by_task(task, {k: next(iter(w)) for k, w in TOOL_WEIGHTS.items()})
+    others = by_task(task, {k: ", ".join(list(w)[1:]) for k, w in TOOL_WEIGHTS.items()})
+    return F.concat(F.lit("Primary tool: "), first, F.lit('(query="'), hint, F.lit('")'), F.when(others != "", F.concat(F.lit("\nSecondary tools: "), others)).otherwise(""))
+
+
+def section(name: str, body: Column, when: Column | None = None) -> Column:
+    """<name>body</name>, or null where it doesn't apply."""
+    block = F.concat(F.lit(f"<{name}>\n"), body, F.lit(f"\n</{name}>"))
+    return block if when is None else F.when(when, block)
+
+
+def compose(*sections: Column) -> Column:
+    """The sections that apply, with an empty line between."""
+    return F.concat_ws("\n\n", *sections)
+
+
+def context_blocks(score: Column, index: Column, source: Column, content: Column, low: float = 0.3) -> Column:
+    """A numbered document block for a result, null for one below `low`."""
+    return F.when(score >= low, F.format_string('<document index="%d">\n<source>%s</source>\n%s\n</document>', index, source, content))

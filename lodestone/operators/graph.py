@@ -142,3 +142,27 @@ def repo_map(scores: DataFrame, edges: DataFrame, symbols: DataFrame, scope: str
     none = F.array().cast("array<string>")
     out = packed.join(gather("src", "dst").withColumnRenamed("x", "dependencies"), "path", "left").join(gather("dst", "src").withColumnRenamed("x", "dependents"), "path", "left")
     return out.select("path", F.col("score").alias("rank"), "symbols", F.coalesce("dependencies", none).alias("dependencies"), F.coalesce("dependents", none).alias("dependents"))
+
+
+def decorated_imports(edges: DataFrame, stored: DataFrame, most: int = 5) -> DataFrame:
+    """(src, dst, names): each edge with the names that its last stored import brings in, the first few, then `...`.
+
+    stored: (from_file, to_file, symbols, from_line). A whole-module import, whose first name is `*`, shows none.
+    """
+    last = stored.where("from_file is not null and to_file is not null").groupBy(F.col("from_file").alias("src"), F.col("to_file").alias("dst")).agg(
+        F.max_by(F.struct("symbols"), F.struct(F.coalesce("from_line", F.lit(-1)), F.array_join(F.coalesce("symbols", F.array().cast("array<string>")), ","))).alias("s")
+    )
+    names = F.coalesce(F.col("s.symbols"), F.array().cast("array<string>"))
+    shown = F.concat(F.array_join(F.slice(names, 1, most), ", "), F.when(F.size(names) > most, ", ...").otherwise(""))
+    hidden = (F.size(names) == 0) | (F.try_element_at(names, F.lit(1)) == "*")
+    return edges.select("src", "dst").join(last, ["src", "dst"], "left").select("src", "dst", F.when(hidden, "").otherwise(shown).alias("names"))
+
+
+def file_detail(files: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(path, symbols, imports, dependents): of each file how many. symbols: (file_path). Counted apart, then joined by path."""
+    n = F.count(F.lit(1))
+    s = symbols.groupBy(F.col("file_path").alias("path")).agg(n.alias("symbols"))
+    i = edges.groupBy(F.col("src").alias("path")).agg(n.alias("imports"))
+    d = edges.groupBy(F.col("dst").alias("path")).agg(n.alias("dependents"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return files.select("path").join(s, "path", "left").join(i, "path", "left").join(d, "path", "left").select("path", zero("symbols"), zero("imports"), zero("dependents"))

@@ -195,3 +195,17 @@ def quality_gate(df: DataFrame, group: str, low: float = 0.3, good: float = 0.5)
     """Drops scores below low, and those below good where a group has no good one; with `passed`, whether it has."""
     best = F.max("score").over(Window.partitionBy(group))
     return df.withColumn("passed", best >= good).where((F.col("score") >= good) | (F.col("score") >= low) & F.col("passed"))
+
+
+def merge_tracks(index: DataFrame, tools: DataFrame, budget: int, tool_score: float = 0.8) -> DataFrame:
+    """Results of the index and of plain file tools (filePath, content), one a file, as many of the best as fit into budget.
+
+    Tool results score tool_score. Of several results for a file the more detailed, that is longer, one stays. Both sides are
+    short result lists.
+    """
+    from lodestone.functions.text import count_tokens
+    from lodestone.operators.graph import within_budget
+
+    both = index.select("filePath", "content", "score").unionByName(tools.select("filePath", "content", F.lit(tool_score).alias("score")))
+    best = both.groupBy("filePath").agg(F.max_by(F.struct("content", "score"), F.struct(F.length("content"), "score", "content")).alias("b")).select("filePath", "b.*")
+    return within_budget(best, count_tokens(F.col("content")), budget, F.desc(F.round("score", 12)), F.col("filePath"))

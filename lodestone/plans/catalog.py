@@ -69,6 +69,10 @@ QUERIES = {
     "prompt_subject": q.prompt_subjects,
     "budget_allocation": q.budget_allocation,
     "tag_set_difference": q.tag_difference,
+    "import_decoration": q.import_decoration,
+    "file_detail": q.file_detail,
+    "prompt_sections": q.prompt_sections,
+    "track_merge": q.track_merge,
 }
 
 # Pieces of SQL -------------------------------------------------------------------------------------------------------------
@@ -309,4 +313,20 @@ ORACLES: dict[str, str] = {
     "tag_set_difference": """
         WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, text, regexp_extract_all(text, '<(\\w+)>', 1) AS tags FROM t)
         SELECT doc_id, array_to_string(list_sort(list_filter(['html', 'body', 'insert', 'owner'], lambda x: NOT list_contains(tags, x))), ',') AS missing, length(trim(text)) > 100 AND list_contains(tags, 'html') AS valid FROM g""",
+    "import_decoration": """
+        WITH e AS (SELECT DISTINCT from_file, to_file, symbols, from_line FROM dependency_edges WHERE kind <> 'package' AND from_file IS NOT NULL AND to_file IS NOT NULL),
+        l AS (SELECT from_file AS src, to_file AS dst, coalesce(symbols, []) AS s, row_number() OVER (PARTITION BY from_file, to_file ORDER BY coalesce(from_line, -1) DESC, array_to_string(coalesce(symbols, []), ',') DESC) AS rn FROM e)
+        SELECT src, dst, CASE WHEN len(s) = 0 OR s[1] = '*' THEN '' ELSE array_to_string(s[1:5], ', ') || CASE WHEN len(s) > 5 THEN ', ...' ELSE '' END END AS names FROM l WHERE rn = 1""",
+    "file_detail": f"""
+        WITH {_EDGES}, {_SYMBOLS}, f AS (SELECT DISTINCT {_canon('path')} AS path FROM scanned_files), s AS (SELECT file_path AS path, count(*) AS n FROM symbols GROUP BY 1),
+        i AS (SELECT src AS path, count(*) AS n FROM edges GROUP BY 1), d AS (SELECT dst AS path, count(*) AS n FROM edges GROUP BY 1)
+        SELECT f.path, coalesce(s.n, 0) AS symbols, coalesce(i.n, 0) AS imports, coalesce(d.n, 0) AS dependents FROM f LEFT JOIN s USING (path) LEFT JOIN i USING (path) LEFT JOIN d USING (path)""",
+    "prompt_sections": f"""
+        WITH {_NORMAL}, {_SCORED}, {_TASKED}, lev AS (SELECT *, CASE WHEN regexp_matches(lower(t), '{_bounded('|'.join(prompts.DEEP))}') THEN 'deep' WHEN regexp_matches(lower(t), '{_bounded('|'.join(prompts.LIGHT))}') THEN 'light'
+            WHEN task = 'research' AND length(t) <= 200 THEN 'light' ELSE 'standard' END AS level FROM tasked),
+        tools AS (SELECT * FROM (VALUES """ + ", ".join(f"('{t}', '{next(iter(w))}', '{', '.join(list(w)[1:])}')" for t, w in prompts.TOOL_WEIGHTS.items()) + """) AS x(task, first, others))
+        SELECT doc_id, '<tool_rules>' || chr(10) || 'Primary tool: ' || first || '(query="' || substr(t, 1, 60) || '")' || CASE WHEN others <> '' THEN chr(10) || 'Secondary tools: ' || others ELSE '' END || chr(10) || '</tool_rules>'
+            || chr(10) || chr(10) || '<work_style>' || chr(10) || 'Task type: ' || lev.task || ' | Intensity: ' || level || chr(10) || '</work_style>'
+            || CASE WHEN level <> 'light' THEN chr(10) || chr(10) || '<verification>' || chr(10) || 'Check the result.' || chr(10) || '</verification>' ELSE '' END AS body
+        FROM lev JOIN tools ON tools.task = lev.task""",
 }

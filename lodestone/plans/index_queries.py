@@ -412,3 +412,32 @@ def tag_difference(spark, d):
     t = documents(spark, d).where("text is not null")
     missing = prompts.missing_tags(F.lit("<html><body><insert><owner>"), F.col("text"))
     return t.select("doc_id", F.array_join(F.sort_array(missing), ",").alias("missing"), prompts.answer_is_valid(F.lit("<html>"), F.col("text")).alias("valid"))
+
+
+def import_decoration(spark, d):
+    e = table(spark, d, "dependency_edges", "from_file", "to_file", "kind", "symbols", "from_line").distinct().where("kind <> 'package'")
+    edges = e.where("from_file is not null and to_file is not null").select(F.col("from_file").alias("src"), F.col("to_file").alias("dst")).distinct()
+    return graph.decorated_imports(edges, e)
+
+
+def file_detail(spark, d):
+    f = scanned(spark, d).select(canonical_path(F.col("path")).alias("path")).distinct()
+    return graph.file_detail(f, import_edges(spark, d), symbols(spark, d))
+
+
+def prompt_sections(spark, d):
+    t = documents(spark, d).where("text is not null").select("doc_id", prompts.normalize(F.col("text")).alias("t"))
+    t = t.withColumn("task", prompts.detect_task(F.col("t"))).withColumn("level", prompts.detect_intensity(F.col("t"), F.col("task")))
+    body = prompts.compose(
+        prompts.section("tool_rules", prompts.tool_rules(F.col("t"), F.col("task"))),
+        prompts.section("work_style", F.concat(F.lit("Task type: "), F.col("task"), F.lit(" | Intensity: "), F.col("level"))),
+        prompts.section("verification", F.lit("Check the result."), F.col("level") != "light"),
+    )
+    return t.select("doc_id", body.alias("body"))
+
+
+def track_merge(spark, d):
+    p = _pages(spark, d)
+    found = retrieval.keyword_search(p, "returned", 20)
+    tools = p.where(F.col("content").contains("TODO")).orderBy("filePath").limit(20)
+    return retrieval.merge_tracks(found, tools, 4000).select("filePath", F.round("score", 6).alias("score"), F.length("content").alias("chars"))
