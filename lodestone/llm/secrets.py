@@ -59,7 +59,7 @@ _ASSIGN = re.compile(
     r"(?P<quoted>[rbuf]{0,2}" + _Q + "(?:" + _PIECES % _Q + r")*)"
 )
 _BARE = re.compile(r"(?m)^[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+|ENV[ \t]+|ARG[ \t]+)?(?P<name>[A-Za-z_][\w.\-]*)[ \t]*(?:=|:[ \t]|:(?=\S)(?!/))[ \t]*(?P<value>[^\s\"'`#,;(){}\[\]][^\s\"'`;,(){}]*)[ \t]*(?:#[^\n]*)?\r?$")
-_FLAG = re.compile(r"(?:--?(?P<name>[A-Za-z][\w\-]*)(?:[ =])|(?:-u[ \t]+[^\s:]+:))(?P<value>[^\s\"'`]+)")
+_FLAG = re.compile(r"(?:(?<!\S)(?:-u|--user)[ =]\"?[^\s:\"'`]+:|(?<!\S)--?(?P<name>[A-Za-z][\w\-]*)[ =])(?P<value>[^\s\"'`]+)")
 _SCHEME = re.compile(r"\b(?P<kind>[Bb]asic|[Bb]earer|[Tt]oken)[ \t]+(?P<value>[A-Za-z0-9+/=_\-.~]{8,})")
 _CALL = re.compile(r"(?i)\b(?:\w+\.)*(?:log_?in|sign_?in|authenticate|auth|connect|set_?password|set_?credentials?|basic_?auth|credentials?|logon)\s*\(\s*" + f"({_Q})" + r"\s*,\s*" + f"({_Q})")
 _COMMENT = re.compile(r"(?m)(?:^|(?<=[ \t;{}]))(?P<mark>//|#|/\*|--|;|\*|<!--)[ \t]*(?P<body>[^\n]*)")
@@ -256,9 +256,11 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
         for m in _BARE.finditer(text):
             if name_kind(m.group("name")) > 0 and free(*m.span("value")) and usable(m.group("value"), True) and not re.search(r"[()\[\]{}]|^(?:True|False|None|null|true|false)$|^[A-Za-z_]\w*\.[A-Za-z_]\w*$", m.group("value")):
                 take([m.span("value")], "assignment")
+    if keyed or "-u " in text or "--user" in text:
         for m in _FLAG.finditer(text):
             if (m.group("name") is None or name_kind(m.group("name")) > 0) and free(*m.span("value")) and usable(m.group("value"), True):
                 take([m.span("value")], "flag")
+    if keyed:
         low = text.lower()
         if any(w in low for w in ("login", "log_in", "connect", "auth", "sign_in", "signin", "password", "credential", "logon")):
             for m in _CALL.finditer(text):
