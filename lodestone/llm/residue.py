@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 SHARE, LEAST = 0.002, 6
 
 #: Running text with an open slot in at most so many words is a template.
-SLOT_WORDS = 16
+SLOT_WORDS = 40
 
 # Evidence of an error, refusal or notice, in English, German, French and Spanish.
 ERROR = (
@@ -132,7 +132,7 @@ def judge(text: str, recurrent: frozenset[int] = frozenset()) -> Verdict:
     if any(c in text for c in "{<%$[@_X#"):
         prose = _QUOTED.sub(" ", _FENCE.sub(" ", text))
         open_slots = len(_SLOT.findall(prose))
-        if open_slots >= 2:
+        if open_slots:
             kept = [ln for ln in prose.split("\n") if ln.strip()]
             coded = sum(1 for ln in kept if _CODE_LINE.search(_SLOT.sub("x", ln)))
             n = len(_WORD.findall(_SLOT.sub(" ", prose))) + len(_WORD.findall(text)) - len(_WORD.findall(prose))
