@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import count_tokens
-from lodestone.session import materialize
+from lodestone.session import materialize, release
 
 DAMPING, ITERATIONS = 0.85, 20
 
@@ -83,11 +83,15 @@ def pagerank(edges: DataFrame, all_nodes: DataFrame | None = None, damping: floa
     base = (1.0 - damping) / n
     scores = ns.withColumn("score", F.lit(1.0 / n))
     rest = ns.select("node", F.lit(base).alias("part"))
+    written = None
     for step in range(1, iterations + 1):
         inflow = weighted.join(scores, weighted["src"] == scores["node"]).select(F.col("dst").alias("node"), (F.col("score") * F.col("w")).alias("part"))
         scores = rest.unionByName(inflow).groupBy("node").agg(F.sum("part").alias("score"))
         if step % cut_every == 0 and step < iterations:
-            scores = materialize(scores, "pagerank")
+            before, written = written, materialize(scores, "pagerank")
+            scores = written
+            if before is not None:
+                release(before)
     return scores
 
 

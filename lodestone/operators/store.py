@@ -1,11 +1,12 @@
 """Versioned tables: delete-and-replace by file, several tables in one step.
 
-Each version is a folder of Parquet tables; a pointer file names the version that readers see. A new version is written
-whole and the pointer is moved last, so a failed write leaves the old version in place, and all tables change together.
+A pointer file names the version that readers see. What is new is written beside the old, and the pointer is moved last, so
+a failed write leaves the old version in place, and all tables change together.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -36,68 +37,109 @@ def delete_by_key(existing: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 class Store:
-    """The tables of one index, in a folder that Spark can write to."""
+    """The tables of one index, in a folder that Spark can write to.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    Rows lie in buckets by the hash of their file, each bucket in a folder of its own, and a version is a list of folders.
+    So a small batch rewrites the few buckets that its files fall into, and the rest is shared with the version before.
+    """
 
-    def _pointer(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    # Small files ------------------------------------------------------------------------------------------------------
+
+    def _fs(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def version(self) -> str | None:
-        path, fs = self._pointer()
+    def _get(self, name: str) -> str | None:
+        path, fs = self._fs(name)
         if not fs.exists(path):
             return None
         stream = fs.open(path)
         try:
-            return bytes(stream.readAllBytes()).decode().strip()
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
-    def _point_to(self, version: str) -> None:
-        path, fs = self._pointer()
+    def _put(self, name: str, text: str) -> None:
+        path, fs = self._fs(name)
         stream = fs.create(path, True)
         try:
-            stream.write(bytearray(version.encode()))
+            stream.write(bytearray(text.encode()))
         finally:
             stream.close()
 
+    def version(self) -> str | None:
+        return self._get("CURRENT")
+
+    def _manifest(self, version: str | None) -> dict[str, dict[str, str]]:
+        """Table -> bucket -> folder."""
+        text = self._get(f"manifests/{version}.json") if version else None
+        return json.loads(text) if text else {name: {} for name in SCHEMAS}
+
+    # Tables -----------------------------------------------------------------------------------------------------------
+
+    def _read(self, name: str, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{f}" for f in folders])
+
     def table(self, name: str, version: str | None = None) -> DataFrame:
         """The table as of a version, by default the current one; empty before the first write."""
-        v = version or self.version()
-        if v is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{v}/{name}")
+        return self._read(name, sorted(self._manifest(version or self.version())[name].values()))
+
+    def _bucket(self, key: str):
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _touched(self, keys: DataFrame, key: str) -> set[int]:
+        """The buckets that keys fall into, at most self.buckets numbers."""
+        return {r["b"] for r in keys.select(self._bucket(key).alias("b")).distinct().collect()}
 
-    def _commit(self, make: Callable[[str], DataFrame]) -> str:
+    def _commit(self, make: Callable[[str, DataFrame], DataFrame], touched: Callable[[str], set[int]]) -> str:
+        """Rewrite the touched buckets of each table by make(name, their rows), and make that the current version."""
+        old = self._manifest(self.version())
         v = f"v-{uuid.uuid4().hex}"
+        new = {name: dict(old[name]) for name in SCHEMAS}
         for name in SCHEMAS:
-            make(name).write.mode("overwrite").parquet(f"{self.root}/{v}/{name}")
-        self._point_to(v)
+            some = touched(name)
+            base = self._read(name, sorted(f for b, f in old[name].items() if int(b) in some))
+            rows = make(name, base).withColumn("bucket", self._bucket(KEYS[name]))
+            rows.write.partitionBy("bucket").mode("overwrite").parquet(f"{self.root}/data/{v}/{name}")
+            path, fs = self._fs(f"data/{v}/{name}")
+            found = {st.getPath().getName() for st in fs.listStatus(path)}
+            for b in some:
+                new[name].pop(str(b), None)
+            new[name] |= {n.split("=")[1]: f"data/{v}/{name}/{n}" for n in found if n.startswith("bucket=")}
+        self._put(f"manifests/{v}.json", json.dumps(new))
+        self._put("CURRENT", v)
         return v
 
     def upsert(self, batch: dict[str, DataFrame], paths: DataFrame) -> str:
-        """Replace everything that is stored of paths (path) by the batch's rows, in all tables at once."""
+        """Replace everything that is stored of paths (path) by the batch's rows, in all tables at once. The batch's rows
+        belong to paths."""
+        some = self._touched(paths, "path")
 
-        def make(name: str) -> DataFrame:
+        def make(name: str, base: DataFrame) -> DataFrame:
             key = KEYS[name]
             gone = paths.select(F.col("path").alias(key))
             new = batch.get(name)
-            base = self.table(name)
             return replace_by_key(base, new, key, gone) if new is not None else delete_by_key(base, gone, key)
 
-        return self._commit(make)
+        return self._commit(make, lambda _: some)
 
     def remove(self, paths: DataFrame) -> str:
         """Delete files from all tables, and the import edges that lead to them."""
+        some = self._touched(paths, "path")
+        inbound = self.table("dependency_edges").join(paths.select(F.col("path").alias("to_file")).distinct(), "to_file", "left_semi")
+        edges = some | self._touched(inbound, "from_file")
 
-        def make(name: str) -> DataFrame:
+        def make(name: str, base: DataFrame) -> DataFrame:
             key = KEYS[name]
-            df = delete_by_key(self.table(name), paths.select(F.col("path").alias(key)), key)
+            df = delete_by_key(base, paths.select(F.col("path").alias(key)), key)
             return delete_by_key(df, paths.select(F.col("path").alias("to_file")), "to_file") if name == "dependency_edges" else df
 
-        return self._commit(make)
+        return self._commit(make, lambda name: edges if name == "dependency_edges" else some)
 
     def orphans(self) -> DataFrame:
         """(table, path) of rows whose file isn't in `files`; a consistent store has none."""

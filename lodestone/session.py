@@ -50,7 +50,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    where, fs = _hadoop(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodestone_scratch = path
+    return out
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table behind a materialized df that nothing reads any more. Those that aren't released go with the JVM."""
+    path = getattr(df, "_lodestone_scratch", None)
+    if path:
+        where, fs = _hadoop(df.sparkSession, path)
+        fs.delete(where, True)
 
 
 def default_parallelism(spark: SparkSession) -> int:
