@@ -83,6 +83,26 @@ _SLOT = re.compile(
     rf"(?i)\{{\{{{{1,2}}[^{{}}\n]{{1,40}}\}}\}}{{1,2}}|\{{%{_N}%\}}|<%=?{_N}%>|[$#]\{{{_N}\}}|\$\({_N}\)|%{_N}%|@@{_N}@@|__{SLOT_NAMES}__|\[\[{_N}\]\]|\{{{_N}\}}|\[(?:(?:your|insert|enter|add)\b[^\[\]\n]{{1,40}}|{_N})\](?!\()|<(?:insert|your|enter)\b[^<>\n]{{1,40}}>|&lt;{_N}&gt;|<{_N}>|\bXX{SLOT_NAMES}XX\b"
 )
 _EVIDENCE = [(k, re.compile("|".join(f"(?:{p})" for p in ps), re.I)) for k, ps in (("script", SCRIPT), ("empty", EMPTY), ("placeholder", PLACEHOLDER), ("error", ERROR))]
+# Words of the patterns that are too common to tell anything.
+_COMMON = frozenset("the a an to is in be of or and was has have been this it are you your for on by at not no my we can do does don from with will our as us all any if un une le la de du en el su tu sa se sich ist die der das sie est au ce que y o".split())
+
+
+def _triggers() -> frozenset[str]:
+    """The words that stand in the patterns. A sentence with none of them needn't be held against any pattern, but for
+    numbers of a status and comment marks, which are looked for apart."""
+    out = set()
+    for p in (*ERROR, *SCRIPT, *EMPTY, *PLACEHOLDER):
+        bare = re.sub(r"\(\?[:=!]|\\[bdswS]|\[[^\]]*\]|\{\d*,?\d*\}|[\^$().*+|]", " ", re.sub(r"\(\?:([\w ]+)\)\?", r" \1 ", p))
+        for w in re.findall(r"[^\W\d_]+\??", bare.lower()):
+            w, optional = w.rstrip("?"), w.endswith("?")
+            out |= {w, w[:-1]} if optional else {w}
+    # Words that the patterns spell with alternatives inside.
+    out |= set("unauthorized unauthorised authorized authorised código codigo utilisons utilise usamos completing doesn't don't can't couldn't isn't we're".split())
+    return frozenset(w for w in out if len(w) > 1 and w not in _COMMON)
+
+
+TRIGGERS = _triggers()
+_STATUS = re.compile(r"[45]\d\d")
 _FENCE = re.compile(r"(?ms)^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[^\n]*$|\Z)")
 _QUOTED = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|(?<!\w)'[^'\n]{3,}'(?!\w)|‘[^’\n]*’")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\s])")
@@ -106,6 +126,8 @@ class Verdict:
 
 
 def _is_nav(line: str) -> bool:
+    if len(line) >= 160 or not any(c in line for c in "|·»>-/•"):
+        return False
     for sep in ("|", " · ", " » ", " > ", " - ", " / ", " • "):
         parts = [p.strip() for p in line.split(sep)]
         if len(parts) >= 3 and all(p and len(p.split()) <= 3 and not p.endswith(".") for p in parts) and len(line) < 160:
@@ -164,7 +186,7 @@ def judge(text: str, recurrent: frozenset[int] = frozenset()) -> Verdict:
         if links >= 4 and _ITEM.match(raw) and not _SLOT.search(line):
             frame += 1
             continue
-        if _is_nav(line) or _FOOT.match(line) or _SERVER.match(line) or _DIAGNOSTIC.match(line):
+        if _is_nav(line) or len(line) < 90 and (_FOOT.match(line) or _SERVER.match(line) or _DIAGNOSTIC.match(line)):
             frame += 1
             continue
         bare = _QUOTED.sub(" ", line)
@@ -190,7 +212,9 @@ def judge(text: str, recurrent: frozenset[int] = frozenset()) -> Verdict:
             words = [w.lower() for w in _WORD.findall(s)]
             if not words and not s:
                 continue
-            hit = next((k for k, rx in _EVIDENCE if rx.search(s)), None)
+            hit = None
+            if len(words) <= 3 or not TRIGGERS.isdisjoint(words) or "<!--" in s or _STATUS.search(s):
+                hit = next((k for k, rx in _EVIDENCE if rx.search(s)), None)
             if hit is None and words and _filler(words):
                 hit = "filler"
             if hit and (len(words) <= 45 or hit == "filler"):
