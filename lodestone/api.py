@@ -13,6 +13,7 @@ from lodestone.functions.text import content_hash
 from lodestone.operators import calls as calls_ops
 from lodestone.operators import changes, embed, extract, graph, imports, retrieval
 from lodestone.operators.store import Store, index_stats, staleness
+from lodestone.session import ship
 from lodestone.sources.scan import read_tree
 
 STRATEGIES = ("hybrid", "semantic", "keyword", "structural", "symbol")
@@ -35,6 +36,7 @@ class Engine:
     exclude: tuple[str, ...] = ()
 
     def __post_init__(self):
+        ship(self.spark)
         self.store = Store(self.spark, self.index_dir)
 
     # Building ---------------------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,6 +75,27 @@ def default_parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, 2)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, so that their Python finds it wherever they run.
+
+    Spark serves the archive from the driver; it holds compiled modules only, about 300 KB.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    home = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(home):  # it runs from an archive already
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), "lodestone.zip")
+    with zipfile.PyZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writepy(home)
+    sc.addPyFile(archive)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores before costly work a row: repartitioned if its scan has fewer tasks than the cluster has cores, as
     when a table is one file of one row group. Otherwise it is left as it is, and nothing is shuffled."""
