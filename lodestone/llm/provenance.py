@@ -2,7 +2,7 @@
 
 Each file is lexed and re-emitted in canonical formatting, in thought: one statement a line. Compared with that, the
 original's layout tells: extreme expansion marks minified text, perfect uniformity of the lines' shapes generated text,
-dominance of literals a data blob. What a file's head says of its origin, and a place among other projects' packages, mark
+dominance of literals a data blob. What a file's comments say of its origin, and a place among other projects' packages, mark
 generated and vendored files too; so does being a copy, comments aside, of a file that is marked as vendored.
 """
 
@@ -23,7 +23,7 @@ from lodestone.llm.grammars import EXTENSIONS, language
 
 # Folders that hold other projects' packages, each in a folder of its own.
 VENDOR_DIRS = frozenset("vendor third_party third-party thirdparty 3rdparty 3rd_party node_modules bower_components jspm_packages web_modules site-packages dist-packages extern external externals deps pods carthage godeps _vendor vendored upstream".split())
-# What heads of generated files say.
+# What heads, feet and module docstrings of generated files say.
 GENERATED = (
     r"\bcode generated by\b.*\bdo not edit\b",
     r"\bdo not edit\b.*\bgenerated\b|\bgenerated\b.*\b(?:do not (?:edit|modify|change)|edits? will be (?:lost|overwritten)|don't (?:edit|modify))\b",
@@ -33,7 +33,7 @@ GENERATED = (
     r"\bgenerated (?:on|at) \S+ (?:from|by|using|with)\b|\bgenerated (?:by|from|with|using) \S+(?: v?\d[\w.]*)?[.!]?\s*$|\bgenerated from \S+\.\w+ (?:by|using|with)\b",
     r"\bedits will be overwritten\b|\bmanual changes (?:are|will be) (?:lost|overwritten)\b",
 )
-# What heads of copied files say.
+# What those of copied files say.
 VENDORED = (
     r"\bvendored (?:copy|from|in|version)\b|\bvendored\b.*\bupstream\b",
     r"\b(?:taken|copied|imported|borrowed|lifted|extracted) (?:verbatim |unchanged |as is |directly )?from \S+.*(?:\d+\.\d+|upstream|licen[cs]e|https?://|release|version|commit)",
@@ -41,8 +41,21 @@ VENDORED = (
     r"\bsend fixes to the upstream\b|\bupstream (?:project|repository|source):? \S+|\bimported by the sync job\b|\blocal (?:changes|modifications): (?:none|see)\b",
     r"\(c\) [\d\-, ]+ the \S+ authors, released under\b|\breleased under the (?:mit|bsd|apache|isc|mpl|lgpl)[\w\- ]* licen[cs]e\b",
 )
+# How a comment among code opens that speaks of its file, and not of the value or function beside it.
+GENERATED_INSIDE = (
+    r"code generated by\b.*\bdo not edit\b|@?generated by\b.*\bdo not (?:edit|modify|change)\b|do not edit\b.*\bgenerated\b",
+    r"@generated(?:$|\W)|<auto-?generated\b|auto-?generated (?:file|code|from)\b",
+    r"(?:auto[- ]?|automatically )?generated\b.*\b(?:do not (?:edit|modify|change)|edits? will be (?:lost|overwritten)|don't (?:edit|modify))\b",
+    r"this (?:file|module) (?:is|was|has been) (?:auto(?:matically)?[- ]?)?(?:generated|produced|created|written) (?:automatically )?(?:by|from|with|using)\b",
+    r"(?:machine|tool)-(?:written|generated|made) (?:output|file|code|by|from)\b|output of \S+, change the (?:template|source|schema) instead\b",
+    r"generated (?:on|at) \S+ (?:from|by|using|with)\b|edits will be overwritten\b|manual changes (?:are|will be) (?:lost|overwritten)\b",
+)
+VENDORED_INSIDE = (r"(?:this (?:file|module) is an? )?(?:vendored|bundled) (?:copy|snapshot|version|release|from)\b", r"vendored\b.*\bupstream\b|send fixes to the upstream\b|imported by the sync job\b")
 _GENERATED = re.compile("|".join(f"(?:{p})" for p in GENERATED), re.I)
 _VENDORED = re.compile("|".join(f"(?:{p})" for p in VENDORED), re.I)
+_GENERATED_INSIDE = re.compile(r"^[^\w@<]*(?:" + "|".join(GENERATED_INSIDE) + ")", re.I)
+_VENDORED_INSIDE = re.compile(r"^\W*(?:" + "|".join(VENDORED_INSIDE) + ")", re.I)
+_BLOCK_SCALAR = re.compile(r"(?:^|[:\-]\s+)[|>][+\-\d]*\s*(?:#.*)?$")
 _COMMENT_LINE = re.compile(r"^\s*(?://|#|/\*|\*|<!--|--|;|\"\"\"|''')")
 _PACKAGE_DIR = re.compile(r"(?i)^[a-z@][\w.@\-]*[-@_]v?\d+\.\d+(?:\.\d+)*(?:[-+][\w.]+)?$")
 _VERSION_DIR = re.compile(r"^v?\d+\.\d+(?:\.\d+)*$")
@@ -70,9 +83,8 @@ class Layout:
     fingerprint: str | None
 
 
-def layout(text: str, ext: str) -> Layout:
+def layout(text: str, ext: str, tokens: list[str]) -> Layout:
     lang = language(EXTENSIONS[ext])
-    tokens = lang.lex(text)
     python = lang.name == "python"
     statements = 0
     shapes: Counter = Counter()
@@ -147,22 +159,79 @@ def _line_shapes(text: str, lang) -> Counter:
     return shapes
 
 
-def head_of(text: str, most: int = 24) -> str:
-    """The comment lines at a file's top, before its first line of code."""
-    out = []
-    open_block = False
-    for line in text[:8000].split("\n")[:most]:
-        if not line.strip():
+def notes(text: str, ext: str, tokens: list[str] | None = None) -> list[tuple[bool, str]]:
+    """(outside, line) of each comment line and docstring line of the whole text; string literals are left out.
+
+    outside: it stands in the head, at the foot or in the module's docstring, before and after all code but a package clause.
+    tokens: of the text, for extensions that have a lexer.
+    """
+    if tokens is None:
+        return _noted_lines(text, ext)
+    python = language(EXTENSIONS[ext]).name == "python"
+    out: list[tuple[bool, str]] = []
+    head, opening, last, clause = True, True, 0, False
+    if python:  # its lexer leaves the first line out if that is a comment
+        first = text.lstrip("\ufeff").split("\n", 1)[0].strip()
+        if first[:1] == "#":
+            out.append((True, first))
+    for k, t in enumerate(tokens):
+        c0 = t[0]
+        if c0 in "\r\n":
+            if python and "#" in t:
+                out += [(head, ln) for ln in map(str.strip, t.split("\n")) if ln]
+            opening, clause = True, False
+            continue
+        if t.startswith(("//", "/*")) and not python or c0 == "#" and python:
+            out += [(head, ln) for ln in t.split("\n")]
+            continue
+        if opening and not clause and head and (t == "package" or not python and t in ("'use strict'", '"use strict"')):
+            clause = True
+        elif python and opening and len(t) > 2 and t[-1] in "\"'" and (k + 1 == len(tokens) or tokens[k + 1][0] in "\r\n#"):
+            out += [(head, ln) for ln in t.split("\n")]  # a docstring
+            opening = False
+            last = len(out)
+            head = False
+            continue
+        elif not clause:
+            head = False
+        if t == ";":
+            clause = False
+        opening = t == ";"
+        last = len(out)
+    return [(outside or k >= last, ln) for k, (outside, ln) in enumerate(out)]
+
+
+def _noted_lines(text: str, ext: str) -> list[tuple[bool, str]]:
+    """The same by lines, for text without a lexer. Block scalars of YAML and long strings of TOML are literals."""
+    out: list[tuple[bool, str]] = []
+    head, last, close, scalar, literal = True, 0, "", -1, False
+    for line in text.split("\n"):
+        bare = line.strip()
+        if not bare:
             continue
-        if open_block or _COMMENT_LINE.match(line):
-            out.append(line)
-            if "/*" in line and "*/" not in line:
-                open_block = True
-            elif "*/" in line:
-                open_block = False
-        else:
-            break
-    return "\n".join(out)
+        if scalar >= 0:
+            if len(line) - len(line.lstrip()) > scalar:
+                continue
+            scalar = -1
+        long = ext == "toml" and (line.count('"""') + line.count("'''")) % 2 == 1
+        if literal or long:
+            literal ^= long
+        elif close or _COMMENT_LINE.match(line):
+            out.append((head, line))
+            if not close:
+                close = "*/" if bare.startswith("/*") else "-->" if bare.startswith("<!--") else ""
+            if close and close in line:
+                close = ""
+            continue
+        elif ext in ("yaml", "yml") and _BLOCK_SCALAR.search(line):
+            scalar = len(line) - len(line.lstrip())
+        head, last = False, len(out)
+    return [(outside or k >= last, ln) for k, (outside, ln) in enumerate(out)]
+
+
+def marked(lines: list[tuple[bool, str]], outside: re.Pattern, inside: re.Pattern) -> bool:
+    """Whether one of the lines that notes() gives bears a mark."""
+    return any(outside.search(ln) if out else inside.search(ln) for out, ln in lines)
 
 
 def place(relativepath: str | None) -> bool:
@@ -177,15 +246,16 @@ def judge(relativepath: str | None, ext: str, text: str | None) -> tuple[str | N
     vendored = place(relativepath)
     if not text:
         return ("vendored" if vendored else None), None
-    head = head_of(text)
-    if not vendored and head and _VENDORED.search(head):
-        vendored = True
-    if ext not in EXTENSIONS:
-        return ("vendored" if vendored else "generated" if head and _GENERATED.search(head) else None), None
-    m = layout(text, ext)
+    tokens = language(EXTENSIONS[ext]).lex(text) if ext in EXTENSIONS else None
+    said = notes(text, ext, tokens)
+    vendored = vendored or marked(said, _VENDORED, _VENDORED_INSIDE)
+    generated = not vendored and marked(said, _GENERATED, _GENERATED_INSIDE)
+    if tokens is None:
+        return ("vendored" if vendored else "generated" if generated else None), None
+    m = layout(text, ext, tokens)
     if vendored:
         return "vendored", m.fingerprint
-    if head and any(_GENERATED.search(line) for line in head.split("\n")):
+    if generated:
         return "generated", m.fingerprint
     if m.longest >= LONG_LINE and m.expansion >= EXPANSION:
         return "minified", m.fingerprint

@@ -111,6 +111,21 @@ def test_provenance(path, ext, text, kind):
     assert provenance.judge(path, ext, text)[0] == kind
 
 
+LICENCE = "".join(f"// {i}. The licensee may use this text under the terms of paragraph {i}.\n" for i in range(40))
+CODEGEN = "Code generated by protomill v1. DO NOT EDIT."
+
+
+@pytest.mark.parametrize(("ext", "text", "kind"), [
+    ("ts", HAND + f"// {CODEGEN}\n", "generated"), ("ts", HAND + "\n// Generated on 2025-01-01 from a.yaml using gen v2", "generated"), ("ts", LICENCE + f"// {CODEGEN}\n" + HAND, "generated"), ("ts", LICENCE * 5 + "/*\n  Vendored copy of kit 1.2\n*/\n" + HAND, "vendored"),
+    ("py", f'"""Tables of the parser.\n\n{CODEGEN}\n"""\n\nx = 1\n', "generated"), ("py", "def f():\n    return 1\n# @generated by apistamp v0.1\n", "generated"), ("py", f"# {CODEGEN}\nx = 1\n", "generated"), ("go", f"package a\n\n// {CODEGEN}\nvar x = 1\n", "generated"),
+    ("java", HAND.replace("import { a } from './a';", "class A {}") + f"/** {CODEGEN} */", "generated"), ("ts", HAND.replace("  try {", f"  // {CODEGEN}\n  try {{"), "generated"), ("yaml", "a: 1\n" * 30 + f"# {CODEGEN}\n", "generated"),
+    ("yaml", f"run: |\n  # {CODEGEN}\n  true\nb: 2\n", None), ("ts", HAND + f"const banner = `\n// {CODEGEN}\n`;\n", None), ("py", f'banner = """\n# {CODEGEN}\n"""\n', None), ("ts", HAND.replace("  try {", "  // ids are generated by uuid\n  try {"), None),
+    ("py", "def f():\n    # skips files that say 'Code generated by x. DO NOT EDIT.'\n    return 1\n", None), ("ts", HAND.replace("  try {", "  // falls back to the vendored copy of the table\n  try {"), None),
+])
+def test_marks_are_read_in_the_whole_file(ext, text, kind):
+    assert provenance.judge("src/a." + ext, ext, text)[0] == kind
+
+
 def test_copies_of_vendored_files(spark):
     f = spark.createDataFrame([("/r/third_party/k/a.ts", "third_party/k/a.ts", "ts", None, "r", None), ("/s/src/b.ts", "src/b.ts", "ts", None, "s", None), ("/s/src/c.ts", "src/c.ts", "ts", None, "s", None), ("/s/src/c.ts", "src/c.ts", "ts", None, "s", None)], SCANNED)
     c = spark.createDataFrame([("/r/third_party/k/a.ts", 1, HAND), ("/s/src/b.ts", 1, "// moved here\n" + HAND), ("/s/src/c.ts", 1, HAND.replace("run", "walk"))], "filepath string, startline int, content string")
