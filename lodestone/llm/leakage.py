@@ -4,7 +4,7 @@ Both sides become words (longest runs of letters and digits, lower-cased) joined
 breaks don't matter. By the q-gram lemma, a stretch of n characters with at most e edits shares at least n + 1 - q - q * e
 q-grams with its original, and they lie on diagonals (document position less item position) at most e apart. Shared q-grams
 are therefore counted in overlapping bands of diagonals; bands that reach the bound become regions, and a banded alignment
-of each region verifies it.
+of each region verifies it. Of a region that fails as a whole, each part that reaches the bound is aligned by itself.
 
 The items are a stated, small query set: they are indexed in blocks of bounded size, each of which is sent to all tasks and
 meets every document once. A document's text never leaves its task.
@@ -105,8 +105,10 @@ def banded_distance(a: str, b: str, limit: int) -> int:
     return int(min(row[k], far))
 
 
-def find_regions(docs: list[str], index: ItemIndex, min_chars: int, edits: int, min_words: int = 0) -> list[tuple[int, int, int, int, int, int]]:
-    """(doc, item, doc start, doc end, item start, item end) of regions that reach the lemma's bound.
+def find_regions(docs: list[str], index: ItemIndex, min_chars: int, edits: int, min_words: int = 0) -> list[tuple[int, int, int, int, int, int, np.ndarray, int, int]]:
+    """(doc, item, doc start, doc end, item start, item end, hits, lowest, highest) of regions that reach the lemma's bound.
+
+    hits: where in the document the region's shared q-grams begin, ascending; lowest, highest: their diagonals.
 
     docs are normalised. A region runs from the first to the last shared q-gram of its band. Without edits a run of
     min_words words has its min_words - 1 blanks within its region, so regions with fewer are dropped.
@@ -145,7 +147,7 @@ def find_regions(docs: list[str], index: ItemIndex, min_chars: int, edits: int,
     blanks = np.concatenate([[0], np.cumsum(joined == 32)])
     width = 2 * edits + 1
     diagonal = dpos - ipos
-    out = []
+    out: dict[tuple, tuple[np.ndarray, int, int]] = {}
     for shift in (0, edits) if edits else (0,):
         # Bands of width 2e + 1 that overlap by half: whatever lies within e diagonals falls into one of them whole.
         band = (diagonal + shift) // width
@@ -162,8 +164,113 @@ def find_regions(docs: list[str], index: ItemIndex, min_chars: int, edits: int,
             a, b = starts[d[first]] + p[first], starts[d[first]] + p[last] + q
             enough &= blanks[b] - blanks[a] >= min_words - 1
         for f, e in zip(first[enough].tolist(), last[enough].tolist()):
-            out.append((int(d[f]), int(i[f]), int(p[f]), int(p[e]) + q, int(ip[f : e + 1].min()), int(ip[f : e + 1].max()) + q))
-    return sorted(set(out))
+            key = (int(d[f]), int(i[f]), int(p[f]), int(p[e]) + q, int(ip[f : e + 1].min()), int(ip[f : e + 1].max()) + q)
+            lean = p[f : e + 1] - ip[f : e + 1]
+            hits, low_d, high_d = p[f : e + 1], int(lean.min()), int(lean.max())
+            if key in out:  # the other shift's band has the same ends
+                was = out[key]
+                hits, low_d, high_d = np.union1d(was[0], hits) if len(was[0]) != len(hits) or (was[0] != hits).any() else hits, min(low_d, was[1]), max(high_d, was[2])
+            out[key] = (hits, low_d, high_d)
+    return [(*key, *out[key]) for key in sorted(out)]
+
+
+def _edges(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a normalised text begin, and where they end."""
+    at = np.array([m.span() for m in re.finditer(r"[^ ]+", text)], np.int64).reshape(-1, 2)
+    return at[:, 0], at[:, 1]
+
+
+def find_parts(docs: list[str], index: ItemIndex, regions: list[tuple], min_chars: int, edits: int) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(doc, item, doc start, doc end, item start, item end, distance) of passages within regions.
+
+    A passage has at least min_chars characters and at most `edits` edits, begins and ends with words in which both agree,
+    and is the longest of those that begin there and end with the min_chars-th character's word or one of the `edits`
+    after it. All that reach the lemma's bound are aligned, side by side.
+    """
+    q, need = index.q, min_chars + 1 - index.q * (edits + 1)
+    edges: dict[tuple[str, int], tuple] = {}
+
+    def words(side: str, n: int, text: str) -> tuple:
+        if (side, n) not in edges:
+            edges[side, n] = _edges(text)
+        return edges[side, n]
+
+    begin: dict[tuple[int, int, int, int], int] = {}  # (doc, item, start, start) -> the rows that are needed
+    for d, i, _, _, _, _, hits, low, high in regions:
+        text, item = docs[d], index.texts[i]
+        first, last = words("d", d, text)
+        item_first, item_last = words("i", i, item)
+        a, b = np.searchsorted(first, [hits[need - 1] + q - min_chars, hits[len(hits) - need] + 1])
+        for k in range(int(a), int(b)):
+            s = int(first[k])
+            x, y = np.searchsorted(hits, [s, s + min_chars - q + 1])
+            end = int(np.searchsorted(last, s + min_chars))
+            if y - x < need or end == len(last):
+                continue
+            word = text[s : int(last[k])]
+            u, v = np.searchsorted(item_first, [s - high - edits, s - low + edits + 1])
+            for t, z in zip(item_first[u:v].tolist(), item_last[u:v].tolist()):
+                if item[t:z] == word:
+                    begin[d, i, s, t] = int(last[min(end + edits, len(last) - 1)]) - s
+    out = []
+    todo = sorted(begin, key=lambda w: (begin[w], w))
+    for at in range(0, len(todo), 4096):
+        out += _align_parts(docs, index, todo[at : at + 4096], begin[todo[min(at + 4096, len(todo)) - 1]], min_chars, edits, words)
+    return out
+
+
+def _align_parts(docs: list[str], index: ItemIndex, todo: list[tuple[int, int, int, int]], rows: int, min_chars: int, edits: int, words) -> list[tuple[int, int, int, int, int, int, int]]:
+    """The passages of find_parts that begin at `todo`, aligned over `rows` characters of the documents."""
+    width = 2 * edits + 1
+    a = np.full((len(todo), rows), -1, np.int64)
+    b = np.full((len(todo), rows + 2 * edits), -2, np.int64)
+    for n, (d, i, s, t) in enumerate(todo):
+        x, y = _codes([docs[d][s : s + rows]]), _codes([index.texts[i][t : t + rows + edits]])
+        a[n, : len(x)] = x
+        b[n, edits : edits + len(y)] = y
+    step = np.arange(width)
+    row = np.tile(np.where(step >= edits, step - edits, edits + 1), (len(todo), 1))
+    which = np.arange(len(todo))
+    best: dict[int, tuple[int, int, int]] = {}
+    for k in range(1, rows + 1):
+        # Cell c of a row is column k - edits + c; what is over `edits` stays over it.
+        up = np.full_like(row, edits + 1)
+        up[:, :-1] = row[:, 1:]
+        row = np.minimum(row + (b[:, k - 1 : k - 1 + width] != a[:, k - 1 : k]), up + 1)
+        row = np.minimum(np.minimum.accumulate(row - step, axis=1) + step, edits + 1)
+        if k % 8 == 0 or k >= min_chars:
+            alive = row.min(axis=1) <= edits
+            if not alive.all():
+                a, b, row, which = a[alive], b[alive], row[alive], which[alive]
+            if not len(which):
+                break
+        if k >= min_chars:
+            for n, r in zip(which.tolist(), row):
+                d, i, s, t = todo[n]
+                text, item = docs[d], index.texts[i]
+                if s + k > len(text) or s + k < len(text) and text[s + k] != " " or text[s + k - 1] == " ":
+                    continue
+                word = text[text.rfind(" ", 0, s + k) + 1 : s + k]
+                for c in np.flatnonzero(r <= edits).tolist():
+                    z = t + k - edits + c
+                    if z <= len(item) and (z == len(item) or item[z] == " ") and item[item.rfind(" ", 0, z) + 1 : z] == word and (n not in best or best[n][0] < k or best[n][2] > r[c]):
+                        best[n] = (k, z, int(r[c]))
+    return [(todo[n][0], todo[n][1], todo[n][2], todo[n][2] + k, todo[n][3], z, dist) for n, (k, z, dist) in sorted(best.items())]
+
+
+def _joined_parts(docs: list[str], index: ItemIndex, parts: list[tuple], min_chars: int, edits: int) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """The passages of find_parts, those that overlap as one where they are within the bound together."""
+    last: list[tuple] = []
+    for part in [*sorted(parts), None]:
+        if last and (part is None or part[:2] != last[-1][:2] or part[2] > max(x[3] for x in last)):
+            d, i = last[0][:2]
+            d0, d1, i0, i1 = last[0][2], max(x[3] for x in last), min(x[4] for x in last), max(x[5] for x in last)
+            limit = edits * -(-(d1 - d0) // min_chars)
+            dist = banded_distance(docs[d][d0:d1], index.texts[i][i0:i1], limit)
+            yield (d, i, d0, d1, i0, i1, dist) if dist <= limit else max(last, key=lambda x: (x[3] - x[2], -x[6]))
+            last = []
+        if part is not None:
+            last.append(part)
 
 
 def shared_run(doc: list[str], item: list[str]) -> int:
@@ -227,20 +334,33 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
                     while b < len(norm) and (b == a or size + len(norm[b]) < 2_000_000):
                         size += len(norm[b])
                         b += 1
-                    for d, i, d0, d1, i0, i1 in find_regions(norm[a:b], idx, min_chars, edits, min_words):
+
+                    def keep(row: tuple) -> None:
+                        old = best.get(row[:2])
+                        if old is None or (row[2], row[4]) > (old[2], old[4]):
+                            best[row[:2]] = row
+
+                    failed = []
+                    for region in find_regions(norm[a:b], idx, min_chars, edits, min_words):
+                        d, i, d0, d1, i0, i1 = region[:6]
                         text, item = norm[a + d], idx.texts[i]
                         d0, d1 = _widen(text, d0, d1)
                         if edits and d1 - d0 < min_chars:
+                            failed.append(region)
                             continue
                         i0, i1 = _widen(item, i0, i1)
                         limit = edits * max(1, -(-(d1 - d0) // min_chars))
                         dist = banded_distance(text[d0:d1], item[i0:i1], limit + abs((d1 - d0) - (i1 - i0)) if edits else 0)
                         run = shared_run(text[d0:d1].split(), item_words[i])
                         if (run >= min_words) if edits == 0 else (run >= min_words or dist <= limit):
-                            row = (ids[a + d], idx.ids[i], run, dist, i1 - i0, text[d0:d1])
-                            old = best.get(row[:2])
-                            if old is None or (row[2], row[4]) > (old[2], old[4]):
-                                best[row[:2]] = row
+                            keep((ids[a + d], idx.ids[i], run, dist, i1 - i0, text[d0:d1]))
+                        else:
+                            failed.append(region)
+                    if edits and failed:
+                        docs_ = norm[a:b]
+                        for d, i, d0, d1, i0, i1, dist in _joined_parts(docs_, idx, find_parts(docs_, idx, failed, min_chars, edits), min_chars, edits):
+                            passage = docs_[d][d0:d1]
+                            keep((ids[a + d], idx.ids[i], shared_run(passage.split(), item_words[i]), dist, i1 - i0, passage))
                     a = b
                 if best:
                     yield pd.DataFrame(list(best.values()), columns=["doc_id", "item_id", "words", "distance", "item_chars", "passage"])

@@ -62,6 +62,45 @@ def test_edits(spark):
         k.find_leaks(D, I, edits=50, q=12, min_chars=100)
 
 
+def test_a_passage_within_a_longer_region_that_fails(spark):
+    rnd = random.Random(9)
+    w = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60)]
+    item = " ".join(w[:45])
+    own = [x if n % 6 else x[:-1] + "z" for n, x in enumerate(w[1:17], 1)]  # 111 characters, two edits, no run of 13 words
+    other = ["".join(rnd.choice("qrstuvwxyz") for _ in range(6)) for _ in range(14)]
+    docs = [(1, " ".join([*own, *other, *w[31:34]])), (2, " ".join([*w[1:4], *other, *own])), (3, " ".join([*w[1:4], *other, *w[18:21], *other, *w[35:38]]))]
+    docs += [(4, " ".join([w[1], *(x[:-1] + "z" if n in (1, 3) else x for n, x in enumerate(w[2:15])), w[15]]))]  # its shared q-grams alone span less than 100
+    D = spark.createDataFrame(docs, "doc_id bigint, text string")
+    I = spark.createDataFrame([(1, item)], "item_id bigint, text string")  # noqa: E741
+    got = {r["doc_id"]: r for r in k.find_leaks(D, I, edits=5, q=12, min_chars=100).collect()}
+    assert {1, 4} <= set(got) and 3 not in got and got[1]["distance"] == 2 and " ".join(own) in got[1]["passage"] and got[1]["words"] < 13
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_parts_against_brute_force(seed):
+    rnd = random.Random(seed)
+    w = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 8))) for _ in range(70)]
+    item = " ".join(w)
+    docs = []
+    for _ in range(12):
+        own = list(w)
+        for _ in range(rnd.randrange(4, 16)):
+            n = rnd.randrange(len(own))
+            own[n] = own[n][:-1] + "z"
+        docs.append(" ".join(own))
+    index = k.ItemIndex.build([(7, item)], 12)
+    got = {x[0] for x in k.find_parts(docs, index, k.find_regions(docs, index, 100, 5), 100, 5)}
+    want = set()
+    ends = [m.end() for m in k.re.finditer(r"[^ ]+", item)]
+    for d, text in enumerate(docs):  # all edits are substitutions
+        for m in k.re.finditer(r"[^ ]+", text):
+            for e in ends:
+                s = m.start()
+                if 100 <= e - s and sum(x != y for x, y in zip(text[s:e], item[s:e])) <= 5 and item[s : m.end()] == m.group(0) and text[:e].split()[-1] == item[:e].split()[-1]:
+                    want.add(d)
+    assert want <= got
+
+
 def test_banded_distance():
     def full(a, b):
         r = list(range(len(b) + 1))
