@@ -89,10 +89,10 @@ _COMMON = frozenset("the a an to is in be of or and was has have been this it ar
 
 def _triggers() -> frozenset[str]:
     """The words that stand in the patterns. A sentence with none of them needn't be held against any pattern, but for
-    numbers of a status and comment marks, which are looked for apart."""
+    numbers of a status, comment marks and unrendered values run together, which are looked for apart."""
     out = set()
     for p in (*ERROR, *SCRIPT, *EMPTY, *PLACEHOLDER):
-        bare = re.sub(r"\(\?[:=!]|\\[bdswS]|\[[^\]]*\]|\{\d*,?\d*\}|[\^$().*+|]", " ", re.sub(r"\(\?:([\w ]+)\)\?", r" \1 ", p))
+        bare = re.sub(r"\(\?[:=!]|\\[bdswS\[\]]|\[[^\]]*\]|\{\d*,?\d*\}|[\^$().*+|]", " ", re.sub(r"\(\?:([\w ]+)\)\?", r" \1 ", p))
         for w in re.findall(r"[^\W\d_]+\??", bare.lower()):
             w, optional = w.rstrip("?"), w.endswith("?")
             out |= {w, w[:-1]} if optional else {w}
@@ -103,6 +103,7 @@ def _triggers() -> frozenset[str]:
 
 TRIGGERS = _triggers()
 _STATUS = re.compile(r"[45]\d\d")
+_UNRENDERED = re.compile(EMPTY[2], re.I)
 _FENCE = re.compile(r"(?ms)^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[^\n]*$|\Z)")
 _QUOTED = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|(?<!\w)'[^'\n]{3,}'(?!\w)|‘[^’\n]*’")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\s])")
@@ -213,7 +214,7 @@ def judge(text: str, recurrent: frozenset[int] = frozenset()) -> Verdict:
             if not words and not s:
                 continue
             hit = None
-            if len(words) <= 3 or not TRIGGERS.isdisjoint(words) or "<!--" in s or _STATUS.search(s):
+            if len(words) <= 3 or not TRIGGERS.isdisjoint(words) or "<!--" in s or _STATUS.search(s) or _UNRENDERED.match(s):
                 hit = next((k for k, rx in _EVIDENCE if rx.search(s)), None)
             if hit is None and words and _filler(words):
                 hit = "filler"

@@ -1,3 +1,7 @@
+import random
+import re
+from re import _parser
+
 import pytest
 
 from lodestone.llm import residue as r
@@ -26,6 +30,45 @@ def test_content(text):
     assert r.judge(text).kind is None
 
 
+def example(parsed, rnd):
+    """A text that the parsed pattern accepts, as far as its assertions allow."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op in ("ANY", "NOT_LITERAL"):
+            out += "x"
+        elif op == "IN":
+            kind, value = rnd.choice(arg)
+            kind = str(kind)
+            out += chr(value) if kind == "LITERAL" else chr(value[0]) if kind == "RANGE" else "q" if kind == "NEGATE" else {"CATEGORY_DIGIT": "7", "CATEGORY_SPACE": " "}.get(str(value), "x")
+        elif op == "BRANCH":
+            out += example(rnd.choice(arg[1]), rnd)
+        elif op == "SUBPATTERN":
+            out += example(arg[-1], rnd)
+        elif op == "MAX_REPEAT":
+            out += "".join(example(arg[2], rnd) for _ in range(rnd.randint(arg[0], min(int(arg[1]), arg[0] + 4))))
+    return out
+
+
+def test_the_filter_by_words_loses_nothing(monkeypatch):
+    class Every:
+        def isdisjoint(self, _):
+            return False
+
+    rnd = random.Random(3)
+    texts = ["[object Object] [object Object]", "[object Object] of [object Object]", "of of of of"]
+    for p in (*r.ERROR, *r.SCRIPT, *r.EMPTY, *r.PLACEHOLDER):
+        parsed = _parser.parse(p, re.I)
+        for _ in range(50):
+            e = example(parsed, rnd)
+            texts += [e, f"zzk zzm zzq {e}", f"{e} {e}"]
+    got = [r.judge(t) for t in texts]
+    monkeypatch.setattr(r, "TRIGGERS", Every())
+    assert [(t, v) for t, v in zip(texts, got) if r.judge(t) != v] == [] and [v.kind for v in got[:2]] == ["empty", "empty"]
+
+
 def test_long_text_is_read_whole():
     assert r.judge(REAL * 5000 + "\nPlease enable JavaScript to view this page.").kind is None
     assert r.judge("Please enable JavaScript.\n" * 20_000).kind == "script"
