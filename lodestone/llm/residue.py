@@ -117,6 +117,8 @@ _CODE_LINE = re.compile(
     r"[;{}]\s*$|^\s*(?:import|def|class|return|func|package|const|let|var|public|private|protected|while|try|except|catch|switch|case)\b(?!.*[.!?]$)|^\s*(?:#include|@\w+|\"\"\"|log\.|\}|\))|^\s*[\w.\[\]]+\s*(?:=|:=|\+=)\s*\S|\w\(.*\)\s*[;:]?\s*$|=>"
 )
 _WORD = re.compile(r"[^\W\d_][\w'’]*|\d+")
+# Names in an error's answer that belong to the error.
+_TOLD = re.compile(r"(?i)err|exception|code|status|messag|detail|trace|stack|cause|reason|descri|title|type|hint|debug|path|instance|timestamp|request|documentation|help|meta")
 
 
 @dataclass
@@ -235,19 +237,30 @@ def judge(text: str, recurrent: frozenset[int] = frozenset()) -> Verdict:
     return Verdict(None, evidence, total)
 
 
+def _json_words(value) -> int:
+    if isinstance(value, dict):
+        return sum(map(_json_words, value.values()))
+    if isinstance(value, list):
+        return sum(map(_json_words, value))
+    return len(_WORD.findall(value)) if isinstance(value, str) else 0
+
+
 def _json_error(text: str) -> bool:
-    """Whether the record is nothing but an error answer in JSON."""
+    """Whether the record is nothing but an error answer in JSON, however long: what stands beside the error is no content."""
     t = text.strip()
-    if t[:1] != "{" or t[-1:] != "}" or len(t) > 2000 or not re.search(r'(?i)"(?:error|errors|code|status|message|detail)"', t):
+    if t[:1] != "{" or t[-1:] != "}" or not re.search(r'(?i)"(?:error|errors|code|status|message|detail)"', t):
         return False
     try:
         d = json.loads(t)
-    except ValueError:
+        inner = d.get("error", d.get("errors", d))
+        parts = [d, *([inner] if isinstance(inner, dict) else [])]
+        codes = [str(p.get(k, "")) for p in parts for k in ("code", "status", "statusCode", "status_code")]
+        if len(d) > 6 or not (d.get("error") or d.get("errors") or any(re.fullmatch(r"[45]\d\d", c) for c in codes)):
+            return False
+        told = sum(_json_words(v) for k, v in d.items() if _TOLD.search(k))
+        return _json_words(d) - told <= max(40, told)
+    except (ValueError, RecursionError):
         return False
-    inner = d.get("error", d.get("errors", d))
-    parts = [d, *([inner] if isinstance(inner, dict) else [])]
-    codes = [str(p.get(k, "")) for p in parts for k in ("code", "status", "statusCode", "status_code")]
-    return ("error" in d or "errors" in d or any(re.fullmatch(r"[45]\d\d", c) for c in codes)) and len(d) <= 6
 
 
 def normal_line(line):

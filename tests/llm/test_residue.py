@@ -1,3 +1,4 @@
+import json
 import random
 import re
 from re import _parser
@@ -74,6 +75,15 @@ def test_long_text_is_read_whole():
     assert r.judge("Please enable JavaScript.\n" * 20_000).kind == "script"
 
 
+@pytest.mark.parametrize("n", [10, 100, 5000])
+def test_error_answers_in_json_of_any_length(n):
+    frames = [f"at handler{i} (router.js:{i})" for i in range(n)]
+    assert r.judge(json.dumps({"error": {"code": 500, "message": "Internal failure", "stack": frames}})).kind == "error"
+    assert r.judge(json.dumps({"status": 404, "detail": " ".join(frames), "path": "/a/b"}, indent=1)).kind == "error"
+    assert r.judge(json.dumps({"error": None, "status": "ok", "items": [REAL] * n})).kind is None
+    assert r.judge(json.dumps({"code": 404, "message": "partly found", "items": [REAL] * n})).kind is None
+
+
 def test_recurrent_lines_are_subtracted(spark):
     banner = "Gantry Harbor Archive of the Northern Reading Room, open since the first of May"
     docs = [(i, "h", f"{banner}\n\nNo content available." if i < 10 else f"{banner}\n\nArticle {'x' * i} tells of the winter in which the river froze to its bed.") for i in range(40)] + [(90, "other", f"{banner}\n\nNo content available."), (91, None, None), (92, "h", "  ")]
