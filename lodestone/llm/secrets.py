@@ -73,8 +73,16 @@ _DIGEST = re.compile(r"(?i)^(?:sha\d{1,3}|md5|blake\w*|crc32)\s*[:\-=]|^(?:sha(?
 _UUID = re.compile(r"(?i)^\{?[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\}?$")
 _HOST = re.compile(r"(?i)^[a-z0-9\-]+(?:\.[a-z0-9\-]+)*\.(?:example|com|org|net|io|dev|local|internal|test|invalid|localhost)(?::\d+)?(?:/.*)?$")
 _HEX = re.compile(r"(?i)^(?:0x)?[0-9a-f]+$")
-_KEYED = re.compile(r"(?i)pass|pwd|secret|token|key|cred|auth|login|bearer|\bpw\b|_pw\b|pat\b")
-_ANY = re.compile(r"(?i)pass|pwd|secret|token|key|cred|auth|login|logon|sign_?in|bearer|basic|connect|\bpw\b|://[^\s/:@]*:|-----BEGIN|-u |[A-Za-z0-9+/=_\-]{16}")
+# What any name of a secret or word of a comment holds; `pw` and `pat` in any spelling that name_kind() takes for words.
+_NAMED = r"(?i:pass|pwd|secret|token|key|cred|auth|login|bearer)|(?<![a-z])(?:pw|pat)(?![a-z])|P(?:w|at)(?![a-z])|(?<![A-Z])P(?:W|AT)(?![a-z])|\bpW\b|(?i:(?:tls|ssl|pem|deploy|ssh)[\w.$\-]*data)"
+_KEYED = re.compile(_NAMED)
+# What any call of _CALL holds.
+_CALLS = r"(?i:log_?in|log_?on|sign_?in|auth|connect|password|credential)"
+_CALLED = re.compile(_CALLS)
+# Between the pieces of a value, or the quotes of an empty one.
+_JOINT = r"[\"'`][ \t]*[+.\\]?[ \t]*\r?\n?[ \t]*[+.]?[ \t]*[rbuf]{0,2}[\"'`]"
+_PIECED = re.compile(_JOINT)
+_ANY = re.compile(_NAMED + "|" + _CALLS + r"|(?i:basic)|://[^\s/:@]*:|-----BEGIN|-u[ =]|--user|[A-Za-z0-9+/=_\-.!@#$%^&*?~]{16}|" + _JOINT)
 
 
 def entropy(s: str) -> float:
@@ -230,8 +238,7 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
                 take([(a, b)], "url_password")
             taken.append(m.span())
     keyed = _KEYED.search(text) is not None
-    low = None
-    if keyed or "asic " in text or "earer " in text:
+    if keyed or "asic" in text:
         for m in _SCHEME.finditer(text):
             v = m.group("value")
             ok = _basic(v) if m.group("kind").lower() == "basic" else (usable(v, True) and len(v) >= 12)
@@ -239,7 +246,7 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
                 take([m.span("value")], "authorization")
             elif ok is False:
                 taken.append(m.span("value"))
-    if keyed:
+    if keyed or _PIECED.search(text):
         for m in _ASSIGN.finditer(text):
             kind = name_kind(m.group("name"))
             if m.group("op") == ",":
@@ -253,20 +260,20 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
                 take(spans, "assignment")
             elif kind < 0 or kind > 0:
                 taken.extend(spans)
+    if keyed:
         for m in _BARE.finditer(text):
             if name_kind(m.group("name")) > 0 and free(*m.span("value")) and usable(m.group("value"), True) and not re.search(r"[()\[\]{}]|^(?:True|False|None|null|true|false)$|^[A-Za-z_]\w*\.[A-Za-z_]\w*$", m.group("value")):
                 take([m.span("value")], "assignment")
-    if keyed or "-u " in text or "--user" in text:
+    if keyed or "-u " in text or "-u=" in text or "--user" in text:
         for m in _FLAG.finditer(text):
             if (m.group("name") is None or name_kind(m.group("name")) > 0) and free(*m.span("value")) and usable(m.group("value"), True):
                 take([m.span("value")], "flag")
+    if _CALLED.search(text):
+        for m in _CALL.finditer(text):
+            a, b = m.start(2) + 1, m.end(2) - 1
+            if free(a, b) and usable(text[a:b], True):
+                take([(a, b)], "call")
     if keyed:
-        low = text.lower()
-        if any(w in low for w in ("login", "log_in", "connect", "auth", "sign_in", "signin", "password", "credential", "logon")):
-            for m in _CALL.finditer(text):
-                a, b = m.start(2) + 1, m.end(2) - 1
-                if free(a, b) and usable(text[a:b], True):
-                    take([(a, b)], "call")
         for c in _COMMENT.finditer(text):
             if not _KEYED.search(c.group("body")):
                 continue

@@ -29,6 +29,14 @@ def test_not_found(line):
     assert s.secret_lines("x = 1\n" + line + "\ny = 2") == []
 
 
+@pytest.mark.parametrize("line", [
+    'db.connect("svc", "Hunter2!x")', 'logon("bob", "Xk9#aa11")', 'sign_in("bob", "Xk9#aa11")', 'dbPw = "Hj4!k9Lm"', 'DBPW2 = 1; adminPw: "Hj4!k9Lm"', 'dbPW = "Hj4!k9Lm"', 'githubPat = "Hj4!k9Lm"', "x -u=bob:Hunter2!x y", 'x = "ghp_a1B2c3" + "D4e5F6g7H8" + "i9J0k1L2m3" + "N4o5P6q7R8"', "h = 'Basic\tc3ZjOlRpbGU1MjAyIQ=='",
+])
+def test_gates_let_through_what_their_rules_take(line):
+    assert [n for n, _ in s.secret_lines("x = 1\n" + line + "\ny = 2")] == [2]
+    assert s.redact(line) != line
+
+
 def test_first_piece_counts():
     text = f'token = (\n  "{TOKEN[:20]}"\n  "{TOKEN[20:]}"\n)'
     assert [n for n, _ in s.secret_lines(text)] == [2]
