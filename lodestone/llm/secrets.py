@@ -48,6 +48,9 @@ ABOUT_WORDS = frozenset("public hint field label title name names url uri path f
 # Stand-ins, compared in lower case without separators.
 STAND_INS = frozenset("replaceme changeme changeit changethis fillme fillin fromenv fromvault fromconfig none null nil undefined empty unset notset todo tbd fixme redacted masked hidden removed omitted secret password passwd token key apikey yourpassword yourtoken yourkey yoursecret yourapikey example sample dummy placeholder test testing default insertkeyhere insecure".split())
 
+#: Tokens beyond this length are data unless they are built like keys: at it any encoded data is as random as a key.
+LONG = 400
+
 _ISSUED = re.compile("|".join(ISSUED))
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -202,6 +205,22 @@ def _basic(v: str) -> bool | None:
     return bool(sep) and usable(pw, True) if sep else None
 
 
+def key_body(v: str) -> bool:
+    """Whether a long token is the body of a private key without its marks: DER in base64 or hex whose sequence is as long as
+    it says and begins with a version, as those of private keys do and those of certificates and public keys don't, or the
+    body of an OpenSSH key. Other long tokens are data: their entropy tells nothing."""
+    if v.startswith("b3BlbnNzaC1rZXktdjEA"):
+        return True
+    if v[:2] != "MI" and v[:3] != "308":
+        return False
+    try:
+        der = bytes.fromhex(v) if v[0] == "3" else base64.b64decode(v.rstrip("=").translate({45: 43, 95: 47}) + "=" * (-len(v.rstrip("=")) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return False
+    size = der[1] - 128 if len(der) > 8 and der[0] == 0x30 and 0x81 <= der[1] <= 0x84 else 0
+    return size > 0 and int.from_bytes(der[2 : 2 + size], "big") + 2 + size == len(der) and der[2 + size : 4 + size] == b"\x02\x01" and der[4 + size] <= 1
+
+
 def find_secrets(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each usable secret's value in text, in order, not overlapping.
 
@@ -288,7 +307,7 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
             take([(a, b)], "issued")
     for m in _TOKEN.finditer(text):
         a, b = m.span()
-        if b - a < 20 or b - a > 400:
+        if b - a < 20:
             continue
         v = m.group(0) if m.group(0)[-1] == "=" else m.group(0).strip(".-")
         at = a + m.group(0).find(v)
@@ -300,6 +319,10 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
             words = {w.lower() for w in _WORDS.findall(name.group(1))}
             if words & {"integrity", "checksum", "digest", "hash", "sha", "sha256", "sha512", "md5", "etag", "commit", "fingerprint", "pixel", "icon", "image", "public", "pub", "signature", "nonce", "uuid", "id"}:
                 continue
+        if len(v) > LONG:
+            if key_body(v) and free(at, at + len(v)):
+                take([(at, at + len(v))], "entropy")
+            continue
         if "/" in v and not re.search(r"[+=]", v) or "," in before[-3:] and not quoted:
             continue
         if free(at, at + len(v)) and usable(v, False):

@@ -1,5 +1,7 @@
 import ast
+import base64
 import json
+import random
 
 import pytest
 
@@ -37,6 +39,21 @@ def test_gates_let_through_what_their_rules_take(line):
     assert s.redact(line) != line
 
 
+def test_long_tokens_are_judged_by_their_build():
+    rnd = random.Random(5)
+
+    def der(tag):
+        body = tag + rnd.randbytes(1200)
+        return b"\x30\x82" + len(body).to_bytes(2, "big") + body
+
+    for raw, want in ((der(b"\x02\x01\x00\x30\x0d"), True), (der(b"\x30\x82\x02\x00"), False), (rnd.randbytes(1200), False), (b"openssh-key-v1\0" + rnd.randbytes(1200), True)):
+        v = base64.b64encode(raw).decode()
+        assert (s.secret_lines(f"x = 1\nblob = '{v}'") == [(2, "entropy")]) == want
+        assert (v in s.redact(f"blob = '{v}'")) != want
+    v = der(b"\x02\x01\x00\x02\x82").hex()
+    assert s.secret_lines(f"blob = '{v}'") == [(1, "entropy")] and s.secret_lines(f"blob = '{v[:-2]}'") == []
+
+
 def test_first_piece_counts():
     text = f'token = (\n  "{TOKEN[:20]}"\n  "{TOKEN[20:]}"\n)'
     assert [n for n, _ in s.secret_lines(text)] == [2]
