@@ -72,9 +72,9 @@ class Grammar:
 
     # Interning of groups ------------------------------------------------------------------------------------------------
 
-    def fresh(self) -> None:
-        """Forget the memo when its room is used up; only between files."""
-        if any(self.next[k] - BASE[k] > ROOM - 20_000 for k in BASE) or len(self.content) > 400_000:
+    def fresh(self, at_once: bool = False) -> None:
+        """Forget the memo when its room is used up, or at once; only between files."""
+        if at_once or any(self.next[k] - BASE[k] > ROOM - 20_000 for k in BASE) or len(self.content) > 400_000:
             self.inner.clear()
             self.groups.clear()
             self.whole.clear()

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from lodestone.llm import files, provenance, syntax
+from lodestone.llm import files, peg, provenance, syntax
 from lodestone.llm.grammars import EXTENSIONS, language
 from tests.conftest import rows
 
@@ -76,6 +76,31 @@ def test_memo_is_the_same_in_any_order():
     assert all(lang.valid(texts[i]) == want[i] for i in order)
 
 
+def test_a_full_memo_is_emptied_and_what_still_fails_is_unjudged(monkeypatch):
+    grammar = language("javascript").grammar
+    monkeypatch.setattr(peg, "ROOM", 40)
+    text = "".join(f"f({'a,' * n}a);\n" for n in range(30))
+    grammar.fresh(at_once=True)
+    for n in range(35):  # what the worker parsed before takes nearly all of the room
+        grammar.group("P", "x" * n)
+    monkeypatch.setattr(grammar, "next", dict(grammar.next))
+    fresh = type(grammar).fresh
+    monkeypatch.setattr(grammar, "fresh", lambda at_once=False: fresh(grammar, True) if at_once else None)  # 20,000 are more than this room
+    assert syntax.check(text, "js") is None
+    with pytest.raises(syntax.Unjudged):
+        syntax.check("".join(f"f({'a,' * n}a);\n" for n in range(60)), "js")
+    fresh(grammar, True)
+
+
+def test_unjudged_files_arent_counted(spark):
+    deep = "x = " + "not " * 100_000 + "1\n"
+    F_ = spark.createDataFrame([("/r/a.py", "a.py", "py", None, "r", None), ("/r/b.py", "b.py", "py", None, "r", None)], SCANNED)
+    C_ = spark.createDataFrame([("/r/a.py", 1, deep), ("/r/b.py", 1, "x = 1")], "filepath string, startline int, content string")
+    j = syntax.judge_files(F_, C_)
+    assert rows(j, "path", "judged", "cause") == [("/r/a.py", False, None), ("/r/b.py", True, None)]
+    assert rows(syntax.rates(j)) == [("r", "python", 1, 0, 0.0)]
+
+
 def test_assemble():
     p = lambda *xs: [dict(s=s, c=c) for s, c in xs]
     assert files.assemble(p((4, "c"), (1, "a\nb"))) == "a\nb\n\nc" and files.assemble(p((1, "a\n"), (2, "b"))) == "a\nb"
