@@ -40,3 +40,21 @@ def test_against_sql(spark, folder, name):
     q = ", ".join(f'"{c}"' for c in cols)
     theirs = sorted((tuple(r) for r in con.execute(f"SELECT {q} FROM ({entry.oracle_sql()[name]})").fetchall()), key=repr)
     assert mine == theirs
+
+
+def test_shipping_writes_nothing_into_the_package(tmp_path):
+    import io
+    import shutil
+    import subprocess
+    import sys
+    import zipfile
+
+    home = os.path.join(os.path.dirname(entry.__file__), "lodestone")
+    copy = tmp_path / "lodestone"
+    shutil.copytree(home, copy, ignore=shutil.ignore_patterns("__pycache__"))
+    before = sorted(str(p) for p in tmp_path.rglob("*"))
+    code = "import lodestone.session as s, sys, os; sys.stdout.buffer.write(s.package_archive(os.path.dirname(s.__file__)))"
+    made = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, check=True).stdout
+    assert sorted(str(p) for p in tmp_path.rglob("*")) == before
+    names = zipfile.ZipFile(io.BytesIO(made)).namelist()
+    assert "lodestone/session.py" in names and "lodestone/operators/store.py" in names and not [n for n in names if not n.endswith(".py")]
