@@ -53,6 +53,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
+def p4_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """(queries, true_neighbours, found, recall): what the search's output reaches against brute force."""
+    chunks = table(spark, folder, "chunks", "id", "vector")
+    return vectors.measured_recall(chunks, vectors.top_k_neighbours(chunks))
+
+
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of at most 2,000 tokens of every oversized chunk, with an overlap of 50 tokens."""
     src = table(spark, folder, "code_chunks", "id", "content", "startline", "filepath").dropDuplicates()
@@ -128,6 +134,7 @@ QUERIES = {
     "p3_foreign": p3_foreign,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
+    "p4_recall": p4_recall,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
