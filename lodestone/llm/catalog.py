@@ -33,7 +33,7 @@ def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_foreign(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, repo, ext, kind) of scanned files that weren't written by hand in this project."""
+    """(path, repo, ext, kind, evidence) of scanned files that weren't written by hand in this project."""
     return provenance.find_foreign(table(spark, folder, "scanned_files"), table(spark, folder, "code_chunks", "filepath", "startline", "content"))
 
 

@@ -1,14 +1,16 @@
 """Files that nobody wrote by hand here: generated, minified, vendored, or data in the guise of code.
 
-Each file is lexed and re-emitted in canonical formatting, in thought: one statement a line. Compared with that, the
-original's layout tells: extreme expansion marks minified text, perfect uniformity of the lines' shapes generated text,
-dominance of literals a data blob. What a file's comments say of its origin, and a place among other projects' packages, mark
-generated and vendored files too; so does being a copy, comments aside, of a file that is marked as vendored.
+Each file is lexed and re-emitted in canonical formatting: a statement a line, one blank between tokens where a formatter would
+put it. Compared with that, the original's layout tells: extreme expansion with most of the canonical blanks left out marks
+minified text, perfect uniformity of the canonical lines' shapes generated text, dominance of literals a data blob. Secondary
+evidence, reported as such, is what a file's comments say of its origin and a place among other projects' packages; being a
+copy of a file that is marked as another project's is one more.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +31,7 @@ GENERATED = (
     r"\bdo not edit\b.*\bgenerated\b|\bgenerated\b.*\b(?:do not (?:edit|modify|change)|edits? will be (?:lost|overwritten)|don't (?:edit|modify))\b",
     r"@generated\b|<auto-?generated\b|\bauto-?generated (?:file|by|from|code)\b|\bautogenerated\b",
     r"\b(?:this (?:file|code|module|class) (?:is|was|has been) )(?:auto(?:matically)?[- ]?)?(?:generated|produced|created|written) (?:automatically )?(?:by|from|with|using)\b",
-    r"\b(?:machine|tool)-(?:written|generated|made)\b|\boutput of \S+, change the (?:template|source|schema) instead\b",
+    r"\b(?:machine|tool)-(?:written|generated|made)\b",
     r"\bgenerated (?:on|at) \S+ (?:from|by|using|with)\b|\bgenerated (?:by|from|with|using) \S+(?: v?\d[\w.]*)?[.!]?\s*$|\bgenerated from \S+\.\w+ (?:by|using|with)\b",
     r"\bedits will be overwritten\b|\bmanual changes (?:are|will be) (?:lost|overwritten)\b",
 )
@@ -38,7 +40,7 @@ VENDORED = (
     r"\bvendored (?:copy|from|in|version)\b|\bvendored\b.*\bupstream\b",
     r"\b(?:taken|copied|imported|borrowed|lifted|extracted) (?:verbatim |unchanged |as is |directly )?from \S+.*(?:\d+\.\d+|upstream|licen[cs]e|https?://|release|version|commit)",
     r"\bbundled (?:snapshot|copy|version|release)\b|\bthird[- ]party (?:code|copy|library)\b",
-    r"\bsend fixes to the upstream\b|\bupstream (?:project|repository|source):? \S+|\bimported by the sync job\b|\blocal (?:changes|modifications): (?:none|see)\b",
+    r"\bsend fixes to the upstream\b|\bupstream (?:project|repository|source):? \S+|\blocal (?:changes|modifications): (?:none|see)\b",
     r"\(c\) [\d\-, ]+ the \S+ authors, released under\b|\breleased under the (?:mit|bsd|apache|isc|mpl|lgpl)[\w\- ]* licen[cs]e\b",
 )
 # How a comment among code opens that speaks of its file, and not of the value or function beside it.
@@ -47,10 +49,10 @@ GENERATED_INSIDE = (
     r"@generated(?:$|\W)|<auto-?generated\b|auto-?generated (?:file|code|from)\b",
     r"(?:auto[- ]?|automatically )?generated\b.*\b(?:do not (?:edit|modify|change)|edits? will be (?:lost|overwritten)|don't (?:edit|modify))\b",
     r"this (?:file|module) (?:is|was|has been) (?:auto(?:matically)?[- ]?)?(?:generated|produced|created|written) (?:automatically )?(?:by|from|with|using)\b",
-    r"(?:machine|tool)-(?:written|generated|made) (?:output|file|code|by|from)\b|output of \S+, change the (?:template|source|schema) instead\b",
+    r"(?:machine|tool)-(?:written|generated|made) (?:output|file|code|by|from)\b",
     r"generated (?:on|at) \S+ (?:from|by|using|with)\b|edits will be overwritten\b|manual changes (?:are|will be) (?:lost|overwritten)\b",
 )
-VENDORED_INSIDE = (r"(?:this (?:file|module) is an? )?(?:vendored|bundled) (?:copy|snapshot|version|release|from)\b", r"vendored\b.*\bupstream\b|send fixes to the upstream\b|imported by the sync job\b")
+VENDORED_INSIDE = (r"(?:this (?:file|module) is an? )?(?:vendored|bundled) (?:copy|snapshot|version|release|from)\b", r"vendored\b.*\bupstream\b|send fixes to the upstream\b")
 _GENERATED = re.compile("|".join(f"(?:{p})" for p in GENERATED), re.I)
 _VENDORED = re.compile("|".join(f"(?:{p})" for p in VENDORED), re.I)
 _GENERATED_INSIDE = re.compile(r"^[^\w@<]*(?:" + "|".join(GENERATED_INSIDE) + ")", re.I)
@@ -60,103 +62,168 @@ _COMMENT_LINE = re.compile(r"^\s*(?://|#|/\*|\*|<!--|--|;|\"\"\"|''')")
 _PACKAGE_DIR = re.compile(r"(?i)^[a-z@][\w.@\-]*[-@_]v?\d+\.\d+(?:\.\d+)*(?:[-+][\w.]+)?$")
 _VERSION_DIR = re.compile(r"^v?\d+\.\d+(?:\.\d+)*$")
 
-#: More statements a line than this, on lines longer than LONG_LINE, is minified.
-EXPANSION, LONG_LINE = 4.0, 250
-#: The three most frequent line shapes cover this much of a generated file's lines, of which there are MIN_LINES at least.
-UNIFORM, MIN_LINES = 0.85, 12
-#: Literals are this much of a data blob's characters, of which there are MIN_CHARS at least.
-LITERAL, MIN_CHARS = 0.7, 800
+#: Canonical lines a line of a minified file, and how much of the canonical blanks between tokens it keeps at most.
+EXPANSION, KEPT_BLANKS = 3.0, 0.6
+#: A generated file's canonical lines are made of so few shapes (as 2 to the power of their entropy), each of which stands
+#: there REPEATS times on average.
+SHAPES, REPEATS = 6.0, 5.0
+#: Literals are this much of a data blob's characters, and have so many characters for each name beside them.
+LITERAL, LITERAL_PER_NAME = 0.7, 60.0
+#: From so many tokens on a copy is known by its tokens alone, below it must be equal with its comments and blanks.
+COPY_TOKENS = 40
 
 
 @dataclass
 class Layout:
-    """What lexing tells of a file: canonical lines a line, the share of the commonest line shapes, that of literals."""
+    """What the canonical text tells of the original one."""
 
-    lines: int
-    longest: int
-    expansion: float
-    uniformity: float
+    lines: int  # of the original, without comments
+    canonical: int
+    expansion: float  # canonical lines a line
+    kept_blanks: float  # blanks between tokens, as a share of the canonical ones
+    same: float  # share of the original lines that are canonical
+    shapes: float  # how many shapes its lines effectively have
+    repeats: float  # lines a shape
     shape_tokens: float
-    literals: float
-    names: int
-    chars: int
+    literals: float  # share of the characters, without strings that hold words or code
+    per_name: float  # characters of literals a name
     fingerprint: str | None
 
 
-def layout(text: str, ext: str, tokens: list[str]) -> Layout:
-    lang = language(EXTENSIONS[ext])
+_COMPOUND = frozenset("if elif else for while with try except finally def class async match case".split())
+_LITERAL_BRACE = frozenset("= ( , : [ ? => return import export from const let var default in of && || ?? + ! ... := map".split())
+_AFTER_CLOSE = frozenset("else catch finally while ) , ; . ] ( ?. as from".split())
+_GOES_ON = frozenset("= + - * / % & | ^ < > <= >= == != === !== && || ?? ? : , . => := += -= ( [ ! ~ <- extends implements".split())
+_SPACED = frozenset("= + - * / % & | ^ < > <= >= == != === !== && || ?? ? => := += -= *= /= |= &= ^= %= ||= &&= ??= ** << >> >>> <- -> //".split())
+_TIGHT_BEFORE = frozenset(") ] , ; . ?. ( [ ++ -- : :: ...".split())
+_TIGHT_AFTER = frozenset("( [ . ?. ! ~ @ ... :: ++ -- #".split())
+
+
+def _word(t: str) -> bool:
+    return t[0].isalnum() or t[0] in "_$\"'`@"
+
+
+def _blank(a: str, b: str) -> bool:
+    """Whether canonical text has a blank between two tokens of a line."""
+    if a in _TIGHT_AFTER:
+        return False
+    if b in _TIGHT_BEFORE:
+        return b in "([" and (a in _SPACED or a in ",:;" or a in ("if", "for", "while", "switch", "catch", "return", "elif", "and", "or", "not", "in"))
+    return _word(a) and _word(b) or a in ",;:" or a in _SPACED or b in _SPACED or b in "{}" or a in "{})"
+
+
+def emit(tokens: list[str], lang) -> list[list[str]]:
+    """The lines of the canonical text, as tokens: a statement a line, a brace of a block at its line's end, comments left out."""
+    lines: list[list[str]] = []
+    cur: list[str] = []
+    stack: list[str] = []
+    closed = False
     python = lang.name == "python"
-    statements = 0
-    shapes: Counter = Counter()
-    shape: list[str] = []
-    literal = names = solid = 0
-    parens = 0
-    code = lang.code
-    kind = lang.kind
-    bare: list[str] = []
     for t in tokens:
         c0 = t[0]
-        if c0 == "\n" or python and c0 == "\r":
-            if shape:
-                shapes["".join(shape)] += 1
-                shape = []
-            statements += python and parens == 0
-            continue
-        if t.startswith(("//", "/*")) and not python or c0 == "#" and python:
-            continue
-        n = len(t)
-        solid += n
-        bare.append(t)
-        if c0 in "\"'`" or n > 2 and t[-1] in "\"'":
-            literal += n
-            shape.append("s")
+        if c0 in "\r\n":
+            top = stack[-1] if stack else "b"
+            if cur and not closed and (not stack if python else top == "b" and cur[-1] not in _GOES_ON):
+                lines.append(cur)
+                cur = []
             continue
-        if c0.isdigit() or c0 == "." and n > 1 and t != "...":
-            literal += n
-            shape.append("n")
+        if (c0 == "#") if python else t.startswith(("//", "/*")):
             continue
-        if c0.isalpha() or c0 in "_$":
-            names += 1
-            shape.append("i" if t not in lang.keywords else code[t])
+        if closed:
+            closed = False
+            if t not in _AFTER_CLOSE:
+                lines.append(cur)
+                cur = []
+        if t in "([" or python and t == "{":
+            stack.append("p")
+        elif t in ")]" or python and t == "}":
+            while stack and stack.pop() != "p":
+                pass
+        elif t == "{":
+            prev = cur[-1] if cur else None
+            literal = prev in _LITERAL_BRACE or lang.name == "go" and prev is not None and prev != ")" and cur[0] not in lang.keywords
+            stack.append("o" if literal and prev != "=>" else "b")
+            cur.append(t)
+            if stack[-1] == "b":
+                lines.append(cur)
+                cur = []
             continue
-        if t == "(":
-            parens += 1
-        elif t == ")":
-            parens = max(0, parens - 1)
-        elif t == ";":
-            statements += parens == 0
-        elif t in "{}":
-            statements += 1
-        shape.append(t if t in code else kind(t))
-    if shape:
-        shapes["".join(shape)] += 1
-    if lang.name == "java":  # its lexer leaves line ends out
-        shapes = _line_shapes(text, lang)
-    rows = [ln for ln in text.split("\n") if ln.strip()]
-    counted = Counter({s: n for s, n in shapes.items() if len(s) > 2})
-    top = counted.most_common(3)
-    covered, total = sum(n for _, n in top), sum(counted.values())
-    print_ = hashlib.blake2b("\x00".join(bare).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest() if len(bare) >= 40 else None
-    return Layout(
-        len(rows),
-        max((len(r) for r in rows), default=0),
-        statements / max(1, len(rows)),
-        covered / total if total else 0.0,
-        sum(len(s) * n for s, n in top) / covered if covered else 0.0,
-        literal / solid if solid else 0.0,
-        names,
-        solid,
-        print_,
-    )
+        elif t == "}" and stack:
+            if stack.pop() == "b":
+                if cur:
+                    lines.append(cur)
+                cur, closed = ["}"], True
+                continue
+        cur.append(t)
+        if t == ";" and (not stack or stack[-1] == "b") or python and not stack and t == ":" and cur[0] in _COMPOUND and "lambda" not in cur:
+            lines.append(cur)
+            cur = []
+    if cur:
+        lines.append(cur)
+    return lines
+
+
+def _prose(t: str) -> bool:
+    """Whether a string holds words for people, or code, rather than data."""
+    return len(t) >= 12 and sum(map(t.count, " \n\t")) >= 0.08 * len(t) and sum(c.isalpha() for c in t) >= 0.5 * len(t)
 
 
-def _line_shapes(text: str, lang) -> Counter:
+def layout(text: str, ext: str, tokens: list[str]) -> Layout:
+    lang = language(EXTENSIONS[ext])
+    code, kind = lang.code, lang.kind
+    remarks = sum(len(ln.strip()) for t in tokens if (t[0] in "\r\n" and "#" in t) or t.startswith(("//", "/*")) and lang.name != "python" or t[0] == "#" for ln in t.split("\n"))
+    lines = emit(tokens, lang)
     shapes: Counter = Counter()
-    for line in text.split("\n"):
-        s = [("s" if t[0] in "\"'" else "n" if t[0].isdigit() else "i" if (t[0].isalpha() or t[0] in "_$") and t not in lang.keywords else t) for t in lang.lex(line) if not t.startswith(("//", "/*"))]
-        if s:
-            shapes["".join(s)] += 1
-    return shapes
+    literal = names = solid = blanks = count = 0
+    canonical: set[str] = set()
+    for line in lines:
+        shape = []
+        out = []
+        for k, t in enumerate(line):
+            c0, n = t[0], len(t)
+            solid += n
+            count += 1
+            if k and _blank(line[k - 1], t):
+                blanks += 1
+                out.append(" ")
+            out.append(t)
+            if c0 in "\"'`" or n > 2 and t[-1] in "\"'":
+                literal += 0 if _prose(t) else n
+                shape.append("s")
+            elif c0.isdigit() or c0 == "." and n > 1 and t != "...":
+                literal += n
+                shape.append("n")
+            elif c0.isalpha() or c0 in "_$":
+                names += 1
+                shape.append("i" if t not in lang.keywords else code[t])
+            else:
+                shape.append(t if t in code else kind(t))
+        canonical.add("".join(out))
+        if len(shape) > 2:
+            shapes[" ".join(shape)] += 1
+    rows = [r for r in map(str.strip, text.split("\n")) if r]
+    own = [r for r in rows if not _COMMENT_LINE.match(r)]
+    kept = max(0, sum(map(len, rows)) - solid - remarks)
+    # Lines without a bracket, an assignment or a colon are prose, whatever the extension says.
+    total = sum(n for x, n in shapes.items() if any(c in x for c in "(=:{["))
+    few = 2 ** -sum(n / total * math.log2(n / total) for x, n in shapes.items() if any(c in x for c in "(=:{[")) if total else 1.0
+    mark = None
+    if count:
+        whole = "\x00".join(t for line in lines for t in line) if count >= COPY_TOKENS else "\x01" + text.strip()
+        mark = hashlib.blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+    return Layout(
+        len(own),
+        len(lines),
+        len(lines) / max(1, len(own)),
+        kept / max(1, blanks),
+        sum(r in canonical for r in own) / max(1, len(own)),
+        few,
+        total / few,
+        sum((x.count(" ") + 1) * n for x, n in shapes.items()) / max(1, sum(shapes.values())),
+        literal / solid if solid else 0.0,
+        literal / max(1, names),
+        mark,
+    )
 
 
 def notes(text: str, ext: str, tokens: list[str] | None = None) -> list[tuple[bool, str]]:
@@ -241,36 +308,45 @@ def place(relativepath: str | None) -> bool:
     return any(p in VENDOR_DIRS and i + 1 < len(low) for i, p in enumerate(low)) or any(_PACKAGE_DIR.match(p) for p in parts[:-1]) or any(_VERSION_DIR.match(p) and i > 0 for i, p in enumerate(low))
 
 
-def judge(relativepath: str | None, ext: str, text: str | None) -> tuple[str | None, str | None]:
-    """(kind, fingerprint): kind is vendored, generated, minified, data or None."""
-    vendored = place(relativepath)
+@dataclass
+class Judgement:
+    kind: str | None  # vendored, generated, minified or data
+    evidence: str | None  # layout, place or comment, the first that tells
+    source: bool = False  # marked as another project's, so that copies of it are known
+    mark: str | None = None
+
+
+def judge(relativepath: str | None, ext: str, text: str | None) -> Judgement:
+    """What a file is. The layout is asked first; where it lies and what its comments say is secondary evidence."""
+    placed = place(relativepath)
     if not text:
-        return ("vendored" if vendored else None), None
+        return Judgement("vendored", "place", True) if placed else Judgement(None, None)
     tokens = language(EXTENSIONS[ext]).lex(text) if ext in EXTENSIONS else None
     said = notes(text, ext, tokens)
-    vendored = vendored or marked(said, _VENDORED, _VENDORED_INSIDE)
-    generated = not vendored and marked(said, _GENERATED, _GENERATED_INSIDE)
-    if tokens is None:
-        return ("vendored" if vendored else "generated" if generated else None), None
-    m = layout(text, ext, tokens)
-    if vendored:
-        return "vendored", m.fingerprint
-    if generated:
-        return "generated", m.fingerprint
-    if m.longest >= LONG_LINE and m.expansion >= EXPANSION:
-        return "minified", m.fingerprint
-    if m.chars >= MIN_CHARS and m.literals >= LITERAL and m.names <= max(12, m.chars // 200):
-        return "data", m.fingerprint
-    if m.lines >= MIN_LINES and m.uniformity >= UNIFORM and m.shape_tokens >= 4:
-        return "generated", m.fingerprint
-    return None, m.fingerprint
+    foreign = placed or marked(said, _VENDORED, _VENDORED_INSIDE)
+    mark = None
+    if tokens is not None:
+        m = layout(text, ext, tokens)
+        mark = m.fingerprint
+        if m.expansion >= EXPANSION and m.kept_blanks <= KEPT_BLANKS:
+            return Judgement("minified", "layout", foreign, mark)
+        if m.literals >= LITERAL and m.per_name >= LITERAL_PER_NAME:
+            return Judgement("data", "layout", foreign, mark)
+        if m.shapes <= SHAPES and m.repeats >= REPEATS and m.shape_tokens >= 4:
+            return Judgement("generated", "layout", foreign, mark)
+    if foreign:
+        return Judgement("vendored", "place" if placed else "comment", True, mark)
+    if marked(said, _GENERATED, _GENERATED_INSIDE):
+        return Judgement("generated", "comment", False, mark)
+    return Judgement(None, None, False, mark)
 
 
 def find_foreign(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(path, repo, ext, kind) of scanned files that aren't hand-written: vendored, generated, minified or data.
+    """(path, repo, ext, kind, evidence) of scanned files that aren't hand-written: vendored, generated, minified or data.
 
-    Missing contents are passed over, so a file may be judged by its place alone; null paths are passed over; a redelivered
-    row counts once; an empty text is hand-written unless its place says otherwise.
+    evidence: layout, place, comment, or copy of a file that is marked as another project's. Missing contents are passed
+    over, so a file may be judged by its place alone; null paths are passed over; a redelivered row counts once; an empty text
+    is hand-written unless its place says otherwise.
     """
     src = with_text(scanned(files), chunks).select("path", "repo", "relativepath", "ext", "parts")
 
@@ -278,15 +354,15 @@ def find_foreign(files: DataFrame, chunks: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for path, repo, rel, ext, parts in zip(pdf["path"], pdf["repo"], pdf["relativepath"], pdf["ext"], pdf["parts"]):
-                kind, mark = judge(rel if rel is not None else path, ext or "", assemble_known(parts))
-                rows.append((path, repo, ext, kind, mark))
-            yield pd.DataFrame(rows, columns=["path", "repo", "ext", "kind", "mark"])
+                j = judge(rel if rel is not None else path, ext or "", assemble_known(parts))
+                rows.append((path, repo, ext, j.kind, j.evidence, j.source, j.mark))
+            yield pd.DataFrame(rows, columns=["path", "repo", "ext", "kind", "evidence", "source", "mark"])
 
     from lodestone.session import materialize
 
-    judged = materialize(src.mapInPandas(run, "path string, repo string, ext string, kind string, mark string"), "provenance")
+    judged = materialize(src.mapInPandas(run, "path string, repo string, ext string, kind string, evidence string, source boolean, mark string"), "provenance")
     # One row a fingerprint of vendored text, repeated for each of 8 salts over which possible copies are spread.
-    known = judged.where("kind = 'vendored' and mark is not null").select("mark").distinct().withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(8)])))
+    known = judged.where("source and mark is not null").select("mark").distinct().withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(8)])))
     unmarked = judged.where("kind is null and mark is not null").withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(8)).cast("int"))
-    copies = unmarked.join(known, ["mark", "salt"], "left_semi").select("path", "repo", "ext", F.lit("vendored").alias("kind"))
-    return judged.where("kind is not null").select("path", "repo", "ext", "kind").unionByName(copies)
+    copies = unmarked.join(known, ["mark", "salt"], "left_semi").select("path", "repo", "ext", F.lit("vendored").alias("kind"), F.lit("copy").alias("evidence"))
+    return judged.where("kind is not null").select("path", "repo", "ext", "kind", "evidence").unionByName(copies)

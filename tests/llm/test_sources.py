@@ -133,7 +133,7 @@ HAND = "import { a } from './a';\n\nexport function run(items: Item[]): Item[] {
     ("a.js", "js", "".join(f"A.prototype.get{i} = function () {{ return B.get(this, {i}); }};\n" for i in range(30)), "generated"), ("a.ts", "ts", None, None), ("a.ts", "ts", "", None), ("node_modules/x/a.json", "json", "{}", "vendored"), ("c.yaml", "yaml", "a: 1\n" * 100, None),
 ])
 def test_provenance(path, ext, text, kind):
-    assert provenance.judge(path, ext, text)[0] == kind
+    assert provenance.judge(path, ext, text).kind == kind
 
 
 LICENCE = "".join(f"// {i}. The licensee may use this text under the terms of paragraph {i}.\n" for i in range(40))
@@ -148,7 +148,7 @@ CODEGEN = "Code generated by protomill v1. DO NOT EDIT."
     ("py", "def f():\n    # skips files that say 'Code generated by x. DO NOT EDIT.'\n    return 1\n", None), ("ts", HAND.replace("  try {", "  // falls back to the vendored copy of the table\n  try {"), None),
 ])
 def test_marks_are_read_in_the_whole_file(ext, text, kind):
-    assert provenance.judge("src/a." + ext, ext, text)[0] == kind
+    assert provenance.judge("src/a." + ext, ext, text).kind == kind
 
 
 def test_copies_of_vendored_files(spark):
@@ -158,5 +158,34 @@ def test_copies_of_vendored_files(spark):
     assert provenance.find_foreign(f.limit(0), c).count() == 0
 
 
+def test_short_copies_must_be_equal_as_a_whole(spark):
+    f = spark.createDataFrame([(f"/{r}/a.js", p, "js", None, r, None) for r, p in (("x", "third_party/k/a.js"), ("y", "src/a.js"), ("z", "src/b.js"))], SCANNED)
+    c = spark.createDataFrame([("/x/a.js", 1, "// tiny\nexport default 1;\n"), ("/y/a.js", 1, "// tiny\nexport default 1;\n"), ("/z/a.js", 1, "export default 1;\n")], "filepath string, startline int, content string")
+    assert rows(provenance.find_foreign(f, c), "path", "evidence") == [("/x/a.js", "place"), ("/y/a.js", "copy")]
+
+
+@pytest.mark.parametrize(("ext", "text", "kind"), [
+    ("js", "var a=1,b=2;function f(c){return a+b*c}for(var i=0;i<9;i++){f(i)}module.exports={f:f,a:a};if(a){b()}else{c()}", "minified"),  # one line of 110 characters
+    ("js", "const a = 1;\n", None), ("py", "import os\n", None), ("py", 'x = "' + "q8Zr" * 30 + '"\n', "data"), ("ts", "const MESSAGES = { saved: 'Your work is saved', failed: 'It could not be saved' };\n", None),
+    ("go", "package m\n\nimport (\n\t\"log\"\n\t\"a.example/b\"\n\t\"a.example/c\"\n\t\"a.example/d\"\n\t\"a.example/e\"\n)\n\nfunc F(a int) int {\n\treturn g(a)\n}\n", None),
+    ("ts", "".join(f"- move the {w} to the shelf, then close it\n" for w in "abcdefghijklmnopqrstuvwxyz"), None),
+    ("java", "class A {\n" + "".join(f"  public int get{i}() {{ return f{i}; }}\n  public A set{i}(int v) {{ f{i} = v; return this; }}\n" for i in range(9)) + "}\n", "generated"),
+])
+def test_layout_tells_at_any_size(ext, text, kind):
+    j = provenance.judge("src/a." + ext, ext, text)
+    assert j.kind == kind and j.evidence == ("layout" if kind else None)
+
+
+@pytest.mark.parametrize(("ext", "text", "lines"), [
+    ("js", "for(var i=0;i<9;i++){f({a:1,b:[2,3]})}if(x){y()}else{z()}", ["for (var i = 0; i < 9; i++) {", "f({ a: 1, b: [2, 3] })", "}", "if (x) {", "y()", "} else {", "z()", "}"]),
+    ("py", "if a: return 1\nx={'k':[1,\n 2]}; y = 3\n", ["if a:", "return 1", "x = { 'k': [1, 2] };", "y = 3"]),
+    ("go", "package a\nfunc f() T {\n\tx := T{1, 2}\n\treturn x\n}\n", ["package a", "func f() T {", "x := T { 1, 2 }", "return x", "}"]),
+])
+def test_canonical_text(ext, text, lines):
+    lang = language(EXTENSIONS[ext])
+    got = ["".join((" " if k and provenance._blank(line[k - 1], t) else "") + t for k, t in enumerate(line)) for line in provenance.emit(lang.lex(text), lang)]
+    assert got == lines
+
+
 def test_every_extension_has_a_language():
     assert all(language(x).name == x for x in set(EXTENSIONS.values()))
