@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -81,7 +82,6 @@ class Layout:
     canonical: int
     expansion: float  # canonical lines a line
     kept_blanks: float  # blanks between tokens, as a share of the canonical ones
-    same: float  # share of the original lines that are canonical
     shapes: float  # how many shapes its lines effectively have
     repeats: float  # lines a shape
     shape_tokens: float
@@ -99,17 +99,27 @@ _TIGHT_BEFORE = frozenset(") ] , ; . ?. ( [ ++ -- : :: ...".split())
 _TIGHT_AFTER = frozenset("( [ . ?. ! ~ @ ... :: ++ -- #".split())
 
 
-def _word(t: str) -> bool:
-    return t[0].isalnum() or t[0] in "_$\"'`@"
-
-
+@lru_cache(maxsize=None)
 def _blank(a: str, b: str) -> bool:
-    """Whether canonical text has a blank between two tokens of a line."""
+    """Whether canonical text has a blank between two tokens of a line, given by their shapes."""
     if a in _TIGHT_AFTER:
         return False
     if b in _TIGHT_BEFORE:
         return b in "([" and (a in _SPACED or a in ",:;" or a in ("if", "for", "while", "switch", "catch", "return", "elif", "and", "or", "not", "in"))
-    return _word(a) and _word(b) or a in ",;:" or a in _SPACED or b in _SPACED or b in "{}" or a in "{})"
+    word = lambda t: t[0].isalnum() or t[0] in "_$@"
+    return word(a) and word(b) or a in ",;:" or a in _SPACED or b in _SPACED or b in "{}" or a in "{})"
+
+
+def shape(t: str, keywords: frozenset[str]) -> str:
+    """s for a string, n for a number, i for a name, else the token itself."""
+    c0 = t[0]
+    if c0 in "\"'`" or len(t) > 2 and t[-1] in "\"'":
+        return "s"
+    if c0.isdigit() or c0 == "." and len(t) > 1 and t[1].isdigit():
+        return "n"
+    if (c0.isalpha() or c0 in "_$") and t not in keywords:
+        return "i"
+    return t
 
 
 def emit(tokens: list[str], lang) -> list[list[str]]:
@@ -127,7 +137,7 @@ def emit(tokens: list[str], lang) -> list[list[str]]:
                 lines.append(cur)
                 cur = []
             continue
-        if (c0 == "#") if python else t.startswith(("//", "/*")):
+        if (c0 == "#") if python else (c0 == "/" and t[1:2] in ("/", "*")):
             continue
         if closed:
             closed = False
@@ -170,37 +180,29 @@ def _prose(t: str) -> bool:
 
 def layout(text: str, ext: str, tokens: list[str]) -> Layout:
     lang = language(EXTENSIONS[ext])
-    code, kind = lang.code, lang.kind
-    remarks = sum(len(ln.strip()) for t in tokens if (t[0] in "\r\n" and "#" in t) or t.startswith(("//", "/*")) and lang.name != "python" or t[0] == "#" for ln in t.split("\n"))
+    keywords, python = lang.keywords, lang.name == "python"
+    notes_ = (t for t in tokens if t[0] in "\r\n#/" and (t[0] in "\r\n" and "#" in t or (t[0] == "#" if python else t[:2] in ("//", "/*"))))
+    remarks = sum(len(ln.strip()) for t in notes_ for ln in t.split("\n"))
     lines = emit(tokens, lang)
     shapes: Counter = Counter()
+    known: dict[str, str] = {}
     literal = names = solid = blanks = count = 0
-    canonical: set[str] = set()
     for line in lines:
-        shape = []
-        out = []
-        for k, t in enumerate(line):
-            c0, n = t[0], len(t)
-            solid += n
-            count += 1
-            if k and _blank(line[k - 1], t):
-                blanks += 1
-                out.append(" ")
-            out.append(t)
-            if c0 in "\"'`" or n > 2 and t[-1] in "\"'":
-                literal += 0 if _prose(t) else n
-                shape.append("s")
-            elif c0.isdigit() or c0 == "." and n > 1 and t != "...":
-                literal += n
-                shape.append("n")
-            elif c0.isalpha() or c0 in "_$":
+        form = []
+        for t in line:
+            x = known.get(t)
+            if x is None:
+                x = known[t] = shape(t, keywords)
+            form.append(x)
+            if x == "i":
                 names += 1
-                shape.append("i" if t not in lang.keywords else code[t])
-            else:
-                shape.append(t if t in code else kind(t))
-        canonical.add("".join(out))
-        if len(shape) > 2:
-            shapes[" ".join(shape)] += 1
+            elif x == "n" or x == "s" and not _prose(t):
+                literal += len(t)
+        solid += sum(map(len, line))
+        count += len(line)
+        blanks += sum(map(_blank, form, form[1:]))
+        if len(form) > 2:
+            shapes[" ".join(form)] += 1
     rows = [r for r in map(str.strip, text.split("\n")) if r]
     own = [r for r in rows if not _COMMENT_LINE.match(r)]
     kept = max(0, sum(map(len, rows)) - solid - remarks)
@@ -216,7 +218,6 @@ def layout(text: str, ext: str, tokens: list[str]) -> Layout:
         len(lines),
         len(lines) / max(1, len(own)),
         kept / max(1, blanks),
-        sum(r in canonical for r in own) / max(1, len(own)),
         few,
         total / few,
         sum((x.count(" ") + 1) * n for x, n in shapes.items()) / max(1, sum(shapes.values())),

@@ -183,7 +183,7 @@ def test_layout_tells_at_any_size(ext, text, kind):
 ])
 def test_canonical_text(ext, text, lines):
     lang = language(EXTENSIONS[ext])
-    got = ["".join((" " if k and provenance._blank(line[k - 1], t) else "") + t for k, t in enumerate(line)) for line in provenance.emit(lang.lex(text), lang)]
+    got = ["".join((" " if k and provenance._blank(*(provenance.shape(x, lang.keywords) for x in line[k - 1 : k + 1])) else "") + t for k, t in enumerate(line)) for line in provenance.emit(lang.lex(text), lang)]
     assert got == lines
 
 
