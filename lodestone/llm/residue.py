@@ -1,9 +1,10 @@
 """Records without real content: unfilled templates, filler, and the messages of error, refusal, notice and empty pages.
 
 Lines are normalised and counted by host over all records; lines that recur on a host are boilerplate and are taken away
-from a record, together with the page's frame (navigation, footers, link lists, diagnostic fields). What remains is read
-sentence by sentence. Quoted text, code and citations say nothing about the record itself. A record is excluded if its
-residual holds evidence and next to nothing else.
+from a record before it is judged, together with the page's frame (navigation, footers, link lists, diagnostic fields). What
+remains, the residual, is read sentence by sentence. Quoted text, code and citations say nothing about the record itself. A
+record is excluded if its residual holds evidence and next to nothing else, or if there is next to no residual and the
+boilerplate that is its all holds such evidence.
 """
 
 from __future__ import annotations
@@ -11,16 +12,28 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from re import _parser
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import materialize, spread
+
 #: A line is boilerplate on a host if it stands in this share of the host's records, and in this many at least.
 SHARE, LEAST = 0.002, 6
 
+#: Recurrent lines of all hosts are broadcast up to this number (some 20 MB), beyond it they are joined.
+LISTED = 200_000
+
+#: A sign in a sentence speaks for so many words on either side of it.
+REACH = 45
+
 #: Running text with an open slot in at most so many words is a template.
 SLOT_WORDS = 40
 
@@ -31,7 +44,7 @@ ERROR = (
     r"\b(?:error|fehler|erreur|c[óo]digo) (?:4\d\d|5\d\d)\b",
     r"\bwhoops, that's a \d",
     r"^(?:not found|forbidden|unauthori[sz]ed|gone|bad gateway|bad request|service unavailable|gateway time-?out|too many requests|internal server error|access denied|permission denied|method not allowed|request timeout|payload too large)[.!]?$",
-    r"\b(?:page|file|site|document|url|resource|repository) (?:you (?:are|were) looking for |you requested )?(?:was|is|could|can|cannot|can't|couldn't|has been|does not|doesn't)\b.{0,40}\b(?:not (?:be )?found|moved|removed|renamed|exist|unavailable|empty|deleted)",
+    r"\b(?:page|file|site|document|url|resource|repository) (?:(?:that |which )?you (?:are|were) looking for |(?:that |which )?you requested )?(?:was|is|could|can|cannot|can't|couldn't|has been|does not|doesn't)\b.{0,40}\b(?:not (?:be )?found|moved|removed|renamed|exist|unavailable|empty|deleted)",
     r"\b(?:page|seite|página|pagina) (?:not found|nicht gefunden|introuvable|no encontrada)",
     r"\b(?:internal server error|interner serverfehler|erreur interne (?:est survenue|du serveur)|error interno del servidor|une erreur (?:est survenue|s'est produite)|ein fehler ist aufgetreten|se ha producido un error|ha ocurrido un error)",
     r"\b(?:something went wrong|an (?:unexpected |unknown |internal )?error (?:has )?occurred|we're having trouble|we are having trouble)\b",
@@ -42,7 +55,7 @@ ERROR = (
     r"\b(?:down for (?:scheduled )?maintenance|under maintenance|scheduled maintenance|be back (?:soon|shortly)|wartungsarbeiten|en maintenance|en mantenimiento)\b",
     r"\bupstream connect error\b|\bdisconnect/reset before headers\b|\bconnection (?:refused|reset|timed out|failure)\b|\bgateway could not reach\b|\bbad gateway\b|\bservice (?:is )?(?:temporarily )?unavailable\b|\breset reason\b|\bquote the incident\b|^generated at \d",
     r"\bgo back to the home ?page\b|\b(?:zurück zur startseite|retour à l'accueil|volver al inicio)\b",
-    r"\bchecking (?:your browser|if the site connection is secure)\b|\bverify (?:that )?you are (?:a )?human\b|\bare you a (?:human|robot)\b|\bunusual traffic\b|\bcomplet(?:e|ing) the (?:captcha|action below)|\bthis may take a few seconds\b|\bray(?: id)?:? [0-9a-f]{8,}|\bddos protection\b|\byour (?:ip|request|access) (?:address )?(?:has been|was|is) blocked\b|\bautomated (?:access|queries)\b",
+    r"\bchecking (?:your browser|if the site connection is secure)\b|\bverify (?:that )?you are (?:a )?human\b|\bare you a (?:human|robot)\b|\bunusual traffic\b|\bcomplet(?:e|ing) the (?:captcha|action below)|\bthis may take a few seconds\b|\bray(?: id)?:? [0-9a-f]{8,}|\bddos protection\b|\byour (?:ip|request|access) (?:address )?(?:has been|was|is) blocked\b|\bautomated (?:access|queries)\b|^just a moment\b|\byour connection is secure\b",
     r"\bcookies (?:are|must be) (?:switched off|turned off|disabled|blocked|enabled)\b|\b(?:enable|allow|accept) (?:all )?cookies\b|\bwe need them to keep you\b|\bpress reload\b|\bour partners use cookies\b|^(?:accept|reject|allow|decline) all[.!]?$|^manage (?:choices|preferences|cookies|settings)[.!]?$|\bwe use cookies\b|\bcookies verwenden\b|\butilis(?:ons|e) des cookies\b|\busa(?:mos)? cookies\b",
 )
 # Evidence that a script was required.
@@ -82,28 +95,70 @@ _N = rf"\s*{SLOT_NAMES}\s*"
 _SLOT = re.compile(
     rf"(?i)\{{\{{{{1,2}}[^{{}}\n]{{1,40}}\}}\}}{{1,2}}|\{{%{_N}%\}}|<%=?{_N}%>|[$#]\{{{_N}\}}|\$\({_N}\)|%{_N}%|@@{_N}@@|__{SLOT_NAMES}__|\[\[{_N}\]\]|\{{{_N}\}}|\[(?:(?:your|insert|enter|add)\b[^\[\]\n]{{1,40}}|{_N})\](?!\()|<(?:insert|your|enter)\b[^<>\n]{{1,40}}>|&lt;{_N}&gt;|<{_N}>|\bXX{SLOT_NAMES}XX\b"
 )
-_EVIDENCE = [(k, re.compile("|".join(f"(?:{p})" for p in ps), re.I)) for k, ps in (("script", SCRIPT), ("empty", EMPTY), ("placeholder", PLACEHOLDER), ("error", ERROR))]
-# Words of the patterns that are too common to tell anything.
-_COMMON = frozenset("the a an to is in be of or and was has have been this it are you your for on by at not no my we can do does don from with will our as us all any if un une le la de du en el su tu sa se sich ist die der das sie est au ce que y o".split())
-
-
-def _triggers() -> frozenset[str]:
-    """The words that stand in the patterns. A sentence with none of them needn't be held against any pattern, but for
-    numbers of a status, comment marks and unrendered values run together, which are looked for apart."""
-    out = set()
-    for p in (*ERROR, *SCRIPT, *EMPTY, *PLACEHOLDER):
-        bare = re.sub(r"\(\?[:=!]|\\[bdswS\[\]]|\[[^\]]*\]|\{\d*,?\d*\}|[\^$().*+|]", " ", re.sub(r"\(\?:([\w ]+)\)\?", r" \1 ", p))
-        for w in re.findall(r"[^\W\d_]+\??", bare.lower()):
-            w, optional = w.rstrip("?"), w.endswith("?")
-            out |= {w, w[:-1]} if optional else {w}
-    # Words that the patterns spell with alternatives inside.
-    out |= set("unauthorized unauthorised authorized authorised código codigo utilisons utilise usamos completing doesn't don't can't couldn't isn't we're".split())
-    return frozenset(w for w in out if len(w) > 1 and w not in _COMMON)
-
-
-TRIGGERS = _triggers()
-_STATUS = re.compile(r"[45]\d\d")
-_UNRENDERED = re.compile(EMPTY[2], re.I)
+_EVIDENCE = [(k, p, re.compile(p, re.I)) for k, ps in (("script", SCRIPT), ("empty", EMPTY), ("placeholder", PLACEHOLDER), ("error", ERROR)) for p in ps]
+
+
+def literals(parsed) -> set[str] | None:
+    """Strings of which every text that a parsed pattern matches has one at least, case folded; None if there are none.
+
+    Of a sequence the part counts whose shortest string is the longest; of alternatives all do.
+    """
+    best: set[str] | None = None
+    run = ""
+
+    def offer(found: set[str] | None) -> None:
+        nonlocal best
+        if found and (best is None or min(map(len, found)) > min(map(len, best))):
+            best = found
+
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            run += chr(arg)
+            continue
+        if run:
+            offer({run.casefold()})
+            run = ""
+        if op == "BRANCH":
+            each = [literals(x) for x in arg[1]]
+            offer(None if any(x is None for x in each) else set().union(*each))
+        elif op == "SUBPATTERN":
+            offer(literals(arg[-1]))
+        elif op in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+            offer(literals(arg[2]))
+        elif op == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
+            offer({chr(v).casefold() for _, v in arg})
+    if run:
+        offer({run.casefold()})
+    return best
+
+
+def _index() -> tuple[ahocorasick.Automaton, tuple[int, ...]]:
+    """(an automaton from strings to the patterns that need one of them, patterns that need none)."""
+    where: dict[str, list[int]] = {}
+    free = []
+    for i, (_, p, _) in enumerate(_EVIDENCE):
+        found = literals(_parser.parse(p, re.I))
+        for x in found or ():
+            where.setdefault(x, []).append(i)
+        if not found:
+            free.append(i)
+    a = ahocorasick.Automaton()
+    for x, ids in where.items():
+        a.add_word(x, tuple(ids))
+    a.make_automaton()
+    return a, tuple(free)
+
+
+_NEEDED, _FREE = _index()
+
+
+def sign(s: str) -> str | None:
+    """The kind of the first pattern that a sentence matches. Only those whose strings stand in it are tried."""
+    some = {i for _, ids in _NEEDED.iter(s.casefold()) for i in ids}
+    return next((_EVIDENCE[i][0] for i in sorted(some.union(_FREE)) if _EVIDENCE[i][2].search(s)), None)
+
+
 _FENCE = re.compile(r"(?ms)^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[^\n]*$|\Z)")
 _QUOTED = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|(?<!\w)'[^'\n]{3,}'(?!\w)|‘[^’\n]*’")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\s])")
@@ -126,6 +181,15 @@ class Verdict:
     kind: str | None
     evidence_words: int
     content_words: int
+    told: str | None = None  # the kind of most of the evidence, whether it decides or not
+
+
+_LINE_END = re.compile(r"\r\n|\n|\r")
+_HEADING = re.compile(r"^(?:#{1,6}\s+|\*\*|={2,}\s*)")
+_LEAD = re.compile(r"^(?:#{1,6}\s+|\*\*|[*\-+•]\s+|\d+[.)]\s+)|\*\*$")
+_CLOSED = re.compile(r"[.!?:]$")
+_TITLE = re.compile(r"^[A-ZÄÖÜÉ][\w' ]*$")
+_SLOTTED = "{<%$[@_X#&"
 
 
 def _is_nav(line: str) -> bool:
@@ -141,100 +205,135 @@ def _is_nav(line: str) -> bool:
 def _filler(words: list[str]) -> bool:
     if len(words) < 4:
         return False
-    latin = sum(w in LATIN for w in words)
-    mash = sum(w in MASH or len(set(w)) == 1 and len(w) > 2 for w in words)
+    latin = sum(map(LATIN.__contains__, words))
+    mash = sum(w in MASH or w == w[0] * len(w) and len(w) > 2 for w in words)
     return latin >= 0.7 * len(words) or mash >= 0.7 * len(words) or len(words) >= 12 and len(set(words)) <= 2
 
 
-def judge(text: str, recurrent: frozenset[int] = frozenset()) -> Verdict:
-    """What a record is. recurrent: numbers of its lines that recur on its host, from 0."""
-    if not text or not text.strip():
-        return Verdict(None, 0, 0)
-    if _json_error(text):
-        return Verdict("error", len(_WORD.findall(text)), 0)
-    if "&" in text:
-        text = html.unescape(text)
-    if any(c in text for c in "{<%$[@_X#"):
+def _reached(s: str, words: int) -> int:
+    """How many of a long sentence's words lie within REACH words of a sign in it."""
+    ends = [m.start() for m in _WORD.finditer(s)]
+    near = [False] * words
+    for _, _, rx in _EVIDENCE:
+        for m in rx.finditer(s):
+            a, b = bisect_left(ends, m.start()), bisect_left(ends, m.end())
+            near[max(0, a - REACH) : b + REACH] = [True] * (min(words, b + REACH) - max(0, a - REACH))
+    return sum(near)
+
+
+@lru_cache(maxsize=1 << 16)
+def _sentence(s: str) -> tuple[str | None, int, int]:
+    """(kind, evidence words, content words) of a sentence."""
+    words = [w.lower() for w in _WORD.findall(s)]
+    n = len(words)
+    hit = sign(s)
+    if hit is None and n and _filler(words):
+        return "filler", n, 0
+    if hit:
+        near = n if n <= REACH else _reached(s, n)
+        return hit, max(1, near), n - near
+    if n <= 4 and not _CLOSED.search(s) and _TITLE.match(s) and not _CODE_LINE.search(s):
+        return None, 0, 0  # a short title
+    return None, 0, n
+
+
+@lru_cache(maxsize=1 << 16)
+def _line(raw: str) -> tuple[bool, int, int, tuple[tuple[str | None, int, int], ...]]:
+    """(frame, slots, evidence of slots, sentences) of a line that isn't code, a citation or an item of a link list."""
+    line = raw.strip()
+    if _is_nav(line) or len(line) < 90 and (_FOOT.match(line) or _SERVER.match(line) or _DIAGNOSTIC.match(line)):
+        return True, 0, 0, ()
+    bare = _QUOTED.sub(" ", line)
+    body = _LEAD.sub("", bare).strip()
+    found = len(_SLOT.findall(bare)) if any(c in bare for c in _SLOTTED) else 0
+    if found:
+        n = len(_WORD.findall(_SLOT.sub(" ", body)))
+        if n == 0 or not _CODE_LINE.search(_SLOT.sub(" x ", bare)) or re.search(r"[.!?,]$", line):
+            return (False, found, n + 2 * found, ()) if n <= 8 * found else (False, found, 0, ((None, 0, n),))
+    if _HEADING.match(line) and len(_WORD.findall(_SLOT.sub(" ", body))) <= 6 and sign(body) is None:
+        return False, 0, 0, ()
+    return False, 0, 0, tuple(_sentence(s) for s in map(str.strip, _SENTENCE.split(body)) if s and not _is_nav(s))
+
+
+def _judge_lines(lines: list[str], whole: bool = False) -> Verdict:
+    """What these lines are. whole: read on also where that can't change the kind."""
+    text = "\n".join(lines)
+    words = len(_WORD.findall(text))
+    slots_at_most = sum(map(text.count, _SLOTTED))
+    if _SLOT.search(text):
         prose = _QUOTED.sub(" ", _FENCE.sub(" ", text))
         open_slots = len(_SLOT.findall(prose))
         if open_slots:
             kept = [ln for ln in prose.split("\n") if ln.strip()]
             coded = sum(1 for ln in kept if _CODE_LINE.search(_SLOT.sub("x", ln)))
-            n = len(_WORD.findall(_SLOT.sub(" ", prose))) + len(_WORD.findall(text)) - len(_WORD.findall(prose))
+            n = len(_WORD.findall(_SLOT.sub(" ", prose))) + words - len(_WORD.findall(prose))
             if coded <= 0.3 * len(kept) and n <= SLOT_WORDS * open_slots:
-                return Verdict("template", n + open_slots, 0)
-    budget = 3 + 0.34 * len(_WORD.findall(text))  # with more content than this no evidence can outweigh it
-    lines = text.splitlines() if "\r" in text else text.split("\n")
-    fenced = [False] * len(lines)
-    for m in _FENCE.finditer("\n".join(lines)):
-        a = "\n".join(lines)[: m.start()].count("\n")
-        for i in range(a, min(len(lines), a + m.group(0).rstrip("\n").count("\n") + 1)):
-            fenced[i] = True
+                return Verdict("template", n + open_slots, 0, "template")
+    # No record has more evidence than this: each word once, each slot twice and once more for a word that it parts, each
+    # sentence without a word once. With more content than that evidence could outweigh the rest needn't be read.
+    most = words + 3 * slots_at_most + len(lines) + sum(map(text.count, ".!?…"))
+    fenced: set[int] = set()
+    if "```" in text or "~~~" in text:
+        for m in _FENCE.finditer(text):
+            a = text.count("\n", 0, m.start())
+            fenced.update(range(a, a + m.group(0).rstrip("\n").count("\n") + 1))
     links = sum(1 for ln in lines if _ITEM.match(ln))
     kinds: dict[str, int] = {}
-    evidence = content = slots = frame = code = 0
-    prose_slots = 0
+    evidence = content = slots = frame = 0
     for i, raw in enumerate(lines):
         line = raw.strip()
         if not line:
             continue
-        if content + code > budget:
-            return Verdict(None, evidence, content + code)
-        if fenced[i]:
-            code += len(_WORD.findall(line))
-            continue
-        if line.startswith(">"):  # a citation
+        if content > max(3, 0.34 * most) and not whole:
+            return Verdict(None, evidence, content)
+        if i in fenced or line[0] == ">":  # code, or a citation
             content += len(_WORD.findall(line))
             continue
         if links >= 4 and _ITEM.match(raw) and not _SLOT.search(line):
             frame += 1
             continue
-        if _is_nav(line) or len(line) < 90 and (_FOOT.match(line) or _SERVER.match(line) or _DIAGNOSTIC.match(line)):
-            frame += 1
-            continue
-        bare = _QUOTED.sub(" ", line)
-        heading = re.match(r"^(?:#{1,6}\s+|\*\*|={2,}\s*)", line) is not None
-        body = re.sub(r"^(?:#{1,6}\s+|\*\*|[*\-+•]\s+|\d+[.)]\s+)|\*\*$", "", bare).strip()
-        found = _SLOT.findall(bare) if any(c in bare for c in "{<%$[@_X#&") else []
-        n = len(_WORD.findall(_SLOT.sub(" ", body)))
-        if found and (n == 0 or not _CODE_LINE.search(_SLOT.sub(" x ", bare)) or re.search(r"[.!?,]$", line)):
-            slots += len(found)
-            if n <= 8 * len(found):
-                kinds["template"] = kinds.get("template", 0) + n + 2 * len(found)
-                evidence += n + 2 * len(found)
-                prose_slots += len(found)
-            else:
-                content += n
-            continue
-        if heading and n <= 6 and not any(rx.search(body) for _, rx in _EVIDENCE):
-            continue
-        for s in _SENTENCE.split(body):
-            s = s.strip()
-            if _is_nav(s):
-                continue
-            words = [w.lower() for w in _WORD.findall(s)]
-            if not words and not s:
-                continue
-            hit = None
-            if len(words) <= 3 or not TRIGGERS.isdisjoint(words) or "<!--" in s or _STATUS.search(s) or _UNRENDERED.match(s):
-                hit = next((k for k, rx in _EVIDENCE if rx.search(s)), None)
-            if hit is None and words and _filler(words):
-                hit = "filler"
-            if hit and (len(words) <= 45 or hit == "filler"):
-                kinds[hit] = kinds.get(hit, 0) + max(1, len(words))
-                evidence += max(1, len(words))
-            elif i in recurrent or (len(words) <= 4 and not re.search(r"[.!?:]$", s) and not _CODE_LINE.search(s) and re.match(r"^[A-ZÄÖÜÉ][\w' ]*$", s)):
-                continue  # boilerplate, or a short title
-            elif words:
-                content += len(words)
-    total = content + code
-    if slots and prose_slots >= 1 and kinds.get("template") and evidence >= 3 * total:
-        return Verdict("template", evidence, total)
-    if evidence and total <= max(3, 0.2 * evidence):
-        return Verdict(max(kinds, key=kinds.get), evidence, total)
-    if not evidence and not total and frame >= 2:
+        is_frame, found, told, sentences = _line(raw)
+        frame += is_frame
+        slots += found
+        if told:
+            kinds["template"] = kinds.get("template", 0) + told
+            evidence += told
+        for hit, e, c in sentences:
+            content += c
+            if hit:
+                kinds[hit] = kinds.get(hit, 0) + e
+                evidence += e
+    told = max(kinds, key=kinds.get) if kinds else None
+    if slots and kinds.get("template") and evidence >= 3 * content:
+        return Verdict("template", evidence, content, told)
+    if evidence and content <= max(3, 0.2 * evidence):
+        return Verdict(told, evidence, content, told)
+    if not evidence and not content and frame >= 2:
         return Verdict("empty", 0, 0)
-    return Verdict(None, evidence, total)
+    return Verdict(None, evidence, content, told)
+
+
+def judge(text: str, recurrent: frozenset[int] = frozenset()) -> Verdict:
+    """What a record is. recurrent: numbers of its lines that recur on its host, from 0; they are taken away first.
+
+    A record in JSON is one value and no sequence of lines, so it is read as a whole. Marks of code blocks and lines without
+    a word stay, as they are structure. Numbers of words are those of the residual.
+    """
+    if not text or not text.strip():
+        return Verdict(None, 0, 0)
+    if _json_error(text):
+        return Verdict("error", len(_WORD.findall(text)), 0)
+    rest: list[str] = []
+    boilerplate: list[str] = []
+    for i, ln in enumerate(_LINE_END.split(text)):
+        shed = i in recurrent and not ln.lstrip().startswith(("```", "~~~")) and _WORD.search(ln)
+        (boilerplate if shed else rest).append(html.unescape(ln) if "&" in ln else ln)
+    own = _judge_lines(rest)
+    if own.kind or not boilerplate:
+        return own
+    if own.content_words <= 3 and (told := _judge_lines(boilerplate, whole=True).told):
+        return Verdict(told, own.evidence_words, own.content_words)
+    return own
 
 
 def _json_words(value) -> int:
@@ -263,45 +362,70 @@ def _json_error(text: str) -> bool:
         return False
 
 
-def normal_line(line):
-    """One spelling of a line for counting: lower case, digits as 0, blanks evened out."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\d+", "0"), r"\s+", " "))
+def line_hashes(text):
+    """A hash of each line of a text in one spelling: lower case, digits as 0, blanks evened out; null for blank lines."""
+    even = F.regexp_replace(F.regexp_replace(F.lower(text), r"[0-9]+", "0"), r"[^\S\r\n]+", " ")
+    return F.transform(F.split(even, r"\r\n|\n|\r"), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
 
 
 def recurrent_lines(df: DataFrame, id_col: str, host: str, text: str, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(id, lines): for each record the numbers, from 0, of its lines that recur on its host.
+    """(host, line): hashes of the lines that recur on each host.
 
-    Counting is pre-aggregated before the shuffle, so a host or line with a third of all rows is no hot key. The few
-    recurrent lines are repeated for each of 16 salts, over which the records' lines are spread.
+    Each text of an id counts once. Texts don't leave their tasks, only the hashes of their lines do, and counts are
+    pre-aggregated before the shuffle, so a host or line with a third of all rows is no hot key. A host has at most 1 / share
+    times as many recurrent lines as its records have lines on average.
     """
-    each = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("line_no", "line"))
-    each = each.select("id", "host", "line_no", normal_line(F.col("line")).alias("line")).where("line != ''").select("id", "host", "line_no", F.xxhash64("line").alias("line"))
-    size = df.groupBy(F.coalesce(F.col(host), F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("n_host"))
-    count = each.dropDuplicates(["id", "line"]).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    often = count.join(size, "host").where(F.col("n") >= share * F.col("n_host")).select("host", "line")
-    salts = often.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(16)])))
-    hit = each.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(salts, ["host", "line", "salt"], "left_semi")
-    return hit.groupBy("id").agg(F.collect_set("line_no").alias("lines"))
+    src = df.select(F.col(id_col).alias("id"), F.col(host).alias("host"), F.xxhash64(text).alias("t"), F.array_compact(F.array_distinct(line_hashes(F.col(text)))).alias("lines"))
+    once = src.groupBy("id", "t").agg(F.min(F.coalesce("host", F.lit(""))).alias("host"), F.first("lines").alias("lines"))
+    # The null line counts the host's records.
+    each = once.select("host", F.explode(F.array_append("lines", F.lit(None).cast("bigint"))).alias("line"))
+    count = materialize(each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) | F.col("line").isNull()), "residue-lines")
+    size = count.where("line is null").select("host", F.col("n").alias("n_host"))
+    return count.where("line is not null").join(size, "host").where(F.col("n") >= share * F.col("n_host")).select("host", "line")
 
 
-def find_residue(df: DataFrame, id_col: str = "doc_id", host: str = "repo", text: str = "text") -> DataFrame:
+def find_residue(df: DataFrame, id_col: str = "doc_id", host: str = "repo", text: str = "text", listed: int = LISTED) -> DataFrame:
     """(id, kind, evidence_words, content_words) of records without real content.
 
     kind: template, placeholder, filler, error, script or empty. Null and blank texts are none; a null host is a host of
     its own; of repeated ids each different text is judged. A very long text is read whole.
+
+    Up to `listed` recurrent lines, which are counted first, are broadcast, and no text is shuffled. More are joined: to the
+    lines' hashes, spread over 16 salts, and then once to the texts.
     """
-    src = df.select(F.col(id_col).alias("id"), F.col(host).alias("host"), F.col(text).alias("text")).where("trim(text) != ''").distinct()
-    marked = src.join(recurrent_lines(src, "id", "host", "text"), "id", "left").select("id", "text", "lines")
+    src = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(text).alias("text")).where("trim(text) != ''")
+    often = recurrent_lines(src, "id", "host", "text")
     dtype = dict(src.dtypes)["id"]
+    schema = f"id {dtype}, kind string, evidence_words int, content_words int"
+    few = often.limit(listed + 1).collect()
+
+    def found(ids, texts, numbers) -> pd.DataFrame:
+        rows = [(i, v.kind, v.evidence_words, v.content_words) for i, t, ls in zip(ids, texts, numbers) if (v := judge(t, ls)).kind]
+        return pd.DataFrame(rows, columns=["id", "kind", "evidence_words", "content_words"])
+
+    if len(few) <= listed:
+        known: dict[str, set[int]] = {}
+        for r in few:
+            known.setdefault(r["host"], set()).add(r["line"])
+        sent = df.sparkSession.sparkContext.broadcast(known)
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = sent.value
+            for pdf in batches:
+                own = (known.get(h, ()) for h in pdf["host"])
+                numbers = (frozenset(k for k, x in enumerate(hs.tolist()) if x in o) if o else frozenset() for hs, o in zip(pdf["lines"], own))
+                yield found(pdf["id"], pdf["text"], numbers)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return spread(src).withColumn("lines", F.transform(line_hashes(F.col("text")), lambda x: F.coalesce(x, F.lit(0)))).mapInPandas(scan, schema).distinct()
+
+    each = src.select("id", F.xxhash64("text").alias("t"), "host", F.posexplode(line_hashes(F.col("text"))).alias("line_no", "line")).where("line is not null")
+    salts = often.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(16)])))
+    hit = each.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(salts, ["host", "line", "salt"], "left_semi")
+    marks = hit.groupBy("id", "t").agg(F.collect_set("line_no").alias("lines"))
+    marked = src.withColumn("t", F.xxhash64("text")).join(marks, ["id", "t"], "left").select("id", "text", "lines")
+
+    def scan_marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for i, t, ls in zip(pdf["id"], pdf["text"], pdf["lines"]):
-                v = judge(t, frozenset(ls) if ls is not None else frozenset())
-                if v.kind:
-                    rows.append((i, v.kind, v.evidence_words, v.content_words))
-            if rows:
-                yield pd.DataFrame(rows, columns=["id", "kind", "evidence_words", "content_words"])
-
-    return marked.mapInPandas(scan, f"id {dtype}, kind string, evidence_words int, content_words int")
+            yield found(pdf["id"], pdf["text"], (frozenset(x) if x is not None else frozenset() for x in pdf["lines"]))
+
+    return marked.mapInPandas(scan_marked, schema).distinct()

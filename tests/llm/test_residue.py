@@ -53,21 +53,17 @@ def example(parsed, rnd):
     return out
 
 
-def test_the_filter_by_words_loses_nothing(monkeypatch):
-    class Every:
-        def isdisjoint(self, _):
-            return False
-
+def test_the_filter_by_strings_loses_nothing():
     rnd = random.Random(3)
     texts = ["[object Object] [object Object]", "[object Object] of [object Object]", "of of of of"]
     for p in (*r.ERROR, *r.SCRIPT, *r.EMPTY, *r.PLACEHOLDER):
         parsed = _parser.parse(p, re.I)
-        for _ in range(50):
+        for _ in range(60):
             e = example(parsed, rnd)
-            texts += [e, f"zzk zzm zzq {e}", f"{e} {e}"]
-    got = [r.judge(t) for t in texts]
-    monkeypatch.setattr(r, "TRIGGERS", Every())
-    assert [(t, v) for t, v in zip(texts, got) if r.judge(t) != v] == [] and [v.kind for v in got[:2]] == ["empty", "empty"]
+            texts += [e, e.upper(), f"zzk zzm zzq {e}", f"{e} {e}"]
+    for t in texts:
+        assert r.sign(t) == next((k for k, _, rx in r._EVIDENCE if rx.search(t)), None), t
+    assert [r.judge(t).kind for t in texts[:2]] == ["empty", "empty"] and len(r._FREE) < 4
 
 
 def test_long_text_is_read_whole():
@@ -84,12 +80,45 @@ def test_error_answers_in_json_of_any_length(n):
     assert r.judge(json.dumps({"code": 404, "message": "partly found", "items": [REAL] * n})).kind is None
 
 
+BANNER = "Gantry Harbor Archive of the Northern Reading Room, open since the first of May"
+
+
+def recurring(docs):
+    return [(i, "h", f"{BANNER}\n\nNo content available." if i < 10 else f"{BANNER}\n\nArticle {'x' * i} tells of the winter in which the river froze to its bed.") for i in docs]
+
+
 def test_recurrent_lines_are_subtracted(spark):
-    banner = "Gantry Harbor Archive of the Northern Reading Room, open since the first of May"
-    docs = [(i, "h", f"{banner}\n\nNo content available." if i < 10 else f"{banner}\n\nArticle {'x' * i} tells of the winter in which the river froze to its bed.") for i in range(40)] + [(90, "other", f"{banner}\n\nNo content available."), (91, None, None), (92, "h", "  ")]
-    df = spark.createDataFrame(docs + docs[:3], "doc_id bigint, repo string, text string")
+    docs = recurring(range(40)) + [(90, "other", f"{BANNER}\n\nNo content available."), (91, None, None), (92, "h", "  ")]
+    df = spark.createDataFrame([(*d, "x") for d in docs + docs[:3]], "doc_id bigint, repo string, text string, kind string")
     assert r.judge(docs[0][2]).kind is None
-    assert rows(r.find_residue(df), "id") == [(i,) for i in range(10)]
-    lines = dict(rows(r.recurrent_lines(df, "doc_id", "repo", "text")))
-    assert lines[0] == [0, 2] or sorted(lines[0]) == [0, 2]
+    for listed in (r.LISTED, 0):  # broadcast, and joined
+        assert rows(r.find_residue(df, listed=listed), "id", "kind") == [(i, "empty") for i in range(10)]
+    often = r.recurrent_lines(df.where("text is not null"), "doc_id", "repo", "text")
+    assert often.count() == 2 and {h for h, _ in rows(often)} == {"h"}
     assert r.find_residue(df.limit(0)).count() == 0
+
+
+def test_numbers_of_lines_agree(spark):
+    text = "A 12  b\r\n\n```x\rc 345 \x0c d\u2028e\n  a 7 B"
+    got = spark.createDataFrame([(text,)], "t string").select(r.line_hashes(r.F.col("t")).alias("h")).first()["h"]
+    assert len(got) == len(r._LINE_END.split(text)) and [x is None for x in got] == [False, True, False, False, False] and got[0] == got[4]
+
+
+def test_the_residual_is_what_is_judged():
+    page = "We use cookies on this site.\nYour session has expired."
+    both, own = r.judge(page), r.judge(page, frozenset({0}))
+    assert both.kind == own.kind == "error" and own.evidence_words == 4 < both.evidence_words
+    # A banner on a page with little to say isn't what the page is about.
+    assert r.judge("We use cookies on this site.\nAll of it is done.").kind is None or r.judge("We use cookies on this site.\nAll of it is done.", frozenset({0})).kind is None
+    assert r.judge(f"{REAL}\nYour session has expired.", frozenset({0})).kind == "error" and r.judge(f"{REAL}\nYour session has expired.", frozenset({1})).kind is None
+    # If there is nothing but boilerplate, it counts what that says; boilerplate without evidence is kept.
+    assert r.judge(page, frozenset({0, 1})).kind == "error" and r.judge(REAL, frozenset({0})).kind is None
+    # Marks of code stay, so what they enclose stays code.
+    assert r.judge("```\n404 Not Found\n```\n" + REAL, frozenset({0, 2})).kind is None
+
+
+def test_long_sentences():
+    error = "We are sorry to tell you that the page that you were looking for could not be found on this server because it may have been moved or renamed or removed by its owner or because the address that you typed has a mistake in it so that you may want to check it once more or to go back to the home page and try again later"
+    assert len(error.split()) > 58 and r.judge(error + ".").kind == "error"
+    story = " ".join(["the crew kept the log of every storm that came over the bay"] * 20)
+    assert r.judge(f"{story} and once an internal server error stopped them and {story}.").kind is None
