@@ -59,17 +59,29 @@ def p4_recall(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.measured_recall(chunks, vectors.top_k_neighbours(chunks))
 
 
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    src = table(spark, folder, "code_chunks", "id", "content", "startline", "filepath").where(F.length("content") > 2000 * splitting.TOKEN_CHARS)
+    src = src.withColumnRenamed("startline", "first_line").withColumnRenamed("id", "chunk_id")
+    return splitting.split_items(src, "content", "first_line", 2000, 50, path="filepath")
+
+
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of at most 2,000 tokens of every oversized chunk, with an overlap of 50 tokens."""
-    src = table(spark, folder, "code_chunks", "id", "content", "startline", "filepath").dropDuplicates()
-    src = src.where(F.length("content") > 2000 * splitting.TOKEN_CHARS)
-    return splitting.split_items(src.withColumnRenamed("startline", "first_line").withColumnRenamed("id", "chunk_id"), "content", "first_line", 2000, 50)
+    return _pieces(spark, folder).dropDuplicates(["chunk_id", "piece_no", "n_pieces", "core_start", "content"])
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """(chunk_id): the chunks that the operator cuts, those with more than 8,000 characters."""
-    src = table(spark, folder, "code_chunks", "id", "content", "startline").select(F.col("id").alias("chunk_id"), "content", F.col("startline").alias("first_line"))
-    return splitting.split_items(src, "content", "first_line", 2000, 50).where("piece_no = 1").select("chunk_id").distinct()
+    """(chunk_id): the chunks that are cut, into several pieces within the limit whose cores cover them without a gap."""
+    p = _pieces(spark, folder).select("chunk_id", "piece_no", "n_pieces", "core_start", "core_end", "n_tokens").distinct()
+    whole = p.groupBy("chunk_id").agg(F.max("n_pieces").alias("n"), F.max("n_tokens").alias("most"), F.max("core_end").alias("chars"), F.sum(F.col("core_end") - F.col("core_start")).alias("covered"))
+    return whole.where("n > 1 and most <= 2000 and covered >= chars").select("chunk_id")
+
+
+def p5_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """(chunk_id, pieces_fit, hash): each oversized chunk put together again from its cores, and whether its pieces keep the limit."""
+    core = F.struct("piece_no", F.expr("substr(content, overlap_chars + 1)").alias("core"))
+    p = p5_pieces(spark, folder).groupBy("chunk_id").agg(F.sort_array(F.collect_list(core)).alias("cores"), (F.max("n_tokens") <= 2000).alias("pieces_fit"))
+    return p.select("chunk_id", "pieces_fit", F.sha2(F.array_join(F.transform("cores", lambda c: c["core"]), ""), 256).alias("hash"))
 
 
 def p6_judged(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,6 +149,7 @@ QUERIES = {
     "p4_recall": p4_recall,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_rejoined": p5_rejoined,
     "p6_found": p6_found,
     "p6_judged": p6_judged,
     "p6_rates": p6_rates,
@@ -156,6 +169,7 @@ ORACLES = {
         s AS (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY round(array_cosine_similarity(a.v, b.v), 12) DESC, b.id) AS rn FROM v a JOIN v b ON a.id <> b.id)
         SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM s WHERE rn <= 5""",
     "p5_found": "SELECT DISTINCT id AS chunk_id FROM code_chunks WHERE length(content) > 8000",
+    "p5_rejoined": "SELECT DISTINCT id AS chunk_id, TRUE AS pieces_fit, sha256(content) AS hash FROM code_chunks WHERE length(content) > 8000",
     "p7_found": """
         WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
         e AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),

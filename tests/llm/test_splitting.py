@@ -30,6 +30,33 @@ def test_cuts_between_functions():
     assert len(got) < 14 and all(c[2].startswith("def ") for c in got)
 
 
+def test_a_comment_is_no_heading():
+    body = "import os\n" + "".join(f"def f{i}(x):\n    y = x + {i}\n    return y\n# a note on g{i}\ndef g{i}():\n    return 2\n" for i in range(200))
+    assert s.form(body) == s.form(body, "py") == s.form(body, "YAML") == "code" and s.form("# Title\n\nSome words.\n") == s.form(body, ".md") == "prose"
+    tree = s.parse(["import os", "def f():", "    x = 1", "# a note on g", "def g():", "    y = 2", "class A {", "  b() {", "    c", "  }", "}"], "code")
+    assert [(n.first, n.last) for n in tree] == [(0, 11), (0, 1), (1, 3), (2, 3), (3, 4), (4, 6), (5, 6), (6, 11), (7, 10), (8, 9)]
+    got = check(body, 1, 300, 0)
+    assert all(c[2].split("\n")[0][:1] in "di#" for c in got)
+
+
+def test_siblings_are_merged_and_only_oversized_nodes_are_opened():
+    method = lambda i, n: f"  m{i}() {{\n" + "    step();\n" * n + "  }\n"
+    text = "class A {\n" + "".join(method(i, 3) for i in range(4)) + "}\nclass B {\n" + "".join(method(i, 12) for i in range(6)) + "}\nclass C {\n" + method(0, 2) + "}\n"
+    got = [c[2] for c in check(text, 1, 110, 0)]
+    assert got[0].startswith("class A {") and got[0].endswith("  }\n}\n")  # whole, and not merged with a part of B
+    assert got[1].startswith("class B {\n  m0()") and all(g.startswith(("class", "  m", "}")) for g in got) and got[-1].startswith("class C {")
+
+
+def test_lists_and_markup():
+    items = "".join(f"- point {i}\n  that goes on\n  - below it\n" for i in range(300))
+    got = [c[2] for c in check("# Title\n\nA list:\n\n" + items, 1, 100, 0)]
+    assert all(g.startswith(("# Title", "- point")) for g in got)
+    page = "<html>\n<body>\n" + "".join(f"<section>\n<h2>Part {i}</h2>\n<p>Some words.</p>\n<br>\n</section>\n" for i in range(200)) + "</body>\n</html>\n"
+    assert s.form(page) == s.form(page, "html") == "markup"
+    got = [c[2] for c in check(page, 1, 100, 0)]
+    assert all(g.startswith(("<html>", "<section>", "</body>")) for g in got)
+
+
 def test_headings_are_kept_with_their_text():
     text = "".join(f"# Part {i}\n\n" + "".join(f"## Section {i}.{j}\n\n" + "words and more words. " * 20 + "\n\n" for j in range(5)) for i in range(6))
     got = check(text, 1, 400, 0)
