@@ -1,22 +1,25 @@
 """Mixing sources to target shares of the total size.
 
 A classifier is trained on a bounded sample of labelled records (multinomial naive Bayes on hashed words). It gives each
-record a posterior over the sources, which is sharpened by the record's own label, taken as a noisy observation: membership is
-soft. Rates, how often each record is used on average, are then fitted by projected gradient descent on the squared distance
-between expected shares and targets, within 0 and the source's most repeats. A record's rate follows from its size, its
-membership and the history of the residuals, a few numbers a step, so a step is one narrow pass and one small aggregate;
-nothing of the corpus comes to the driver. Rates become whole repeats by a hash of the record's id, and the shares that are
-really reached, by the records' own labels, are reported.
+record a posterior over the sources, to which the record's own label contributes as an observation that is wrong at a rate
+found on held-out records: membership is soft. A record's rate, how often it is used on average, is its membership times a
+factor a source. Expected totals are then linear in the factors, and their matrix, the moments of membership weighted by size,
+is summed over all records in one distributed pass; projected gradient descent on the squared distance between expected totals
+and targets needs nothing else. Further passes, three at most, put right what the caps of single records take away. Rates
+become whole repeats by a hash of the record's id and a threshold a source, chosen from a histogram over all records so that
+rounding leaves each source's total as it was fitted. Shares are reported by the records' own labels and by membership.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +27,14 @@ from pyspark.sql import functions as F
 TRAIN_ROWS = 20_000
 #: Hashed features of the classifier.
 FEATURES = 1 << 14
-#: How often a record's own label is taken to be wrong.
-LABEL_NOISE = 0.02
-#: The least size of the mix, as a share of all tokens, for the sake of small sources.
+#: The range of the rate at which labels are taken to be wrong; where in it is found on held-out records.
+LABEL_NOISE = (1e-4, 0.2)
+#: A source that could keep its share only in a mix smaller than this part of all tokens is reported as infeasible.
 LEAST_SIZE = 0.1
-#: Steps of the projected gradient.
-STEPS = 60
-#: Passes that even out the difference between soft membership and labels.
-FACTOR_STEPS = 6
+#: Passes that put right what single records' caps take away, and steps of the projected gradient between them.
+PASSES, STEPS = 3, 20_000
+#: Bins of the histogram by which rounding is put right.
+BINS = 1024
 #: The public vocabulary that counts tokens, and the pattern that goes with it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -51,11 +54,8 @@ def _encoder(path: str):
 
 
 def count_tokens(text: str, path: str = VOCABULARY) -> int:
-    """Tokens of text. Runs of one character over 10,000 long are cut for the encoder, which is quadratic in them."""
-    enc = _encoder(path)
-    if len(text) <= 100_000:
-        return len(enc.encode_ordinary(text))
-    return sum(len(enc.encode_ordinary(text[i : i + 100_000])) for i in range(0, len(text), 100_000))
+    """Tokens of the whole text."""
+    return len(_encoder(path).encode_ordinary(text))
 
 
 def source_key(c: Column) -> Column:
@@ -69,152 +69,214 @@ def _features(text: str) -> np.ndarray:
     return np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % FEATURES for w in _WORD.findall(text.lower())), np.int64)
 
 
-def train(sample: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(log likelihoods, log priors) of multinomial naive Bayes; a source without records gets a flat likelihood."""
-    counts = np.full((len(names), FEATURES), 0.1)
-    prior = np.ones(len(names))
-    where = {n: i for i, n in enumerate(names)}
-    for text, source in zip(sample["text"], sample["source"]):
-        i = where[source]
-        np.add.at(counts[i], _features(text), 1.0)
-        prior[i] += 1
-    return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), np.log(prior / prior.sum())
+def likelihoods(counts: np.ndarray, records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log likelihoods, log priors) of multinomial naive Bayes, from feature counts and numbers of records a source; a source
+    without records gets a flat likelihood."""
+    c, n = counts + 0.1, records + 1.0
+    return np.log(c / c.sum(axis=1, keepdims=True)).astype(np.float32), np.log(n / n.sum())
 
 
-def posterior(text: str, label: int, like: np.ndarray, prior: np.ndarray, noise: float = LABEL_NOISE) -> np.ndarray:
-    """Membership in each source, given the text and its label."""
+def score(text: str, like: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Log posterior of the text alone, but for a constant. Words aren't independent: a long text's evidence is scaled down to
+    that of 20 words."""
     f = _features(text)
-    # Words aren't independent; a long text's evidence is scaled down to that of 20 words.
-    score = prior + (like[:, f].sum(axis=1) * (min(1.0, 20 / len(f))) if len(f) else 0.0)
-    seen = np.full(len(prior), np.log(noise / max(1, len(prior) - 1)))
-    seen[label] = np.log(1 - noise)
-    score = score + seen
-    e = np.exp(score - score.max())
-    return e / e.sum()
-
-
-def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+    return prior + (like[:, f].sum(axis=1) * min(1.0, 20 / len(f)) if len(f) else 0.0)
+
+
+def membership(scores: np.ndarray, label: np.ndarray, noise: float) -> np.ndarray:
+    """Membership in each source, row by row, given the texts' scores and the labels."""
+    k = scores.shape[1]
+    s = scores + np.log(noise / max(1, k - 1))
+    rows = np.arange(len(s))
+    s[rows, label] += np.log(1 - noise) - np.log(noise / max(1, k - 1))
+    e = np.exp(s - s.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def label_noise(scores: np.ndarray, label: np.ndarray) -> float:
+    """How often labels are wrong, by expectation maximisation on held-out records."""
+    low, high = LABEL_NOISE
+    noise = 0.02
+    for _ in range(30 if len(label) else 0):
+        noise = float(np.clip(1 - membership(scores, label, noise)[np.arange(len(label)), label].mean(), low, high))
+    return noise
+
+
+def fit(moments: np.ndarray, want: np.ndarray, most: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Factors x, 0 <= x <= most, with the least squared distance of moments @ x to want, by projected gradient."""
+    scale = np.maximum(want, 1.0)
+    a, b = moments / scale[:, None], want / scale
+    step = 1.0 / max(np.linalg.norm(a, 2) ** 2, 1e-12)
+    x = np.clip(start, 0.0, most)
+    for _ in range(STEPS):
+        new = np.clip(x - step * (a.T @ (a @ x - b)), 0.0, most)
+        if np.abs(new - x).max(initial=0.0) < 1e-10:
+            return new
+        x = new
+    return x
+
+
+def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY, least_size: float = LEAST_SIZE) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares).
 
     chosen: (doc_id, source, tokens, repeats) of each record used at least once, repeats at most its source's max_repeats.
-    shares: (source, target_share, reached_share, tokens, documents, uses) of every source of targets.
+    shares: (source, target_share, max_repeats, feasible, wanted_share, reached_share, member_share, tokens, documents, uses) of
+    every source of targets. reached_share goes by the records' labels, member_share by their membership.
 
     targets has source, target_share, max_repeats, a few rows. Records of no listed source, and null or empty ones, take no
-    part; a redelivered row counts once. The mix is as large as all sources' shares allow; a source that would make it smaller
-    than LEAST_SIZE of all tokens, or is absent, is used to its most, and the others keep their proportions. With no records at all chosen is empty and every share 0.
+    part; a redelivered row counts once, of different rows under one id the one of the first source and least size counts. The
+    mix is as large as all feasible sources' shares allow. A source that could keep its share only in a mix of less than
+    `least_size` of all tokens, or is absent, isn't feasible: it is used to its most, and wanted_share tells what the others'
+    shares are then, in proportion. With least_size = 0 only absent sources are infeasible. With no records at all chosen is
+    empty and every share 0.
     """
-    from lodestone.session import materialize
+    from lodestone.session import materialize, spread
 
     spark = docs.sparkSession
-    goal = targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").dropDuplicates(["source"]).orderBy("source").toPandas()
+    goal = targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").groupBy("source").agg(F.min(F.struct("target_share", "max_repeats")).alias("t")).select("source", "t.*").orderBy("source").toPandas()
     names = goal["source"].tolist()
+    k = len(names)
     share = goal["target_share"].to_numpy(float) / max(goal["target_share"].sum(), 1e-12)
     cap = goal["max_repeats"].fillna(0).clip(lower=0).to_numpy(int)
     where = {n: i for i, n in enumerate(names)}
     used = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"), source_key(F.col(source)).alias("source"))
-    used = used.where(F.col("source").isin(*names) & F.col("text").isNotNull() & (F.length("text") > 0)).dropDuplicates(["id"])
-    n = used.count()
-    one_in = max(1, n // TRAIN_ROWS)
-    sample = used.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).limit(2 * TRAIN_ROWS).select("text", "source").toPandas()
-    like, prior = train(sample, names)
-    k = len(names)
+    used = used.where(F.col("source").isin(*names) & F.col("text").isNotNull() & (F.length("text") > 0))
+    one_in = max(1, used.count() // TRAIN_ROWS)
+    sample = used.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).limit(2 * TRAIN_ROWS)
+    held_out = F.pmod(F.xxhash64("id", F.lit("held out")), F.lit(4)) == 0
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros((k, FEATURES + 1))
+        for pdf in batches:
+            for t, src in zip(pdf["text"], pdf["source"]):
+                np.add.at(n[where[src]], _features(t), 1.0)
+                n[where[src], FEATURES] += 1  # records
+        i, f = np.nonzero(n)
+        yield pd.DataFrame({"i": i, "f": f, "n": n[i, f]})
+
+    counts = np.zeros((k, FEATURES + 1))
+    # At most one row a source and feature.
+    got = sample.where(~held_out).mapInPandas(count, "i int, f int, n double").groupBy("i", "f").agg(F.sum("n").alias("n")).toPandas()
+    counts[got["i"], got["f"]] = got["n"]
+    like, prior = likelihoods(counts[:, :FEATURES], counts[:, FEATURES])
     model = spark.sparkContext.broadcast((like, prior))
 
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        like, prior = model.value
+    def scored(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return np.stack([score(t, *model.value) for t in pdf["text"]]) if len(pdf) else np.zeros((0, k)), pdf["source"].map(where).to_numpy(int)
+
+    def rate_labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            label = pdf["source"].map(where).to_numpy(int)
-            yield pd.DataFrame(
-                {
-                    "id": pdf["id"],
-                    "label": label,
-                    "tokens": [count_tokens(t, vocabulary) for t in pdf["text"]],
-                    "member": [posterior(t, i, like, prior).tolist() for t, i in zip(pdf["text"], label)],
-                }
-            )
-
-    weighed = materialize(used.mapInPandas(weigh, "id bigint, label int, tokens bigint, member array<double>"), "mix")
-    stats = weighed.agg(F.sum("tokens").alias("t"), *[F.sum(F.when(F.col("label") == i, F.col("tokens"))).alias(f"s{i}") for i in range(k)]).first()
-    total = float(stats["t"] or 0)
-    size = np.array([float(stats[f"s{i}"] or 0) for i in range(k)])
-    # The mix's size: the largest at which every source of some size keeps its share within its cap. A source that could
-    # only keep it in a mix of less than LEAST_SIZE of all tokens is used to its most instead, and so is an absent one.
-    room = size * cap
-    reach = np.divide(room, share, out=np.full(k, np.inf), where=share > 0)
-    large = (share > 0) & (reach >= LEAST_SIZE * total)
-    budget = reach[large].min() if large.any() else room.sum()
-    want = np.minimum(np.where(large, share * budget, room), np.where(share > 0, share * budget, 0))
-    start = np.divide(want, size, out=np.zeros(k), where=size > 0)
-    start = np.minimum(start, cap)
-
-    def rate(member: np.ndarray, label: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
-        """Each record's rate after the steps whose residuals are given."""
-        r = np.minimum(member @ start, cap[label])
-        for g in history:
-            r = np.clip(r + member @ g, 0.0, cap[label])
-        return r
-
-    history: list[np.ndarray] = []
-    before = np.inf
-    scale = np.divide(1.0, size, out=np.zeros(k), where=size > 0)
-    for _ in range(STEPS if n else 0):
-        sent = list(history)
-
-        def totals(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            out = np.zeros(k)
-            for pdf in batches:
-                if len(pdf):
-                    m = np.stack(pdf["member"].to_numpy())
-                    r = rate(m, pdf["label"].to_numpy(), sent)
-                    out += (r * pdf["tokens"].to_numpy()) @ m
-            yield pd.DataFrame({"d": range(k), "t": out})
-
-        got = weighed.mapInPandas(totals, "d int, t double").groupBy("d").agg(F.sum("t").alias("t")).toPandas().set_index("d")["t"].reindex(range(k)).fillna(0).to_numpy()
-        residual = want - got
-        lack = float(np.abs(residual).sum())
-        # Enough, or as near as the caps let it come.
-        if lack <= 2e-3 * max(budget, 1) or lack > 0.97 * before:
-            break
-        before = lack
-        history.append(0.9 * residual * scale)
+            s, label = scored(pdf)
+            yield pd.DataFrame({"label": label, "s": list(s)})
+
+    held = sample.where(held_out).mapInPandas(rate_labels, "label int, s array<double>").toPandas()
+    noise = label_noise(np.stack(held["s"].to_numpy()) if len(held) else np.zeros((0, k)), held["label"].to_numpy(int))
+    if os.path.isfile(vocabulary):  # executors get it from the driver
+        spark.sparkContext.addFile(vocabulary)
 
-    # Shares are reported by the records' own labels, from which soft membership differs a little: a factor a label, found
-    # in a few passes, evens that out within the caps.
-    factor = np.ones(k)
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent = SparkFiles.get(os.path.basename(vocabulary))
+        path = sent if os.path.isfile(sent) else vocabulary
+        for pdf in batches:
+            s, label = scored(pdf)
+            yield pd.DataFrame({"id": pdf["id"], "label": label, "tokens": [count_tokens(t, path) for t in pdf["text"]], "member": list(membership(s, label, noise))})
 
-    def final(pdf: pd.DataFrame, by: np.ndarray) -> np.ndarray:
-        label = pdf["label"].to_numpy()
-        return np.minimum(rate(np.stack(pdf["member"].to_numpy()), label, history) * by[label], cap[label])
+    # Texts end here; of several rows under an id one is kept.
+    weighed = spread(used).mapInPandas(weigh, "id bigint, label int, tokens bigint, member array<double>")
+    weighed = materialize(weighed.groupBy("id").agg(F.min(F.struct("label", "tokens", "member")).alias("w")).select("id", "w.*"), "mix")
 
-    for _ in range(FACTOR_STEPS if n else 0):
-        by = factor.copy()
+    def summed(make) -> pd.DataFrame:
+        """The sums of arrays that make(member, label, tokens, u) gives, element by element, over all records."""
 
-        def by_label(batches: Iterator[pd.DataFrame], by=by) -> Iterator[pd.DataFrame]:
-            out = np.zeros(k)
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = None
             for pdf in batches:
                 if len(pdf):
-                    np.add.at(out, pdf["label"].to_numpy(), final(pdf, by) * pdf["tokens"].to_numpy())
-            yield pd.DataFrame({"d": range(k), "t": out})
-
-        got = weighed.mapInPandas(by_label, "d int, t double").groupBy("d").agg(F.sum("t").alias("t")).toPandas().set_index("d")["t"].reindex(range(k)).fillna(0).to_numpy()
-        if (np.abs(want - got) <= 2e-3 * np.maximum(want, 1)).all():
+                    one = make(np.stack(pdf["member"].to_numpy()), pdf["label"].to_numpy(), pdf["tokens"].to_numpy(float), pdf["u"].to_numpy())
+                    total = one if total is None else total + one
+            if total is not None:
+                at = np.flatnonzero(total)
+                yield pd.DataFrame({"d": at, "t": total[at]})
+
+        u = (F.pmod(F.xxhash64("id", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u")
+        return weighed.select("id", "label", "tokens", "member", u).mapInPandas(run, "d int, t double").groupBy("d").agg(F.sum("t").alias("t")).toPandas()
+
+    def dense(df: pd.DataFrame, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        out[df["d"].to_numpy(int)] = df["t"].to_numpy()
+        return out
+
+    def first(m, label, tokens, u):
+        return np.concatenate([np.bincount(label, tokens, k), ((m * tokens[:, None]).T @ m).ravel()])
+
+    got = dense(summed(first), k + k * k)
+    size, moments = got[:k], got[k:].reshape(k, k)
+    total = size.sum()
+    # The mix's size: the largest at which every feasible source keeps its share within its cap.
+    room = size * cap
+    reach = np.divide(room, share, out=np.full(k, np.inf), where=share > 0)
+    feasible = (share == 0) | (room > 0) & (reach >= least_size * total)
+    bound = feasible & (share > 0)
+    budget = reach[bound].min() if bound.any() else 0.0
+    want = np.where(feasible, share * budget, np.minimum(room, share * budget) if budget else room)
+    fixed = ~feasible  # used to their most
+
+    def rate(x: np.ndarray, m: np.ndarray, label: np.ndarray) -> np.ndarray:
+        return np.where(fixed[label], cap[label] * np.minimum(1.0, np.divide(want, room, out=np.zeros(k), where=room > 0))[label], np.clip(m @ x, 0.0, cap[label]))
+
+    # Expected totals by membership; what infeasible sources give to others' totals is small and left to the passes below.
+    aim = want.copy()
+    x = np.minimum(np.divide(want, size, out=np.zeros(k), where=size > 0), cap)
+    for _ in range(PASSES if total else 0):
+        x = fit(moments, aim, cap.astype(float), x)
+
+        def reached(m, label, tokens, u, x=x):
+            return (rate(x, m, label) * tokens) @ m
+
+        lack = want - dense(summed(reached), k)
+        if np.abs(lack).sum() <= 1e-3 * max(want.sum(), 1.0):
             break
-        factor = factor * np.divide(want, got, out=np.ones(k), where=got > 0)
+        aim = np.maximum(aim + lack, 0.0)
+
+    def rounding(m, label, tokens, u):
+        """By source: the total by rates, the total of whole parts, and a histogram of tokens by how near a record is to one more."""
+        r = rate(x, m, label)
+        low = np.floor(r)
+        open_ = low < cap[label]
+        bin_ = np.clip(((u - (r - low) + 1) / 2 * BINS).astype(int), 0, BINS - 1)
+        out = np.zeros((k, 2 + BINS))
+        np.add.at(out[:, 0], label, r * tokens)
+        np.add.at(out[:, 1], label, low * tokens)
+        np.add.at(out, (label[open_], 2 + bin_[open_]), tokens[open_])
+        return out.ravel()
+
+    got = dense(summed(rounding), k * (2 + BINS)).reshape(k, 2 + BINS)
+    ups = np.concatenate([np.zeros((k, 1)), np.cumsum(got[:, 2:], axis=1)], axis=1)
+    edge = np.abs(ups - (got[:, :1] - got[:, 1:2])).argmin(axis=1)  # bins that are rounded up
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                r = final(pdf, factor)
-                up = (pdf["u"].to_numpy() < r - np.floor(r)).astype(int)
-                yield pd.DataFrame({"doc_id": pdf["id"], "label": pdf["label"], "tokens": pdf["tokens"], "repeats": np.minimum(np.floor(r).astype(int) + up, cap[pdf["label"].to_numpy()])})
+                m, label = np.stack(pdf["member"].to_numpy()), pdf["label"].to_numpy()
+                r = rate(x, m, label)
+                low = np.floor(r)
+                bin_ = np.clip(((pdf["u"].to_numpy() - (r - low) + 1) / 2 * BINS).astype(int), 0, BINS - 1)
+                n = np.minimum(low + (bin_ < edge[label]), cap[label]).astype(int)
+                yield pd.DataFrame({"doc_id": pdf["id"], "label": label, "tokens": pdf["tokens"], "repeats": n, "member": pdf["member"]})
 
     u = (F.pmod(F.xxhash64("id", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u")
-    drawn = weighed.select("id", "label", "tokens", "member", u).mapInPandas(draw, "doc_id bigint, label int, tokens bigint, repeats int").where("repeats > 0")
-    listed = F.array(*[F.lit(x) for x in names]) if names else F.array(F.lit(""))
-    chosen = drawn.select("doc_id", F.element_at(listed, F.col("label") + 1).alias("source"), "tokens", "repeats")
-    sums = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sum("repeats").alias("uses"))
-    whole = sums.agg(F.sum("tokens").alias("whole"))
-    goals = spark.createDataFrame([(a, float(b), int(c)) for a, b, c in zip(names, goal["target_share"], cap)], "source string, target_share double, max_repeats int")
+    drawn = weighed.select("id", "label", "tokens", "member", u).mapInPandas(draw, "doc_id bigint, label int, tokens bigint, repeats int, member array<double>").where("repeats > 0")
+    listed = F.array(*[F.lit(n) for n in names]) if names else F.array(F.lit(""))
+    of = F.element_at(listed, F.col("label") + 1).alias("source")
+    chosen = drawn.select("doc_id", of, "tokens", "repeats")
+    weight = F.col("tokens") * F.col("repeats")
+    each = drawn.groupBy(of).agg(F.sum(weight).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sum("repeats").alias("uses"), F.array(*[F.sum(weight * F.col("member")[i]) for i in range(k)]).alias("m") if k else F.array().alias("m"))
+    whole = each.agg(F.sum("tokens").alias("whole"), F.array(*[F.sum(F.col("m")[i]) for i in range(k)]).alias("by_member") if k else F.array().alias("by_member"))
+    wanted = want / want.sum() if want.sum() else want
+    goals = spark.createDataFrame(
+        [(i, a, float(b), int(c), bool(d), float(e)) for i, (a, b, c, d, e) in enumerate(zip(names, goal["target_share"], cap, feasible, wanted))], "no int, source string, target_share double, max_repeats int, feasible boolean, wanted_share double"
+    )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    shares = goals.join(sums, "source", "left").crossJoin(F.broadcast(whole)).select("source", "target_share", "max_repeats", F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("reached_share"), zero("tokens"), zero("documents"), zero("uses"))
+    part = lambda c, name: F.coalesce(c / F.col("whole"), F.lit(0.0)).alias(name)
+    shares = goals.join(each.drop("m"), "source", "left").crossJoin(F.broadcast(whole)).select("source", "target_share", "max_repeats", "feasible", "wanted_share", part(F.col("tokens"), "reached_share"), part(F.get("by_member", F.col("no")), "member_share"), zero("tokens"), zero("documents"), zero("uses"))
     return chosen, shares
