@@ -6,8 +6,10 @@ q-grams with its original, and they lie on diagonals (document position less ite
 are therefore counted in overlapping bands of diagonals; bands that reach the bound become regions, and a banded alignment
 of each region verifies it. Of a region that fails as a whole, each part that reaches the bound is aligned by itself.
 
-The items are a stated, small query set: they are indexed in blocks of bounded size, each of which is sent to all tasks and
-meets every document once. A document's text never leaves its task.
+The items are a stated query set and mostly small. Their size is counted first: up to `SENT_CHARS` they are indexed in blocks
+of bounded size, each of which is sent to all tasks and meets every document once, and no document's text leaves its task. A
+larger set is divided into blocks too, but a document meets only those with which it shares a selected q-gram: of every window
+of q-grams both sides select the one with the least hash, so that each stretch long enough for the lemma has one in common.
 """
 
 from __future__ import annotations
@@ -21,14 +23,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import spread
+from lodestone.session import materialize, spread
 
 #: Characters of item text in one block of the item index, the bound of what is broadcast.
 BLOCK_CHARS = 8_000_000
+#: Characters of all items together up to which their blocks are broadcast.
+SENT_CHARS = 4 * BLOCK_CHARS
+#: Shared q-grams that are held at a time.
+HELD = 16_000_000
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+COLUMNS = ["doc_id", "item_id", "words", "distance", "item_chars", "passage"]
+SCHEMA = "doc_id bigint, item_id bigint, words int, distance int, item_chars int, passage string"
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -78,6 +88,11 @@ class ItemIndex:
         cat = lambda x: (np.concatenate(x) if x else np.zeros(0, np.int32))[order]
         return ItemIndex(ids, texts, q, h[order], cat(it), cat(ps))
 
+    def part(self, lo: int, hi: int) -> ItemIndex:
+        """The q-grams of the items lo to hi alone."""
+        own = (self.item >= lo) & (self.item < hi)
+        return ItemIndex(self.ids, self.texts, self.q, self.hashes[own], self.item[own], self.pos[own])
+
 
 def banded_distance(a: str, b: str, limit: int) -> int:
     """The edit distance of a and b if it is at most `limit`, else limit + 1; only the diagonals within limit are filled."""
@@ -110,8 +125,9 @@ def find_regions(docs: list[str], index: ItemIndex, min_chars: int, edits: int,
 
     hits: where in the document the region's shared q-grams begin, ascending; lowest, highest: their diagonals.
 
-    docs are normalised. A region runs from the first to the last shared q-gram of its band. Without edits a run of
-    min_words words has its min_words - 1 blanks within its region, so regions with fewer are dropped.
+    docs are normalised. A region runs from the first to the last shared q-gram of its band; without edits it is a run of
+    adjacent ones. A run of min_words words has its min_words - 1 blanks within its region, so regions with fewer are dropped.
+    q-grams that very many items have are no danger: beyond HELD shared ones documents, and then items, are halved.
     """
     q = index.q
     need = min_chars + 1 - q - q * edits
@@ -131,14 +147,23 @@ def find_regions(docs: list[str], index: ItemIndex, min_chars: int, edits: int,
         return []
     lo = lo[at]
     n = np.searchsorted(index.hashes, h[at], "right") - lo
+    if n.sum() > HELD:
+        if len(docs) > 1:
+            half = len(docs) // 2
+            first = find_regions(docs[:half], index, min_chars, edits, min_words)
+            return first + [(r[0] + half, *r[1:]) for r in find_regions(docs[half:], index, min_chars, edits, min_words)]
+        low, high = int(index.item.min()), int(index.item.max()) + 1
+        if high - low > 1:
+            mid = (low + high) // 2
+            return sorted((r for a, b in ((low, mid), (mid, high)) for r in find_regions(docs, index.part(a, b), min_chars, edits, min_words)), key=lambda r: r[:6])
     which = np.repeat(np.arange(len(at)), n)
     slot = np.repeat(lo, n) + (np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n))
     item = index.item[slot].astype(np.int64)
     doc = (np.searchsorted(starts, at, "right") - 1)[which]
     # The lemma's bound holds for a document and an item as a whole before it holds for a band.
     pair = doc * len(index.ids) + item
-    few = np.bincount(pair, minlength=1) < need
-    keep = np.flatnonzero(~few[pair])
+    _, which_pair, shared = np.unique(pair, return_inverse=True, return_counts=True)
+    keep = np.flatnonzero(shared[which_pair] >= need)
     if not len(keep):
         return []
     doc, item, slot, doc_at = doc[keep], item[keep], slot[keep], at[which[keep]]
@@ -154,7 +179,7 @@ def find_regions(docs: list[str], index: ItemIndex, min_chars: int, edits: int,
         low = band.min()
         order = np.argsort((doc * len(index.ids) + item) * (band.max() - low + 1) + (band - low), kind="stable")
         d, i, b, p, ip = doc[order], item[order], band[order], dpos[order], ipos[order]
-        gap = min_chars + q
+        gap = min_chars + q if edits else 1
         new = np.ones(len(d), bool)
         new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1]) | (p[1:] - p[:-1] > gap)
         first = np.flatnonzero(new)
@@ -289,6 +314,19 @@ def shared_run(doc: list[str], item: list[str]) -> int:
     return best
 
 
+def whole_words(text: str, a: int, b: int, item: str, c: int) -> tuple[int, int]:
+    """text[a:b], which equals item from c on, cut to the words that are whole in both."""
+    end = c + b - a
+    if text[a:b].startswith(" "):
+        a += 1
+    elif a and text[a - 1] != " " or c and item[c - 1] != " ":
+        a = text.find(" ", a, b) + 1 or b
+    if b > a and (b < len(text) and text[b] != " " or end < len(item) and item[end] != " "):
+        b = text.rfind(" ", a, b)
+        b = a if b < 0 else b
+    return (a, b - 1) if b > a and text[b - 1] == " " else (a, b)
+
+
 def _widen(text: str, a: int, b: int) -> tuple[int, int]:
     """[a, b) grown to word ends."""
     while a > 0 and text[a - 1] != " ":
@@ -298,10 +336,11 @@ def _widen(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = 13, edits: int = 0, q: int = 12, min_chars: int | None = None) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = 13, edits: int = 0, q: int = 12, min_chars: int | None = None, sent_chars: int = SENT_CHARS) -> DataFrame:
     """(doc_id, item_id, words, distance, item_chars, passage): one row for each document and each item that it gives away.
 
-    With edits = 0: the document shares `min_words` or more consecutive words with the item, `words` is how many at most.
+    With edits = 0: the document shares `min_words` or more consecutive words with the item, `words` is how many at most: a region
+    counts if its alignment has no edit and holds so many whole words.
     With edits = e: a region of at least `min_chars` characters that begins and ends with words in which both agree, with at
     most e edits for each min_chars characters begun; `words` is then the longest exact run, and `distance` the region's edit distance.
     `passage` is the longest verified region of the document, normalised.
@@ -313,69 +352,132 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
     if q + q * edits > min_chars:
         raise ValueError("q * (edits + 1) must not exceed the least length")
     own = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(doc_text).alias("t")).where("t is not null")
-    own = spread(own)
+    queries = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("t is not null and i is not null").distinct()
     spark = docs.sparkSession
-    schema = "doc_id bigint, item_id bigint, words int, distance int, item_chars int, passage string"
+    size = queries.agg(F.sum(F.length("t"))).first()[0] or 0
+
+    def scan(pdf: pd.DataFrame, idx: ItemIndex) -> pd.DataFrame:
+        best = _leaks(pdf["d"].tolist(), [" ".join(words_of(t)) for t in pdf["t"]], idx, min_chars, edits, min_words)
+        return pd.DataFrame(list(best.values()), columns=COLUMNS)
+
+    if size > sent_chars:
+        # A stretch without an edit of so many characters lies in every region; q-grams are selected in windows of it.
+        window = (min_chars - edits) // (edits + 1) - q + 1
+        found = _meetings(own, queries, q, window, max(1, -(-2 * size // BLOCK_CHARS)))
+
+        def meet(texts: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+            if not len(texts) or not len(block):
+                return pd.DataFrame(columns=COLUMNS, dtype=object)
+            return scan(texts, ItemIndex.build(list(zip(block["i"].tolist(), block["t"])), q))
+
+        return found[0].cogroup(found[1]).applyInPandas(meet, SCHEMA).dropDuplicates(["doc_id", "item_id"])
+
+    own = spread(own)
     parts = []
-    for block in _blocks(items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("t is not null and i is not null").distinct()):
-        index = ItemIndex.build(block, q)
-        sent = spark.sparkContext.broadcast(index)
+    for block in _blocks(queries):
+        sent = spark.sparkContext.broadcast(ItemIndex.build(block, q))
 
-        def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            idx = sent.value
-            item_words = [t.split() for t in idx.texts]
+        def each(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                ids = pdf["d"].tolist()
-                norm = [" ".join(words_of(t)) for t in pdf["t"]]
-                best: dict[tuple[int, int], tuple] = {}
-                a = 0
-                while a < len(norm):
-                    b, size = a, 0
-                    while b < len(norm) and (b == a or size + len(norm[b]) < 2_000_000):
-                        size += len(norm[b])
-                        b += 1
-
-                    def keep(row: tuple) -> None:
-                        old = best.get(row[:2])
-                        if old is None or (row[2], row[4]) > (old[2], old[4]):
-                            best[row[:2]] = row
-
-                    failed = []
-                    for region in find_regions(norm[a:b], idx, min_chars, edits, min_words):
-                        d, i, d0, d1, i0, i1 = region[:6]
-                        text, item = norm[a + d], idx.texts[i]
-                        d0, d1 = _widen(text, d0, d1)
-                        if edits and d1 - d0 < min_chars:
-                            failed.append(region)
-                            continue
-                        i0, i1 = _widen(item, i0, i1)
-                        limit = edits * max(1, -(-(d1 - d0) // min_chars))
-                        dist = banded_distance(text[d0:d1], item[i0:i1], limit + abs((d1 - d0) - (i1 - i0)) if edits else 0)
-                        run = shared_run(text[d0:d1].split(), item_words[i])
-                        if (run >= min_words) if edits == 0 else (run >= min_words or dist <= limit):
-                            keep((ids[a + d], idx.ids[i], run, dist, i1 - i0, text[d0:d1]))
-                        else:
-                            failed.append(region)
-                    if edits and failed:
-                        docs_ = norm[a:b]
-                        for d, i, d0, d1, i0, i1, dist in _joined_parts(docs_, idx, find_parts(docs_, idx, failed, min_chars, edits), min_chars, edits):
-                            passage = docs_[d][d0:d1]
-                            keep((ids[a + d], idx.ids[i], shared_run(passage.split(), item_words[i]), dist, i1 - i0, passage))
-                    a = b
-                if best:
-                    yield pd.DataFrame(list(best.values()), columns=["doc_id", "item_id", "words", "distance", "item_chars", "passage"])
-
-        parts.append(own.mapInPandas(scan, schema))
+                out = scan(pdf, sent.value)
+                if len(out):
+                    yield out
+
+        parts.append(own.mapInPandas(each, SCHEMA))
     if not parts:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], SCHEMA)
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)
     return df.dropDuplicates(["doc_id", "item_id"])
 
 
+def _leaks(ids: list[int], norm: list[str], idx: ItemIndex, min_chars: int, edits: int, min_words: int) -> dict[tuple[int, int], tuple]:
+    """(doc, item) -> the row of SCHEMA with the longest run: the alignment of each region decides."""
+    item_words: dict[int, list[str]] = {}
+    best: dict[tuple[int, int], tuple] = {}
+
+    def keep(row: tuple) -> None:
+        old = best.get(row[:2])
+        if old is None or (row[2], row[4]) > (old[2], old[4]):
+            best[row[:2]] = row
+
+    def run_of(passage: str, i: int) -> int:
+        if i not in item_words:
+            item_words[i] = idx.texts[i].split()
+        return shared_run(passage.split(), item_words[i])
+
+    a = 0
+    while a < len(norm):
+        b, size = a, 0
+        while b < len(norm) and (b == a or size + len(norm[b]) < 2_000_000):
+            size += len(norm[b])
+            b += 1
+        failed = []
+        for region in find_regions(norm[a:b], idx, min_chars, edits, min_words):
+            d, i, d0, d1, i0, i1 = region[:6]
+            text, item = norm[a + d], idx.texts[i]
+            if not edits:
+                if banded_distance(text[d0:d1], item[i0:i1], 0) == 0:
+                    d0, d1 = whole_words(text, d0, d1, item, i0)
+                    run = text.count(" ", d0, d1) + 1 if d1 > d0 else 0
+                    if run >= min_words:
+                        keep((ids[a + d], idx.ids[i], run, 0, d1 - d0, text[d0:d1]))
+                continue
+            d0, d1 = _widen(text, d0, d1)
+            if d1 - d0 < min_chars:
+                failed.append(region)
+                continue
+            i0, i1 = _widen(item, i0, i1)
+            limit = edits * max(1, -(-(d1 - d0) // min_chars))
+            dist = banded_distance(text[d0:d1], item[i0:i1], limit + abs((d1 - d0) - (i1 - i0)))
+            run = run_of(text[d0:d1], i)
+            if run >= min_words or dist <= limit:
+                keep((ids[a + d], idx.ids[i], run, dist, i1 - i0, text[d0:d1]))
+            else:
+                failed.append(region)
+        if failed:
+            docs_ = norm[a:b]
+            for d, i, d0, d1, i0, i1, dist in _joined_parts(docs_, idx, find_parts(docs_, idx, failed, min_chars, edits), min_chars, edits):
+                passage = docs_[d][d0:d1]
+                keep((ids[a + d], idx.ids[i], run_of(passage, i), dist, i1 - i0, passage))
+        a = b
+    return best
+
+
+def selected(text: str, q: int, window: int) -> np.ndarray:
+    """The distinct least hashes of all windows of so many adjacent q-grams of a normalised text."""
+    h = _qgram_hashes(_codes([text]), q)
+    if len(h) < window:
+        return h[:0]
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, window).min(axis=1))
+
+
+def _meetings(docs: DataFrame, items: DataFrame, q: int, window: int, blocks: int) -> tuple:
+    """Documents (d, t) and items (i, t), grouped so that each document meets the blocks of items with which it shares a
+    selected q-gram. A hot q-gram is split by the join's skew handling; what it leads to is one row a document and block. The
+    documents of one block are divided among tasks by their number."""
+
+    def hashes(name: str):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                each = [selected(" ".join(words_of(t)), q, window).view(np.int64) for t in pdf["t"]]
+                yield pd.DataFrame({name: np.repeat(pdf[name].to_numpy(), [len(x) for x in each]), "h": np.concatenate(each) if each else np.zeros(0, np.int64)})
+
+        return run
+
+    block = F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int").alias("block")
+    of_items = items.mapInPandas(hashes("i"), "i bigint, h bigint").select("h", block).distinct()
+    of_docs = spread(docs.where("d is not null")).mapInPandas(hashes("d"), "d bigint, h bigint")
+    pairs = materialize(of_docs.join(of_items, "h").select("d", "block").distinct(), "leak-candidates")
+    few = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / 2_000).cast("int").alias("salts"))  # a row a block of items
+    left = docs.join(pairs, "d").join(few, "block").select("block", F.pmod(F.xxhash64("d"), F.col("salts")).cast("int").alias("salt"), "d", "t")
+    right = items.withColumn("block", block).join(few, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "i", "t")
+    return left.groupBy("block", "salt"), right.groupBy("block", "salt")
+
+
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most BLOCK_CHARS characters (or one item), read partition by partition."""
+    """The items, whose size is bounded, in blocks of at most BLOCK_CHARS characters (or one item)."""
     block: list[tuple[int, str]] = []
     size = 0
     for r in items.toLocalIterator():

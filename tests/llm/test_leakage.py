@@ -22,7 +22,7 @@ def brute(docs, items, n=13):
     return out
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     rnd = random.Random(4)
     items = [(i, " ".join(rnd.choice(WORDS) for _ in range(rnd.choice([5, 13, 40, 80])))) for i in range(30)] + [(30, "a " * 20), (31, "a b c d e f g h i j k l m"), (32, "")]
     docs = []
@@ -38,6 +38,13 @@ def test_against_brute_force(spark):
     I = spark.createDataFrame(items, "item_id bigint, text string")  # noqa: E741
     got = set(rows(k.find_leaks(D, I), "doc_id", "item_id"))
     want = brute(docs, items)
+    # Too many items to be broadcast are joined; very frequent q-grams are worked off in parts.
+    assert set(rows(k.find_leaks(D, I, sent_chars=0), "doc_id", "item_id")) == want
+    index = k.ItemIndex.build(items, 12)
+    norm = [" ".join(k.words_of(t or "")) for _, t in docs]
+    regions = k.find_regions(norm, index, 25, 0, 13)
+    monkeypatch.setattr(k, "HELD", 40)
+    assert [r[:6] for r in k.find_regions(norm, index, 25, 0, 13)] == [r[:6] for r in regions]
     assert got == want and (202, 31) in got and (203, 31) not in got and len(want) > 40
     assert k.find_leaks(D.limit(0), I).count() == 0 and k.find_leaks(D, I.limit(0)).count() == 0
 
@@ -50,6 +57,30 @@ def test_blocks_give_the_same(spark, monkeypatch):
     assert rows(k.find_leaks(D, I), "doc_id", "item_id") == [(i, i) for i in range(10)]
 
 
+def test_whole_words():
+    a, b = "xfoo bar baz quy", "foo bar baz quz"
+    assert k.whole_words(a, 1, 15, b, 0) == (5, 12) and a[5:12] == "bar baz"
+    assert k.whole_words("foo bar", 0, 7, "a foo bar c", 2) == (0, 7) and k.whole_words("afoo", 1, 4, "foo", 0)[0] >= k.whole_words("afoo", 1, 4, "foo", 0)[1]
+
+
+def test_edits_over_joined_items(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(3, 9)))
+    items = [(i, " ".join(word() for _ in range(40))) for i in range(40)]
+    docs = []
+    for d in range(60):  # labelled: the passage of item d % 40 with d % 4 letters changed in each 100
+        own = items[d % 40][1]
+        out = list(own[:100].rsplit(" ", 1)[0] + own[len(own[:100].rsplit(" ", 1)[0]) : 200].rsplit(" ", 1)[0])
+        for n in range(d % 4 * (len(out) // 100)):
+            at = next(x for x in rnd.sample(range(10, len(out) - 10), len(out) - 20) if out[x] != " ")
+            out[at] = "z"
+        docs.append((d, " ".join(word() for _ in range(10)) + " " + "".join(out) + " " + word()))
+    D = spark.createDataFrame(docs, "doc_id bigint, text string")
+    I = spark.createDataFrame(items, "item_id bigint, text string")  # noqa: E741
+    got = set(rows(k.find_leaks(D, I, edits=5, q=12, min_chars=100), "doc_id", "item_id"))
+    assert got == {(d, d % 40) for d in range(60)} and got == set(rows(k.find_leaks(D, I, edits=5, q=12, min_chars=100, sent_chars=0), "doc_id", "item_id"))
+
+
 def test_edits(spark):
     item = "the quick brown fox jumps over the lazy dog while seven wizards brew a potion of uncommon strength near the old stone bridge at dawn"
     near = item.replace("lazy", "lasy").replace("potion", "potions")
