@@ -1,9 +1,9 @@
 """Credentials in source code and configuration: finding them, and masking them without breaking the code around them.
 
 Quoted strings and long tokens are extracted together with what is written before them (a name, a header, a comment's
-words, a URL's scheme). Each is judged by its Shannon entropy in its own alphabet against a threshold that is adjusted to
-its length, more strictly where nothing around it speaks of a secret, and left out if it is a digest, an identifier, a
-reference to where the value is kept, or a stand-in. Formats that issuers publish are taken as they are.
+words, a URL's scheme). The Shannon entropy of each in its own alphabet is held against a threshold that is adjusted to its
+length; what stands around a value only shifts the threshold. Digests, identifiers, references to where a value is kept, and
+stand-ins are left out. Formats that issuers publish need pass only the laxest threshold, whatever they are called.
 """
 
 from __future__ import annotations
@@ -51,10 +51,16 @@ STAND_INS = frozenset("replaceme changeme changeit changethis fillme fillin from
 #: Tokens beyond this length are data unless they are built like keys: at it any encoded data is as random as a key.
 LONG = 400
 
+#: What the context makes of the threshold: beside a name, header or comment of a secret, under a neutral name, and under a
+#: name that speaks of something else.
+NAMED, NEUTRAL, OTHER = 0.62, 0.92, 0.97
+# Names of passwords, which people may choose of letters alone.
+PASSWORD_WORDS = frozenset("password passwd passwort passphrase pwd pass pw".split())
+
 _ISSUED = re.compile("|".join(ISSUED))
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.\-]{1,20}://([^\s/:@\"'`<>]{0,80}):([^\s/\"'`@]{1,200}|<[^>\s]{1,60}>|\$\{[^}\s]{1,60}\})@")
+_URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.\-]{1,20}://([^\s/:@\"'`<>]*):([^\s/\"'`@]+|<[^>\s]+>|\$\{[^}\s]+\})@")
 _PIECES = r"(?:[ \t]*(?:\+|\.|\\)?[ \t]*\r?\n?[ \t]*(?:\+|\.)?[ \t]*[rbuf]{0,2}%s)"
 _Q = r"(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"
 _ASSIGN = re.compile(
@@ -97,8 +103,8 @@ def entropy(s: str) -> float:
     return -sum(k / n * math.log2(k / n) for k in counts.values()) if n else 0.0
 
 
-def threshold(s: str, strict: bool) -> float:
-    """What the entropy of a random string of this alphabet and length exceeds almost always.
+def threshold(s: str, shift: float) -> float:
+    """What the entropy of a random string of this alphabet and length exceeds almost always, times shift.
 
     A string of n characters can't exceed log2 n bits, and a random one over an alphabet of a characters stays below
     log2 a by about (a - 1) / (2 n ln 2).
@@ -114,7 +120,7 @@ def threshold(s: str, strict: bool) -> float:
     n = len(s)
     expected = min(math.log2(a) - (a - 1) / (2 * n * math.log(2)), math.log2(n) - 0.25) if n > 1 else 9.0
     expected = max(expected, 0.75 * math.log2(n) if n > 1 else 9.0)
-    return expected * (0.92 if strict else 0.70)
+    return expected * shift
 
 
 @lru_cache(maxsize=100_000)
@@ -165,26 +171,52 @@ def identifier(v: str) -> bool:
     return False
 
 
-def usable(v: str, named: bool) -> bool:
-    """Whether v can be a secret's value. named: something near it says that it is one."""
+def wordy(v: str) -> bool:
+    """Whether letters alone read like words: vowels in their usual share, and no long run without one."""
+    vowels = sum(c in "aeiouyAEIOUY" for c in v)
+    return 0.18 * len(v) <= vowels <= 0.7 * len(v) and not re.search(r"(?i)[^aeiouy\W\d_]{6}", v)
+
+
+def chosen(v: str) -> bool:
+    """Whether letters alone can be a password that somebody chose: several words written as one, none of them technical."""
+    parts = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", v)]
+    return len(v) >= 10 and v.isalpha() and len(parts) > 1 and not any(w in SECRET_WORDS or w in ABOUT_WORDS or w in KEY_WORDS or w in STAND_INS for w in parts)
+
+
+def usable(v: str, shift: float, password: bool = False) -> bool:
+    """Whether v can be a secret's value: its entropy is above the threshold that `shift` makes, and it is none of what is left
+    out. password: it stands where a password does, so letters alone may be one."""
     if stand_in(v):
         return False
     if _ISSUED.fullmatch(v):
-        return True
-    if " " in v.strip() or _HOST.match(v) or _UUID.match(v):
+        return entropy(v) >= threshold(v, NAMED)
+    if " " in v.strip() or _HOST.match(v) or _UUID.match(v) or entropy(v) < threshold(v, shift):
         return False
-    if named:
-        if len(v) < 6 or identifier(v) and not (v.isdigit() and len(v) >= 8):
+    if shift <= NAMED:
+        if len(v) < 6:
             return False
-        if len(v) >= 14 and entropy(v) >= threshold(v, False):
-            return True
-        return any(c.isdigit() for c in v) or bool(re.search(r"[!@#$%^&*?~+=]", v))
-    if len(v) < 20 or _HEX.match(v) or identifier(v):
+        if identifier(v):
+            return v.isdigit() and len(v) >= 8 or v.isalpha() and (not wordy(v) or password and chosen(v))
+        return not v.isalpha() or not wordy(v) or password and chosen(v)
+    if len(v) < 20 or _HEX.match(v) or identifier(v) or shift >= OTHER and len(v.rstrip("=")) in (22, 27, 43, 64, 86):
         return False
     kinds = sum(bool(re.search(p, v)) for p in ("[a-z]", "[A-Z]", r"\d"))
-    if kinds < 3 or re.search(r"[A-Za-z]{4,}[a-z]{3,}", re.sub(r"[a-z]{2}[A-Z]", "", v)) and entropy(v) < 4.2:
-        return False
-    return entropy(v) >= threshold(v, True)
+    return kinds == 3 and not (re.search(r"[A-Za-z]{4,}[a-z]{3,}", re.sub(r"[a-z]{2}[A-Z]", "", v)) and entropy(v) < 4.2)
+
+
+def attribute(v: str) -> bool:
+    """Whether v is an attribute of something, made of words: config.token."""
+    return re.fullmatch(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+", v) is not None and all(name_like(x) for x in v.split("."))
+
+
+def name_like(x: str) -> bool:
+    """Whether a name is made of words of some length, as programs' names are, and isn't random."""
+    letters = re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", x)
+    return len(letters) > 0 and sum(map(len, letters)) >= 2.6 * len(letters) and sum(c.isdigit() for c in x) <= 0.3 * len(x)
+
+
+def _is_password(name: str) -> bool:
+    return any(w.lower() in PASSWORD_WORDS for w in _WORDS.findall(name))
 
 
 def _unquote(q: str) -> tuple[str, list[tuple[int, int]]]:
@@ -202,7 +234,7 @@ def _basic(v: str) -> bool | None:
         user, sep, pw = base64.b64decode(v + "=" * (-len(v) % 4), validate=True).decode("utf-8").partition(":")
     except (binascii.Error, UnicodeDecodeError, ValueError):
         return None
-    return bool(sep) and usable(pw, True) if sep else None
+    return bool(sep) and usable(pw, NAMED, True) if sep else None
 
 
 def key_body(v: str) -> bool:
@@ -246,21 +278,21 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
             end = _PEM_END.search(text, m.end())
             stop = end.start() if end else len(text)
             body = re.sub(r"\\n|\\r|[^A-Za-z0-9+/=]", "", text[m.end() : stop])
-            if len(body) >= 32 and len(set(body)) > 12:
+            if len(body) >= 32 and entropy(body) >= threshold(body, NAMED):
                 found.append((m.start(), end.end() if end else len(text), "private_key"))
                 taken.append((m.start(), end.end() if end else len(text)))
     if "://" in text:
         for m in _URL.finditer(text):
             a, b = m.span(2)
             pw = m.group(2)
-            if free(a, b) and not stand_in(pw) and len(pw) >= 4:
+            if free(a, b) and not stand_in(pw) and entropy(pw) >= threshold(pw, NAMED):
                 take([(a, b)], "url_password")
             taken.append(m.span())
     keyed = _KEYED.search(text) is not None
     if keyed or "asic" in text:
         for m in _SCHEME.finditer(text):
             v = m.group("value")
-            ok = _basic(v) if m.group("kind").lower() == "basic" else (usable(v, True) and len(v) >= 12)
+            ok = _basic(v) if m.group("kind").lower() == "basic" else (usable(v, NAMED) and len(v) >= 12)
             if ok and free(*m.span("value")):
                 take([m.span("value")], "authorization")
             elif ok is False:
@@ -270,27 +302,33 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
             kind = name_kind(m.group("name"))
             if m.group("op") == ",":
                 continue
-            v, spans = _unquote(m.group("quoted"))
+            _, spans = _unquote(m.group("quoted"))
             at = m.start("quoted")
             spans = [(at + x, at + y) for x, y in spans]
             if not free(spans[0][0], spans[-1][1]):
                 continue
-            if kind > 0 and usable(v, True) or kind == 0 and len(spans) > 1 and _ISSUED.fullmatch(v) and not stand_in(v):
-                take(spans, "assignment")
-            elif kind < 0 or kind > 0:
-                taken.extend(spans)
+            # Adjacent literals may be pieces of one value, or the first may be all of it.
+            for n in range(len(spans), 0, -1):
+                v = "".join(text[x:y] for x, y in spans[:n])
+                issued = _ISSUED.fullmatch(v) is not None
+                if usable(v, NAMED if kind > 0 or issued else OTHER if kind < 0 else 9.0, _is_password(m.group("name"))) and (kind or n > 1 or issued):
+                    take(spans[:n], "assignment")
+                    break
+            else:
+                if kind:
+                    taken.extend(spans)
     if keyed:
         for m in _BARE.finditer(text):
-            if name_kind(m.group("name")) > 0 and free(*m.span("value")) and usable(m.group("value"), True) and not re.search(r"[()\[\]{}]|^(?:True|False|None|null|true|false)$|^[A-Za-z_]\w*\.[A-Za-z_]\w*$", m.group("value")):
+            if name_kind(m.group("name")) > 0 and free(*m.span("value")) and usable(m.group("value"), NAMED, _is_password(m.group("name"))) and not re.search(r"[()\[\]{}]|^(?:True|False|None|null|true|false)$", m.group("value")) and not attribute(m.group("value")):
                 take([m.span("value")], "assignment")
     if keyed or "-u " in text or "-u=" in text or "--user" in text:
         for m in _FLAG.finditer(text):
-            if (m.group("name") is None or name_kind(m.group("name")) > 0) and free(*m.span("value")) and usable(m.group("value"), True):
+            if (m.group("name") is None or name_kind(m.group("name")) > 0) and free(*m.span("value")) and usable(m.group("value"), NAMED):
                 take([m.span("value")], "flag")
     if _CALLED.search(text):
         for m in _CALL.finditer(text):
             a, b = m.start(2) + 1, m.end(2) - 1
-            if free(a, b) and usable(text[a:b], True):
+            if free(a, b) and usable(text[a:b], NAMED, True):
                 take([(a, b)], "call")
     if keyed:
         for c in _COMMENT.finditer(text):
@@ -299,7 +337,7 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
             for m in _IN_COMMENT.finditer(text, c.start("body"), c.end("body")):
                 a, b = m.span("value")
                 v = m.group("value")
-                if free(a, b) and usable(v, True) and (any(ch.isdigit() for ch in v)) and not re.fullmatch(r"\w+\(.*|\d+|.*[,;]", v):
+                if free(a, b) and usable(v, NAMED) and any(ch.isdigit() for ch in v) and not re.fullmatch(r"\w+\(.*|\d+|.*[,;]", v):
                     take([(a, b)], "comment")
     for m in _ISSUED.finditer(text):
         a, b = m.span()
@@ -325,7 +363,7 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
             continue
         if "/" in v and not re.search(r"[+=]", v) or "," in before[-3:] and not quoted:
             continue
-        if free(at, at + len(v)) and usable(v, False):
+        if free(at, at + len(v)) and usable(v, NEUTRAL):
             take([(at, at + len(v))], "entropy")
     found.sort()
     return found
