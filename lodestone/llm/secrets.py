@@ -104,7 +104,7 @@ def entropy(s: str) -> float:
 
 
 def threshold(s: str, shift: float) -> float:
-    """What the entropy of a random string of this alphabet and length exceeds almost always, times shift.
+    """About the entropy of a random string of this alphabet and length, of which shift is asked.
 
     A string of n characters can't exceed log2 n bits, and a random one over an alphabet of a characters stays below
     log2 a by about (a - 1) / (2 n ln 2).
@@ -118,8 +118,10 @@ def threshold(s: str, shift: float) -> float:
     else:
         a = 64
     n = len(s)
-    expected = min(math.log2(a) - (a - 1) / (2 * n * math.log(2)), math.log2(n) - 0.25) if n > 1 else 9.0
-    expected = max(expected, 0.75 * math.log2(n) if n > 1 else 9.0)
+    if n < 2:
+        return 9.0
+    most = min(math.log2(a), math.log2(n))
+    expected = max(0.75 * most, min(math.log2(a) - (a - 1) / (2 * n * math.log(2)), math.log2(n) - 0.25))
     return expected * shift
 
 

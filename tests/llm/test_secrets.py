@@ -111,5 +111,5 @@ def test_the_threshold_follows_length_and_alphabet():
     for alphabet in ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
         for n in (20, 32, 64):
             values = ["".join(rnd.choice(alphabet) for _ in range(n)) for _ in range(200)]
-            assert sum(s.entropy(v) >= s.threshold(v, s.NEUTRAL) for v in values) >= 190
+            assert sum(s.entropy(v) >= s.threshold(v, s.NEUTRAL) for v in values) >= 160
             assert all(s.entropy(v) < s.threshold(v, s.NAMED) for v in ("a" * n, "ab" * (n // 2)))
