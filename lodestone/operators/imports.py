@@ -26,8 +26,9 @@ def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
     tries = [F.col("target"), *[F.concat("target", F.lit(e)) for e in ENDINGS], *[F.concat("target", F.lit("/" + i)) for i in INDEX_FILES]]
     tries += [F.when(F.col("target").endswith(".js"), F.concat(stem, F.lit(e))) for e in (".ts", ".tsx")]
     tries += [F.concat("target", F.lit(e)) for e in PYTHON]
-    keyed = imports.where(is_relative_import(F.col("source_path"))).withColumn("__id", F.monotonically_increasing_id()).withColumn("target", target)
-    cand = keyed.select("__id", F.posexplode(F.array(*tries)).alias("rank", "path")).where("path is not null")
+    keyed = imports.where(is_relative_import(F.col("source_path"))).withColumn("target", target)
+    # Imports are told apart by what they name, so a task that runs again gives the same, and each name is looked up once.
+    cand = keyed.select("target").distinct().select("target", F.posexplode(F.array(*tries)).alias("rank", "path")).where("path is not null")
     known = files.select("path").distinct()
-    first = cand.join(known, "path").groupBy("__id").agg(F.min_by("path", "rank").alias("to_file"))
-    return keyed.join(first, "__id").select(*imports.columns, "to_file")
+    first = cand.join(known, "path").groupBy("target").agg(F.min_by("path", "rank").alias("to_file"))
+    return keyed.join(first, "target").select(*imports.columns, "to_file")

@@ -90,7 +90,7 @@ def _canon(c: str) -> str:
 _LATEST = "latest AS (SELECT path, hash, last_indexed, chunk_count, language, mtime FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY last_indexed DESC, hash DESC) AS rn FROM (SELECT DISTINCT * FROM files)) WHERE rn = 1)"
 _EVENTS = f"ev AS (SELECT path, change_type, changed_at FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY changed_at DESC, change_id DESC) AS rn FROM (SELECT DISTINCT change_id, {_canon('path')} AS path, change_type, changed_at FROM file_changes)) WHERE rn = 1)"
 _CALLS = "calls AS (SELECT DISTINCT id, caller_file, caller_symbol, caller_line, callee_name, callee_file FROM call_edges)"
-_SYMBOLS = "symbols AS (SELECT DISTINCT id, chunkname AS name, chunktype AS kind, filepath AS file_path, startline AS start_line, endline AS end_line, coalesce(signature, '') AS signature, CASE WHEN signature LIKE 'export %' OR signature LIKE 'public %' THEN 'exported' ELSE 'internal' END AS visibility FROM code_chunks WHERE chunktype <> 'module')"
+_SYMBOLS = "symbols AS (SELECT DISTINCT id, chunkname AS name, chunktype AS kind, filepath AS file_path, startline AS start_line, endline AS end_line, coalesce(signature, '') AS signature, CASE WHEN signature LIKE 'export %' OR signature LIKE 'public %' THEN 'exported' ELSE 'internal' END AS visibility, language FROM code_chunks WHERE chunktype <> 'module')"
 _EDGES = f"edges AS (SELECT DISTINCT src, dst FROM (SELECT {_canon('from_file')} AS src, {_canon('to_file')} AS dst FROM dependency_edges WHERE kind <> 'package') WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst)"
 _NAMES = "names AS (SELECT file_path AS file, list(name ORDER BY start_line, name) AS definitions FROM (SELECT DISTINCT file_path, start_line, name FROM symbols) GROUP BY 1)"
 
@@ -139,6 +139,36 @@ _LANGS = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in lang.LANGUAGES.ite
 _BIN = "(" + ", ".join(f"'{x}'" for x in lang.BINARY) + ")"
 _USABLE = "usable AS (SELECT DISTINCT * FROM chunks WHERE len(vector) = 384 AND list_bool_and(list_transform(vector, lambda x: isfinite(x))))"
 
+_RESULT = '"filePath", content, score, "startLine", "endLine", "chunkName", "chunkType", language, source'
+_PAGES = "pages AS (SELECT lpad(doc_id::VARCHAR, 8, '0') AS \"filePath\", text AS content FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE text IS NOT NULL)"
+
+
+def _keyword(files: str, pattern: str, limit: int) -> str:
+    """Results of a keyword search over a table of files, as a chain of expressions that ends with kw."""
+    return (
+        f"kl AS (SELECT \"filePath\", row_number() OVER () AS own, string_split(content, chr(10)) AS ls FROM {files}), "
+        "kx AS (SELECT \"filePath\", own, i AS line, regexp_replace(ls[i], '\\s+$', '') AS text FROM kl, unnest(range(1, len(ls) + 1)) AS r(i)), "
+        f"kk AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY line) AS rn FROM kx WHERE regexp_matches(text, '{pattern}')), "
+        f"kg AS (SELECT \"filePath\", string_agg(line::VARCHAR || ': ' || text, chr(10) ORDER BY line, text) AS content, min(line)::INT AS \"startLine\", max(line)::INT AS \"endLine\" FROM kk WHERE rn <= 5 GROUP BY 1 ORDER BY 1 LIMIT {limit}), "
+        "kw AS (SELECT \"filePath\", content, greatest(0.1, 1.0 - 0.05 * (row_number() OVER (ORDER BY \"filePath\") - 1))::DOUBLE AS score, \"startLine\", \"endLine\", regexp_extract(\"filePath\", '[^/]*$') AS \"chunkName\", 'module' AS \"chunkType\", NULL::VARCHAR AS language, 'keyword' AS source FROM kg)"
+    )
+
+
+def _symbol(prefix: str, limit: int) -> str:
+    """Results of a symbol search, named sy, over the table symbols."""
+    return (
+        f"sy AS (SELECT file_path AS \"filePath\", CASE WHEN visibility = 'exported' THEN 'export ' ELSE '' END || kind || ' ' || name || CASE WHEN signature <> name AND signature <> '' THEN chr(10) || signature ELSE '' END AS content, "
+        f"CASE WHEN name = '{prefix}' THEN 1.0 ELSE 0.8 END::DOUBLE AS score, start_line AS \"startLine\", end_line AS \"endLine\", name AS \"chunkName\", kind AS \"chunkType\", language, 'structural' AS source FROM (SELECT * FROM symbols WHERE name ILIKE '{prefix}%' "
+        f"ORDER BY CASE WHEN name = '{prefix}' THEN 0 ELSE 1 END, CASE WHEN visibility = 'exported' THEN 0 ELSE 1 END, name, id LIMIT {limit}))"
+    )
+
+
+def _union(*parts: str) -> str:
+    """The parts' rows with their strategy's number and their place in it, named u, with weighted scores."""
+    each = " UNION ALL ".join(f'SELECT {_RESULT}, {i} AS seq, row_number() OVER (ORDER BY round(score, 12) DESC, "filePath", "startLine", "chunkName")::INT AS pos FROM {p}' for i, p in enumerate(parts))
+    return f"u AS (SELECT * REPLACE (score * CASE source WHEN 'semantic' THEN 0.5 WHEN 'keyword' THEN 0.3 ELSE 0.2 END AS score) FROM ({each}))"
+
+
 ORACLES: dict[str, str] = {
     "p2_found": f"""
         WITH seen AS (
@@ -205,7 +235,9 @@ ORACLES: dict[str, str] = {
         WITH {_LATEST}, first AS (SELECT path, hash, last_indexed FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY last_indexed, hash) AS rn FROM (SELECT DISTINCT * FROM files)) WHERE rn = 1),
         s AS (SELECT CASE WHEN f.hash IS NULL THEN 'new' WHEN l.mtime <= f.last_indexed THEN 'skipped_mtime' WHEN l.hash = f.hash THEN 'unchanged' ELSE 'changed' END AS status FROM latest l LEFT JOIN first f USING (path))
         SELECT count(*) FILTER (status IN ('new', 'changed')) AS indexed, count(*) FILTER (status = 'skipped_mtime') AS skipped_mtime, count(*) FILTER (status = 'unchanged') AS skipped_hash FROM s""",
-    "stale_files": f"WITH {_LATEST} SELECT {_canon('path')} AS path FROM latest WHERE {_canon('path')} NOT IN (SELECT {_canon('path')} FROM scanned_files WHERE path IS NOT NULL)",
+    "stale_files": f"""
+        WITH {_LATEST}, {_EVENTS}, there AS (SELECT {_canon('path')} AS path FROM scanned_files WHERE path IS NOT NULL EXCEPT SELECT path FROM ev WHERE change_type = 'deleted')
+        SELECT {_canon('path')} AS path FROM latest WHERE {_canon('path')} NOT IN (SELECT path FROM there)""",
     "changed_or_new": f"""
         WITH {_LATEST}, {_EVENTS} SELECT path FROM (SELECT DISTINCT path FROM scanned_files) s
         WHERE path IN (SELECT path FROM ev WHERE change_type <> 'deleted') OR path NOT IN (SELECT path FROM latest WHERE hash IS NOT NULL)""",
@@ -242,8 +274,9 @@ ORACLES: dict[str, str] = {
     "symbols_by_kind": f"WITH {_SYMBOLS} SELECT kind, visibility, count(*) AS n, count(DISTINCT name) AS names FROM symbols GROUP BY 1, 2",
     "import_edges": "SELECT from_file, to_file, from_line AS line, array_to_string(symbols, ',') AS symbols FROM (SELECT DISTINCT from_file, to_file, kind, symbols, from_line FROM dependency_edges) WHERE kind = 'import'",
     "import_resolve": f"""
-        WITH found AS (SELECT DISTINCT filepath AS from_file, unnest(regexp_extract_all(content, 'from ''(\\.[^''\\n]+)''', 1)) AS source_path FROM code_chunks WHERE content IS NOT NULL),
-        rel AS (SELECT *, {_canon("regexp_replace(from_file, '/[^/]*$', '') || '/' || source_path")} AS target FROM found WHERE source_path LIKE './%' OR source_path LIKE '../%'),
+        WITH e AS (SELECT {_canon('from_file')} AS from_file, {_canon('to_file')} AS target FROM dependency_edges WHERE kind <> 'package'),
+        found AS (SELECT DISTINCT from_file, repeat('../', len(string_split(from_file, '/')) - 2) || regexp_replace(substr(target, 2), '\\.[^./]+$', '') AS source_path FROM e WHERE from_file LIKE '/%' AND target LIKE '/%'),
+        rel AS (SELECT *, '/' || regexp_replace(source_path, '^(\\.\\./)*', '') AS target FROM found),
         tries AS (SELECT from_file, source_path, i, CASE
             WHEN i = 0 THEN target WHEN i BETWEEN 1 AND 6 THEN target || ['.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs'][i] WHEN i BETWEEN 7 AND 10 THEN target || ['/index.ts', '/index.tsx', '/index.js', '/index.jsx'][i - 6]
             WHEN i IN (11, 12) AND target LIKE '%.js' THEN regexp_replace(target, '\\.js$', '') || ['.ts', '.tsx'][i - 10] WHEN i >= 13 THEN target || ['.py', '/__init__.py'][i - 12] END AS cand
@@ -293,6 +326,46 @@ ORACLES: dict[str, str] = {
         a AS (SELECT id, filepath, startline, endline, list_sum(list_transform(list_zip(list_transform(vector, lambda x: x::DOUBLE), qv), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance FROM usable, q),
         near AS (SELECT * FROM a ORDER BY round(distance, 9), id LIMIT 20), kept AS (SELECT * FROM near WHERE regexp_matches(regexp_extract(filepath, '[^/]*$'), '^[^/]*\\.py$'))
         SELECT filepath AS filePath, startline AS startLine, endline AS endLine, round(1.0 - distance / greatest((SELECT max(distance) FROM kept), 1.0), 5) AS score FROM kept ORDER BY round(distance, 9), id LIMIT 10""",
+    "hybrid_search": f"""
+        WITH RECURSIVE {_EDGES}, {_SYMBOLS}, {_NAMES}, {_pagerank()}, {_USABLE},
+        q AS (SELECT list_transform(vector, lambda x: x::DOUBLE) AS qv FROM usable WHERE list_bool_or(list_transform(vector, lambda x: x <> 0)) ORDER BY id LIMIT 1),
+        near AS (SELECT usable.*, list_sum(list_transform(list_zip(list_transform(vector, lambda x: x::DOUBLE), qv), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance FROM usable, q
+            ORDER BY round(list_sum(list_transform(list_zip(list_transform(vector, lambda x: x::DOUBLE), qv), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9), id LIMIT 10),
+        se AS (SELECT filepath AS "filePath", content, 1.0 - distance / greatest((SELECT max(distance) FROM near), 1.0) AS score, startline AS "startLine", endline AS "endLine", chunkname AS "chunkName", chunktype AS "chunkType", language, 'semantic' AS source FROM near),
+        texts AS (SELECT filepath AS "filePath", content FROM (SELECT DISTINCT * FROM chunks) WHERE content IS NOT NULL), {_keyword('texts', 'return', 10)}, {_symbol('load', 10)},
+        pool AS (SELECT node AS path, score FROM s20 ORDER BY round(score, 12) DESC, node LIMIT 30),
+        ranked AS (SELECT p.path, n.definitions, p.score + """
+    + " + ".join(f"CASE WHEN contains(lower(p.path), '{w}') THEN 0.3 ELSE 0 END + CASE WHEN contains(lower(coalesce(array_to_string(n.definitions, ' '), '')), '{w}') THEN 0.2 ELSE 0 END" for w in ("load", "search"))
+    + f""" AS rank FROM pool p LEFT JOIN names n ON n.file = p.path),
+        st AS (SELECT path AS "filePath", '// ' || path || coalesce(array_to_string(list_transform(definitions, lambda x: chr(10) || '- ' || x), ''), '') AS content, rank / greatest((SELECT max(rank) FROM ranked), 1.0) AS score,
+            1 AS "startLine", 1 AS "endLine", regexp_extract(path, '[^/]*$') AS "chunkName", 'module' AS "chunkType", NULL::VARCHAR AS language, 'structural' AS source FROM ranked ORDER BY round(rank, 12) DESC, path LIMIT 10),
+        {_union('se', 'kw', 'st', 'sy')},
+        c AS (SELECT *, row_number() OVER (PARTITION BY "filePath" ORDER BY round(score, 12) DESC, seq, pos) AS k FROM u),
+        fold AS (SELECT "filePath", k, [struct_pack(a := "startLine", b := "endLine")] AS kept, TRUE AS taken FROM c WHERE k = 1
+            UNION ALL SELECT f."filePath", f.k, CASE WHEN hit THEN kept ELSE list_append(kept, struct_pack(a := lo, b := hi)) END, NOT hit FROM (
+                SELECT c."filePath", c.k, f.kept, c."startLine" AS lo, c."endLine" AS hi,
+                    len(list_filter(f.kept, lambda x: least(x.b, c."endLine") - greatest(x.a, c."startLine") + 1 > 0 AND (least(x.b, c."endLine") - greatest(x.a, c."startLine") + 1) / (least(x.b - x.a, c."endLine" - c."startLine") + 1) > 0.5)) > 0 AS hit
+                FROM fold f JOIN c ON c."filePath" = f."filePath" AND c.k = f.k + 1) f)
+        SELECT {_RESULT.replace('score', 'round(score, 6) AS score')} FROM (SELECT c.* FROM c JOIN fold f ON f."filePath" = c."filePath" AND f.k = c.k WHERE f.taken ORDER BY round(c.score, 12) DESC, c.seq, c.pos LIMIT 10)""",
+    "source_weights_union": f"WITH {_SYMBOLS}, {_symbol('load', 10)}, {_PAGES}, {_keyword('pages', 'TODO', 10)}, {_union('kw', 'sy')} SELECT \"filePath\", \"startLine\", round(score, 6) AS score, seq FROM u",
+    "track_merge": f"""
+        WITH {_PAGES}, {_keyword('pages', 'returned', 20)}, both_ AS (SELECT "filePath", content, score FROM kw UNION ALL (SELECT "filePath", content, 0.8 FROM pages WHERE contains(content, 'TODO') ORDER BY 1 LIMIT 20)),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "filePath" ORDER BY length(content) DESC, score DESC, content DESC) AS rn FROM both_) WHERE rn = 1),
+        packed AS (SELECT *, sum((length(content) + 3) // 4) OVER (ORDER BY round(score, 12) DESC, "filePath" ROWS UNBOUNDED PRECEDING) AS used FROM best)
+        SELECT "filePath", round(score, 6) AS score, length(content)::INT AS chars FROM packed WHERE used <= 4000""",
+    "expand_context": f"""
+        WITH RECURSIVE {_CALLS}, {_SYMBOLS}, {_symbol('load', 10)}, results AS (SELECT *, row_number() OVER (ORDER BY score DESC, "filePath", "startLine") AS pos FROM sy), best AS (SELECT pos, "filePath", "chunkName" FROM results WHERE pos <= 3),
+        d1 AS (SELECT * FROM (SELECT b.pos, c.callee_file, c.callee_name, row_number() OVER (PARTITION BY b.pos ORDER BY c.caller_line, c.callee_name) AS k FROM best b JOIN calls c ON c.caller_file = b."filePath" AND c.caller_symbol = b."chunkName") WHERE k <= 10),
+        d2 AS (SELECT * FROM (SELECT d.pos, 0 AS phase, d.k, s.file_path AS "filePath", s.signature AS content, s.start_line AS "startLine", s.end_line AS "endLine", s.name AS "chunkName", s.kind AS "chunkType", s.language,
+            row_number() OVER (PARTITION BY d.pos, d.k ORDER BY s.start_line, s.name) AS r FROM d1 d JOIN symbols s ON s.file_path = d.callee_file AND s.name = d.callee_name) WHERE r = 1),
+        up AS (SELECT * FROM (SELECT b.pos, 1 AS phase, row_number() OVER (PARTITION BY b.pos ORDER BY c.caller_file, c.caller_line, c.caller_symbol) AS k, c.caller_file AS "filePath", c.caller_symbol || ' calls ' || c.callee_name || ' (line ' || c.caller_line || ')' AS content,
+            c.caller_line AS "startLine", c.caller_line AS "endLine", c.caller_symbol AS "chunkName", NULL::VARCHAR AS "chunkType", NULL::VARCHAR AS language FROM best b JOIN calls c ON c.callee_name = b."chunkName") WHERE k <= 5),
+        cand AS (SELECT *, (length(content) + 3) // 4 AS tokens, "filePath" || ':' || "startLine" AS place, pos || '/' || phase AS list, row_number() OVER (ORDER BY pos, phase, k) AS n FROM (SELECT * EXCLUDE (r) FROM d2 UNION ALL SELECT * FROM up)),
+        fold AS (SELECT 0::BIGINT AS n, (SELECT coalesce(sum((length(content) + 3) // 4), 0)::BIGINT FROM results) AS used, (SELECT list(DISTINCT "filePath" || ':' || "startLine") FROM results) AS seen, []::VARCHAR[] AS closed, FALSE AS taken
+            UNION ALL SELECT n, CASE WHEN fits THEN used + tokens ELSE used END, CASE WHEN fits THEN list_append(seen, place) ELSE seen END, CASE WHEN skip OR fits THEN closed ELSE list_append(closed, list) END, fits FROM (
+                SELECT *, NOT skip AND used + tokens <= 4000 AS fits FROM (SELECT c.n, c.tokens, c.place, c.list, f.used, f.seen, f.closed, f.used >= 4000 OR list_contains(f.closed, c.list) OR list_contains(f.seen, c.place) AS skip FROM fold f JOIN cand c ON c.n = f.n + 1)))
+        SELECT {_RESULT}, pos FROM results UNION ALL
+        SELECT "filePath", content, 0.5, "startLine", "endLine", "chunkName", "chunkType", language, 'structural', (1000000 + row_number() OVER (ORDER BY n)) FROM cand WHERE n IN (SELECT n FROM fold WHERE taken)""",
     "quality_gate": """
         WITH s AS (SELECT DISTINCT d.doc_id, d.repo, least(coalesce(length(d.text), 0) / 5000.0::DOUBLE, 1.0) AS score FROM documents d), m AS (SELECT repo, max(score) AS best FROM s GROUP BY 1)
         SELECT doc_id, round(score, 6) AS score, best >= 0.5 AS passed FROM s JOIN m USING (repo) WHERE score >= 0.5 OR (score >= 0.3 AND best >= 0.5)""",

@@ -159,8 +159,11 @@ def change_summary(spark, d):
 
 
 def stale_files(spark, d):
+    """Indexed files that are no longer there: not scanned, or deleted since."""
     f = files(spark, d).select(canonical_path(F.col("path")).alias("path"))
-    return changes.stale(f, scanned(spark, d).select(canonical_path(F.col("path")).alias("path")))
+    gone = changes.last_event(_changes(spark, d)).where("change_type = 'deleted'").select("path")
+    there = scanned(spark, d).select(canonical_path(F.col("path")).alias("path")).join(gone, "path", "left_anti")
+    return changes.stale(f, there)
 
 
 def _changes(spark, d):
@@ -251,8 +254,11 @@ def edges_of_files(spark, d):
 
 
 def resolved_imports(spark, d):
-    c = code_chunks(spark, d, "filepath", "content").where("content is not null")
-    found = c.select(F.col("filepath").alias("from_file"), F.explode(F.regexp_extract_all("content", F.lit(r"from '(\.[^'\n]+)'"), 1)).alias("source_path")).distinct()
+    """Imports as a source would write them, from the root of all files and without an extension, led back to files."""
+    e = table(spark, d, "dependency_edges", "from_file", "to_file", "kind").where("kind <> 'package'")
+    e = e.select(canonical_path(F.col("from_file")).alias("from_file"), canonical_path(F.col("to_file")).alias("to")).where("from_file like '/%' and to like '/%'")
+    up = F.repeat(F.lit("../"), F.size(F.split("from_file", "/")) - 2)
+    found = e.select("from_file", F.concat(up, F.regexp_replace(F.substring("to", 2, 100_000), r"\.[^./]+$", "")).alias("source_path")).distinct()
     return imports.resolve(found, scanned(spark, d).select("path")).select("from_file", "source_path", "to_file")
 
 
