@@ -13,8 +13,8 @@ from lodestone.functions.text import content_hash
 from lodestone.operators import calls as calls_ops
 from lodestone.operators import changes, embed, extract, graph, imports, retrieval
 from lodestone.operators.store import Store, index_stats, staleness
-from lodestone.session import ship
-from lodestone.sources.scan import read_tree
+from lodestone.session import materialize, release, ship
+from lodestone.sources.scan import list_tree, plain_path, project_patterns, read_files, read_tree, wanted
 
 STRATEGIES = ("hybrid", "semantic", "keyword", "structural", "symbol")
 
@@ -41,47 +41,75 @@ class Engine:
 
     # Building ---------------------------------------------------------------------------------------------------------
 
+    def patterns(self) -> list[str]:
+        return [*project_patterns(self.spark, self.root), *self.exclude]
+
+    def changes_by_git(self, since_ms: int | None = None) -> DataFrame | None:
+        """(path, change_type) that version control tells of, with full paths; None for a tree that isn't under it."""
+        from lodestone.sources import git
+
+        root = plain_path(self.root).rstrip("/")
+        if not git.is_repository(root):
+            return None
+        git.register(self.spark)
+        reader = self.spark.read.format("lodestone_git").options(path=root, what="changes")
+        df = (reader.option("since_ms", str(since_ms)) if since_ms is not None else reader).load()
+        return df.select(F.concat(F.lit(root + "/"), "path").alias("path"), "change_type")
+
     def index_all(self, force: bool = False, changed: DataFrame | None = None) -> dict:
-        """Bring the index up to date with the tree: only new and changed files are read closely; vanished ones are removed."""
-        scan = read_tree(self.spark, self.root, list(self.exclude))
-        stored = self.store.table("files")
-        status = changes.classify(scan, stored.select("path", "hash", "last_indexed"), changed, force).persist()
+        """Bring the index up to date with the tree; vanished files are removed.
+
+        The tree is listed first. Only files that are new, that version control reports since the last run (changed, by
+        default asked of git), or that were modified since they were indexed are opened; their content then tells which changed.
+        """
+        listing = list_tree(self.spark, self.root, list(self.exclude))
+        stored = self.store.table("files").select("path", "hash", "last_indexed")
+        if changed is None:
+            newest = stored.agg(F.max("last_indexed")).first()[0]
+            changed = self.changes_by_git(newest) if newest is not None else None
+        status = materialize(changes.to_read(listing, stored, changed, force), "index-status")
+        todo = changes.by_content(read_files(status.where("status <> 'skipped_mtime'")).where("content is not null"))
+        todo = materialize(todo.select("path", "content", "language", "mtime_ms", F.col("new_hash").alias("hash"), "status"), "index-read")
         try:
-            gone = changes.stale(stored, scan).select("path")
+            gone = changes.stale(stored, listing).select("path")
             removed = gone.count()
             if removed:
                 self.store.remove(gone)
-            work = status.where(F.col("status").isin("new", "changed"))
-            summary = changes.run_summary(status).first().asDict() | {"removed": removed}
+            summary = changes.run_summary(todo.select("status").unionByName(status.where("status = 'skipped_mtime'").select("status"))).first().asDict()
             if summary["indexed"]:
-                self._write(work)
-            return summary
+                self._write(todo.where("status in ('new', 'changed')").drop("status"))
+            return summary | {"removed": removed, "unreadable": status.count() - sum(summary.values())}
         finally:
-            status.unpersist()
+            release(status)
+            release(todo)
 
     def index_files(self, paths: DataFrame) -> None:
-        """Read the given files anew, whatever their state."""
-        scan = read_tree(self.spark, self.root, list(self.exclude)).join(paths.select("path").distinct(), "path", "left_semi")
-        self._write(scan.withColumn("new_hash", content_hash(F.col("content"))))
+        """Read the given files anew, whatever their state. No others are opened."""
+        listing = list_tree(self.spark, self.root, list(self.exclude)).join(paths.select("path").distinct(), "path", "left_semi")
+        work = materialize(read_files(listing).where("content is not null").select("path", "content", "language", "mtime_ms", content_hash(F.col("content")).alias("hash")), "index-read")
+        try:
+            self._write(work)
+        finally:
+            release(work)
 
     def remove_files(self, paths: DataFrame) -> None:
         self.store.remove(paths)
 
     def _write(self, work: DataFrame) -> None:
-        from lodestone.session import materialize
-
-        work = materialize(work.select("path", "content", "language", "mtime_ms", F.col("new_hash").alias("hash")), "index-work")
+        """Extract and store files (path, content, language, mtime_ms, hash)."""
         got = materialize(extract.extract(work), "index-extracted")
-        found = extract.imports_of_files(got)
-        known = self.store.table("files").select("path").unionByName(work.select("path")).distinct()
-        edges = imports.resolve(found, known).select("from_file", "to_file", F.lit("import").alias("kind"), "symbols", F.col("line").alias("from_line"))
-        now = int(time.time() * 1000)
-        chunks = embed.embed_chunks(extract.chunks_of(got), self.model_dir)
-        counts = got.select("path", F.size("chunks").alias("chunk_count"))
-        files = work.join(counts, "path").select("path", "hash", F.lit(now).cast("bigint").alias("last_indexed"), "chunk_count", F.coalesce("language", F.lit("")).alias("language"), F.col("mtime_ms").alias("mtime"))
-        symbols = extract.symbols_of(got)
-        batch = {"files": files, "symbols": symbols, "dependency_edges": edges, "call_edges": extract.calls_of(got), "chunks": chunks, "tags": extract.tags_of(got)}
-        self.store.upsert(batch, work.select("path"))
+        try:
+            found = extract.imports_of_files(got)
+            known = self.store.table("files").select("path").unionByName(work.select("path")).distinct()
+            edges = imports.resolve(found, known).select("from_file", "to_file", F.lit("import").alias("kind"), "symbols", F.col("line").alias("from_line"))
+            now = int(time.time() * 1000)
+            chunks = embed.embed_chunks(extract.chunks_of(got), self.model_dir)
+            counts = got.select("path", F.size("chunks").alias("chunk_count"))
+            files = work.join(counts, "path").select("path", "hash", F.lit(now).cast("bigint").alias("last_indexed"), "chunk_count", F.coalesce("language", F.lit("")).alias("language"), F.col("mtime_ms").alias("mtime"))
+            batch = {"files": files, "symbols": extract.symbols_of(got), "dependency_edges": edges, "call_edges": extract.calls_of(got), "chunks": chunks, "tags": extract.tags_of(got), "contents": work.select("path", "content")}
+            self.store.upsert(batch, work.select("path"))
+        finally:
+            release(got)
 
     # Graph ------------------------------------------------------------------------------------------------------------
 
@@ -94,12 +122,21 @@ class Engine:
         return s.groupBy(F.col("file_path").alias("file")).agg(names.alias("definitions"))
 
     def scores(self) -> DataFrame:
-        return graph.pagerank(self.edges(), self.store.table("files").select(F.col("path").alias("node")))
+        """(node, score), computed at the first question after edges or files have changed, and kept until they do again."""
+        name = f"scores/{self.store.state_of('dependency_edges', 'tags', 'files')}"
+        if not self.store.exists(f"{name}/_SUCCESS"):
+            ranks = graph.pagerank(self.edges(), self.store.table("files").select(F.col("path").alias("node")))
+            ranks.write.mode("overwrite").parquet(f"{self.store.root}/{name}")
+            for old in self.store._list("scores"):
+                if f"scores/{old}" != name:
+                    self.store._drop(f"scores/{old}")
+        return self.spark.read.schema("node string, score double").parquet(f"{self.store.root}/{name}")
 
     # Tools ------------------------------------------------------------------------------------------------------------
 
-    def search(self, query: str, strategy: str = "hybrid", limit: int = 10, file_pattern: str | None = None, expand: bool = False) -> DataFrame:
-        """Results in order, with `pos`. An unknown strategy counts as hybrid; a blank query finds nothing."""
+    def search(self, query: str, strategy: str = "hybrid", limit: int = 10, file_pattern: str | None = None, expand: bool = False, live: bool = False) -> DataFrame:
+        """Results in order, with `pos`. An unknown strategy counts as hybrid; a blank query finds nothing. Keywords are looked
+        up in the contents as indexed, with live=True in the tree as it is."""
         _within("limit", limit, 1, 50)
         strategy = strategy if strategy in STRATEGIES else "hybrid"
         chunks, symbols = self.store.table("chunks"), self.store.table("symbols")
@@ -109,7 +146,8 @@ class Engine:
         if strategy in ("hybrid", "semantic"):
             parts.append(retrieval.semantic_search(chunks, embed.embed_text(self.spark, query, self.model_dir), limit, file_pattern))
         if strategy in ("hybrid", "keyword"):
-            files = read_tree(self.spark, self.root, list(self.exclude)).select(F.col("path").alias("filePath"), "content")
+            src = read_tree(self.spark, self.root, list(self.exclude)) if live else self.store.table("contents")
+            files = src.select(F.col("path").alias("filePath"), "content")
             parts.append(retrieval.keyword_search(files, query, limit, file_pattern, regex=_valid_regex(query)))
         if strategy in ("hybrid", "structural"):
             parts.append(retrieval.structural_search(self.scores(), self.symbols_by_file(), query, limit))
@@ -177,9 +215,12 @@ class Engine:
         return out | {"vectors": self.store.table("chunks").count(), "graph_nodes": g["nodes"], "graph_edges": g["edges"], "index_dir": self.index_dir}
 
     def watch(self, events: DataFrame, checkpoint: str, trigger: str | None = None):
-        """Keep the index up to date with a stream of events (path, event_type, ts)."""
+        """Keep the index up to date with a stream of events (path, event_type, ts). Events of files that a scan leaves out
+        are dropped."""
         from lodestone.streaming.watch import run
 
+        events = events.where(wanted(F.col("path"), self.root, self.patterns()))
+
         def apply(changed: DataFrame, deleted: DataFrame) -> None:
             if not changed.isEmpty():
                 self.index_files(changed)

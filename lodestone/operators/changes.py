@@ -31,29 +31,35 @@ def stale(stored: DataFrame, scanned: DataFrame, key: str = "path") -> DataFrame
     return stored.join(scanned.select(key).distinct(), key, "left_anti")
 
 
-def classify(scan: DataFrame, stored: DataFrame, changed: DataFrame | None = None, force: bool = False) -> DataFrame:
-    """scan with `status`, by three tiers.
+def to_read(listing: DataFrame, stored: DataFrame, changed: DataFrame | None = None, force: bool = False) -> DataFrame:
+    """listing (path, mtime_ms) with `stored_hash` and `status`, by the tiers that need no content.
 
-    scan: path, mtime_ms, content (or hash). stored: path, hash, last_indexed, one row a path. changed: path of files that
-    version control reports. new: never indexed; skipped_mtime: not in changed and not modified since it was indexed (an
-    unknown mtime never skips); unchanged: the content's hash is the stored one; changed: else. force makes all stored changed.
+    stored: path, hash, last_indexed, one row a path. changed: path of files that version control reports. new: never
+    indexed; skipped_mtime: not in changed and not modified since it was indexed (an unknown mtime never skips); forced: all
+    others with force; check: else, the content has to tell.
     """
-    h = F.col("hash") if "hash" in scan.columns else content_hash(F.col("content"))
-    s = stored.select(F.col("path").alias("__p"), F.col("hash").alias("__h"), F.col("last_indexed").alias("__at"))
-    df = scan.withColumn("__new", h).join(s, F.col("path") == F.col("__p"), "left")
+    s = stored.select(F.col("path").alias("__p"), F.col("hash").alias("stored_hash"), F.col("last_indexed").alias("__at"))
+    df = listing.join(s, F.col("path") == F.col("__p"), "left")
+    touched = F.lit(False)
     if changed is not None:
         df = df.join(changed.select(F.col("path").alias("__c")).distinct(), F.col("path") == F.col("__c"), "left")
         touched = F.col("__c").isNotNull()
-    else:
-        touched = F.lit(False)
-    status = (
-        F.when(F.col("__h").isNull(), "new")
-        .when(F.lit(force), "changed")
-        .when(~touched & (F.col("mtime_ms") <= F.col("__at")), "skipped_mtime")
-        .when(F.col("__new") == F.col("__h"), "unchanged")
-        .otherwise("changed")
-    )
-    return df.select(*[c for c in scan.columns], F.col("__new").alias("new_hash"), status.alias("status"))
+    status = F.when(F.col("stored_hash").isNull(), "new").when(F.lit(force), "forced").when(~touched & (F.col("mtime_ms") <= F.col("__at")), "skipped_mtime").otherwise("check")
+    return df.select(*listing.columns, "stored_hash", status.alias("status"))
+
+
+def by_content(read: DataFrame) -> DataFrame:
+    """read (as of to_read(), with `content` or `hash`) with `new_hash`, and its status settled: new, changed or unchanged."""
+    h = F.col("hash") if "hash" in read.columns else content_hash(F.col("content"))
+    df = read.withColumn("new_hash", h)
+    settled = F.when(F.col("status") == "forced", "changed").when(F.col("status") != "check", F.col("status")).when(F.col("new_hash") == F.col("stored_hash"), "unchanged").otherwise("changed")
+    return df.withColumn("status", settled).drop("stored_hash")
+
+
+def classify(scan: DataFrame, stored: DataFrame, changed: DataFrame | None = None, force: bool = False) -> DataFrame:
+    """scan (path, mtime_ms, content or hash) with `new_hash` and `status`, all tiers at once: new, changed, unchanged or
+    skipped_mtime. Where contents are yet to be read, to_read() tells which are needed."""
+    return by_content(to_read(scan, stored, changed, force)).select(*scan.columns, "new_hash", "status")
 
 
 def changed_or_new(scan: DataFrame, stored: DataFrame, changed: DataFrame) -> DataFrame:

@@ -1,16 +1,20 @@
 """Versioned tables: delete-and-replace by file, several tables in one step.
 
-A pointer file names the version that readers see. What is new is written beside the old, and the pointer is moved last, so
-a failed write leaves the old version in place, and all tables change together.
+A version is a manifest, numbered in sequence. What is new is written beside the old, and the manifest is created last and only
+if its number is free: a failed write leaves the old version in place, all tables change together, and of two writers that
+began at one version the second begins again at the first one's.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
 import uuid
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +26,11 @@ SCHEMAS = {
     "call_edges": "caller_file string, caller_symbol string, caller_line int, callee_name string, callee_file string",
     "chunks": "id string, vector array<float>, filePath string, chunkName string, chunkType string, startLine int, endLine int, content string, language string",
     "tags": "name string, kind string, file string, line int, seq bigint",
+    "contents": "path string, content string",
 }
-KEYS = {"files": "path", "symbols": "file_path", "dependency_edges": "from_file", "call_edges": "caller_file", "chunks": "filePath", "tags": "file"}
+#: Bytes of a table's bucket beyond which the number of buckets is doubled.
+BUCKET_BYTES = 256 << 20
+KEYS = {"contents": "path", "files": "path", "symbols": "file_path", "dependency_edges": "from_file", "call_edges": "caller_file", "chunks": "filePath", "tags": "file"}
 
 
 def replace_by_key(existing: DataFrame, new: DataFrame, key: str, replaced: DataFrame | None = None) -> DataFrame:
@@ -36,15 +43,20 @@ def delete_by_key(existing: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return existing.join(keys.select(key).distinct(), key, "left_anti").select(*existing.columns)
 
 
+class Conflict(RuntimeError):
+    """Other writers were faster time and again."""
+
+
 class Store:
     """The tables of one index, in a folder that Spark can write to.
 
     Rows lie in buckets by the hash of their file, each bucket in a folder of its own, and a version is a list of folders.
-    So a small batch rewrites the few buckets that its files fall into, and the rest is shared with the version before.
+    So a small batch rewrites the few buckets that its files fall into, and the rest is shared with the version before. When
+    buckets outgrow `bucket_bytes`, the next write doubles their number, so a batch rewrites a bounded amount for each file.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, bucket_bytes: int = BUCKET_BYTES):
+        self.spark, self.root, self.buckets, self.bucket_bytes = spark, root.rstrip("/"), buckets, bucket_bytes
 
     # Small files ------------------------------------------------------------------------------------------------------
 
@@ -52,31 +64,79 @@ class Store:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _get(self, name: str) -> str | None:
+    def exists(self, name: str) -> bool:
+        path, fs = self._fs(name)
+        return fs.exists(path)
+
+    def _get(self, name: str) -> str:
         path, fs = self._fs(name)
-        if not fs.exists(path):
-            return None
         stream = fs.open(path)
         try:
             return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
-    def _put(self, name: str, text: str) -> None:
+    def _create(self, name: str, text: str) -> bool:
+        """Write a file that isn't there yet; False if somebody else's is."""
         path, fs = self._fs(name)
-        stream = fs.create(path, True)
+        try:
+            stream = fs.create(path, False)
+        except Py4JJavaError:
+            if fs.exists(path):
+                return False
+            raise
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
+        return True
+
+    def _list(self, name: str) -> list[str]:
+        path, fs = self._fs(name)
+        return sorted(st.getPath().getName() for st in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _drop(self, name: str) -> None:
+        path, fs = self._fs(name)
+        fs.delete(path, True)
+
+    # Versions ---------------------------------------------------------------------------------------------------------
+
+    def versions(self) -> list[str]:
+        return [n.removesuffix(".json") for n in self._list("manifests") if n.endswith(".json")]
 
     def version(self) -> str | None:
-        return self._get("CURRENT")
+        """The number of the last complete version."""
+        for v in reversed(self.versions()):
+            if self._manifest(v) is not None:
+                return v
+        return None
+
+    def _settled(self) -> tuple[int, str | None]:
+        """(the last number that anybody took, the last complete version). A manifest is written within moments of taking its
+        number; one that stays incomplete was left behind by a writer that failed."""
+        for _ in range(50):
+            every = self.versions()
+            if not every or self._manifest(every[-1]) is not None:
+                return (int(every[-1]), every[-1]) if every else (0, None)
+            time.sleep(0.1)
+        return int(every[-1]), self.version()
+
+    def _manifest(self, version: str | None) -> dict | None:
+        """{buckets, tables: table -> bucket -> [folder, bytes]}; None for one whose writer didn't come to its end."""
+        if version is None:
+            return {"buckets": self.buckets, "tables": {name: {} for name in SCHEMAS}}
+        try:
+            m = json.loads(self._get(f"manifests/{version}.json"))
+        except ValueError:
+            return None
+        for name in SCHEMAS:
+            m["tables"].setdefault(name, {})
+        return m
 
-    def _manifest(self, version: str | None) -> dict[str, dict[str, str]]:
-        """Table -> bucket -> folder."""
-        text = self._get(f"manifests/{version}.json") if version else None
-        return json.loads(text) if text else {name: {} for name in SCHEMAS}
+    def state_of(self, *names: str) -> str:
+        """A short name for the state of some tables, the same as long as none of them changes."""
+        m = self._manifest(self.version())["tables"]
+        return hashlib.sha256(json.dumps([sorted(f for f, _ in m[n].values()) for n in names]).encode()).hexdigest()[:24]
 
     # Tables -----------------------------------------------------------------------------------------------------------
 
@@ -87,38 +147,59 @@ class Store:
 
     def table(self, name: str, version: str | None = None) -> DataFrame:
         """The table as of a version, by default the current one; empty before the first write."""
-        return self._read(name, sorted(self._manifest(version or self.version())[name].values()))
-
-    def _bucket(self, key: str):
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
-
-    def _touched(self, keys: DataFrame, key: str) -> set[int]:
-        """The buckets that keys fall into, at most self.buckets numbers."""
-        return {r["b"] for r in keys.select(self._bucket(key).alias("b")).distinct().collect()}
-
-    def _commit(self, make: Callable[[str, DataFrame], DataFrame], touched: Callable[[str], set[int]]) -> str:
-        """Rewrite the touched buckets of each table by make(name, their rows), and make that the current version."""
-        old = self._manifest(self.version())
-        v = f"v-{uuid.uuid4().hex}"
-        new = {name: dict(old[name]) for name in SCHEMAS}
-        for name in SCHEMAS:
-            some = touched(name)
-            base = self._read(name, sorted(f for b, f in old[name].items() if int(b) in some))
-            rows = make(name, base).withColumn("bucket", self._bucket(KEYS[name]))
-            rows.write.partitionBy("bucket").mode("overwrite").parquet(f"{self.root}/data/{v}/{name}")
-            path, fs = self._fs(f"data/{v}/{name}")
-            found = {st.getPath().getName() for st in fs.listStatus(path)}
-            for b in some:
-                new[name].pop(str(b), None)
-            new[name] |= {n.split("=")[1]: f"data/{v}/{name}/{n}" for n in found if n.startswith("bucket=")}
-        self._put(f"manifests/{v}.json", json.dumps(new))
-        self._put("CURRENT", v)
-        return v
+        return self._read(name, sorted(f for f, _ in self._manifest(version or self.version())["tables"][name].values()))
+
+    @staticmethod
+    def _bucket(key: str, n: int):
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    def _commit(self, make: Callable[[str, DataFrame], DataFrame], touched: Callable[[str, int], set[int]], tries: int = 5) -> str:
+        """Rewrite the touched buckets of each table by make(name, their rows), and make that the next version."""
+        for _ in range(tries):
+            taken, at = self._settled()
+            old = self._manifest(at)
+            n = old["buckets"]
+            largest = max((sum(b for _, b in t.values()) for t in old["tables"].values()), default=0)
+            while largest > n * self.bucket_bytes:
+                n *= 2
+            v = f"v-{uuid.uuid4().hex}"
+            new = {"buckets": n, "tables": {name: dict(old["tables"][name]) for name in SCHEMAS}}
+            for name in SCHEMAS:
+                some = touched(name, n) if n == old["buckets"] else None  # None: all, as buckets are made anew
+                folders = [f for b, (f, _) in old["tables"][name].items() if some is None or int(b) in some]
+                rows = make(name, self._read(name, sorted(folders))).withColumn("bucket", self._bucket(KEYS[name], n))
+                rows.write.partitionBy("bucket").mode("overwrite").parquet(f"{self.root}/data/{v}/{name}")
+                new["tables"][name] = {b: x for b, x in new["tables"][name].items() if some is not None and int(b) not in some}
+                for f in self._list(f"data/{v}/{name}"):
+                    if f.startswith("bucket="):
+                        path, fs = self._fs(f"data/{v}/{name}/{f}")
+                        new["tables"][name][f.split("=")[1]] = [f"data/{v}/{name}/{f}", fs.getContentSummary(path).getLength()]
+            number = f"{taken + 1:020d}"
+            if self._create(f"manifests/{number}.json", json.dumps(new)):
+                return number
+            self._drop(f"data/{v}")
+        raise Conflict(f"{tries} attempts to write to {self.root} met other writers")
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete what none of the last `keep` versions refers to; how many folders that were. Not while somebody writes."""
+        every = self.versions()
+        kept = [v for v in every if self._manifest(v) is not None][-keep:]
+        used = {f.split("/")[1] for v in kept for t in self._manifest(v)["tables"].values() for f, _ in t.values()}
+        gone = [f for f in self._list("data") if f not in used]
+        for f in gone:
+            self._drop(f"data/{f}")
+        for v in every:
+            if v not in kept and kept and v < kept[0]:
+                self._drop(f"manifests/{v}.json")
+        return len(gone)
+
+    def _touched(self, keys: DataFrame, key: str, n: int) -> set[int]:
+        """The buckets that keys fall into, at most n numbers."""
+        return {r["b"] for r in keys.select(self._bucket(key, n).alias("b")).distinct().collect()}
 
     def upsert(self, batch: dict[str, DataFrame], paths: DataFrame) -> str:
         """Replace everything that is stored of paths (path) by the batch's rows, in all tables at once. The batch's rows
         belong to paths."""
-        some = self._touched(paths, "path")
 
         def make(name: str, base: DataFrame) -> DataFrame:
             key = KEYS[name]
@@ -126,20 +207,21 @@ class Store:
             new = batch.get(name)
             return replace_by_key(base, new, key, gone) if new is not None else delete_by_key(base, gone, key)
 
-        return self._commit(make, lambda _: some)
+        buckets = cache(lambda n: frozenset(self._touched(paths, "path", n)))
+        return self._commit(make, lambda _, n: buckets(n))
 
     def remove(self, paths: DataFrame) -> str:
         """Delete files from all tables, and the import edges that lead to them."""
-        some = self._touched(paths, "path")
+        buckets = cache(lambda n: frozenset(self._touched(paths, "path", n)))
         inbound = self.table("dependency_edges").join(paths.select(F.col("path").alias("to_file")).distinct(), "to_file", "left_semi")
-        edges = some | self._touched(inbound, "from_file")
+        edges = cache(lambda n: buckets(n) | self._touched(inbound, "from_file", n))
 
         def make(name: str, base: DataFrame) -> DataFrame:
             key = KEYS[name]
             df = delete_by_key(base, paths.select(F.col("path").alias(key)), key)
             return delete_by_key(df, paths.select(F.col("path").alias("to_file")), "to_file") if name == "dependency_edges" else df
 
-        return self._commit(make, lambda name: edges if name == "dependency_edges" else some)
+        return self._commit(make, lambda name, n: edges(n) if name == "dependency_edges" else buckets(n))
 
     def orphans(self) -> DataFrame:
         """(table, path) of rows whose file isn't in `files`; a consistent store has none."""

@@ -354,7 +354,7 @@ ORACLES: dict[str, str] = {
         packed AS (SELECT *, sum((length(content) + 3) // 4) OVER (ORDER BY round(score, 12) DESC, "filePath" ROWS UNBOUNDED PRECEDING) AS used FROM best)
         SELECT "filePath", round(score, 6) AS score, length(content)::INT AS chars FROM packed WHERE used <= 4000""",
     "expand_context": f"""
-        WITH RECURSIVE {_CALLS}, {_SYMBOLS}, {_symbol('load', 10)}, results AS (SELECT *, row_number() OVER (ORDER BY score DESC, "filePath", "startLine") AS pos FROM sy), best AS (SELECT pos, "filePath", "chunkName" FROM results WHERE pos <= 3),
+        WITH RECURSIVE {_CALLS}, {_SYMBOLS}, {_symbol('joinPlatform', 10)}, results AS (SELECT *, row_number() OVER (ORDER BY score DESC, "filePath", "startLine") AS pos FROM sy), best AS (SELECT pos, "filePath", "chunkName" FROM results WHERE pos <= 3),
         d1 AS (SELECT * FROM (SELECT b.pos, c.callee_file, c.callee_name, row_number() OVER (PARTITION BY b.pos ORDER BY c.caller_line, c.callee_name) AS k FROM best b JOIN calls c ON c.caller_file = b."filePath" AND c.caller_symbol = b."chunkName") WHERE k <= 10),
         d2 AS (SELECT * FROM (SELECT d.pos, 0 AS phase, d.k, s.file_path AS "filePath", s.signature AS content, s.start_line AS "startLine", s.end_line AS "endLine", s.name AS "chunkName", s.kind AS "chunkType", s.language,
             row_number() OVER (PARTITION BY d.pos, d.k ORDER BY s.start_line, s.name) AS r FROM d1 d JOIN symbols s ON s.file_path = d.callee_file AND s.name = d.callee_name) WHERE r = 1),

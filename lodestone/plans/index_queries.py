@@ -365,7 +365,7 @@ def expanded_search(spark, d):
     from pyspark.sql import Window
 
     s = symbols(spark, d)
-    top = retrieval.symbol_search(s, "load", 10).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "filePath", "startLine")))
+    top = retrieval.symbol_search(s, "joinPlatform", 10).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "filePath", "startLine")))
     return calls.expand_context(top, call_edges(spark, d), s)
 
 
@@ -389,7 +389,7 @@ def recent_changes(spark, d):
 
 def debounce_batches(spark, d):
     e = utc(table(spark, d, "events", "event_id", "ts", "user_id").distinct())
-    b = batches_of_table(e, "ts", 600, "user_id")
+    b = batches_of_table(e, "user_id", "ts", 600)
     return b.select("user_id", "batch", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), "events")
 
 

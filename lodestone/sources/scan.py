@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,23 +79,78 @@ def indexable(files: DataFrame, relative: str = "relativepath", size: str = "siz
     return files.where(keep & (F.coalesce(F.col(size), F.lit(0)) <= max_bytes))
 
 
-def read_tree(spark: SparkSession, root: str, patterns: list[str] | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """(path, relativepath, extension, language, size_bytes, mtime_ms, content) of the files below root that a scan keeps.
+#: A project's own list of what to ignore, at the root of its tree.
+IGNORE_FILE = ".gitignore"
+
+
+def plain_path(path: str) -> str:
+    """A path without the scheme of local files."""
+    return re.sub(r"^file:(?://)?(?=/)", "", path)
+
+
+def project_patterns(spark: SparkSession, root: str) -> list[str]:
+    """The lines of the tree's own ignore list; none if it has none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{IGNORE_FILE}")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8", "replace").splitlines()
+    finally:
+        stream.close()
+
+
+def wanted(path: Column, root: str, patterns: list[str] | None = None) -> Column:
+    """Whether a file's path below root is none that a scan leaves out; the rule for events of a watcher too."""
+    relative = F.substring(path, len(plain_path(root).rstrip("/")) + 2, 1 << 20)
+    return ~in_skipped_folder(relative) & ~is_ignored(relative, patterns)
 
-    The size filter reaches the file source, so larger files aren't read. Contents are decoded as UTF-8, what isn't is
-    replaced; unreadable files are passed over.
+
+def list_tree(spark: SparkSession, root: str, patterns: list[str] | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(path, relativepath, extension, language, size_bytes, mtime_ms) of the files below root that a scan keeps: a listing, no
+    file is opened. The project's own ignore list counts before `patterns`."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_bytes).select("path", "length", "modificationTime")
+    df = raw.withColumn("path", F.regexp_replace("path", r"^file:(?://)?(?=/)", ""))
+    df = df.withColumn("relativepath", F.substring("path", len(plain_path(root).rstrip("/")) + 2, 1 << 20)).withColumn("extension", extension(F.col("path")))
+    df = indexable(df, size="length", patterns=[*project_patterns(spark, root), *(patterns or [])], max_bytes=max_bytes)
+    return df.select("path", "relativepath", "extension", detect_language(F.col("extension")).alias("language"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("mtime_ms"))
+
+
+def read_files(listed: DataFrame) -> DataFrame:
+    """listed (with `path`) and the `content` of each file, read where the tasks run; null for a file that can't be read.
+
+    Only the files at hand are opened, whatever the tree holds beside them. Contents are decoded as UTF-8, what isn't is
+    replaced.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root).where(F.col("length") <= max_bytes)
-    base = root.rstrip("/") + "/"
-    bare = F.regexp_replace("path", r"^file:(?://)?(?=/)", "")
-    df = raw.withColumn("path", bare).withColumn("relativepath", F.expr(f"substr(path, {len(re.sub(r'^file:(?://)?(?=/)', '', base)) + 1})"))
-    df = df.withColumn("extension", extension(F.col("path")))
-    df = indexable(df, size="length", patterns=patterns, max_bytes=max_bytes)
-
-    @F.pandas_udf("string")
-    def text(b: pd.Series) -> pd.Series:
-        return b.map(lambda x: bytes(x).decode("utf-8", "replace"), na_action="ignore")
-
-    return df.select(
-        "path", "relativepath", "extension", detect_language(F.col("extension")).alias("language"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("mtime_ms"), text("content").alias("content")
-    )
+    from lodestone.session import spread
+
+    fields = ", ".join(f"`{c}` {t}" for c, t in listed.dtypes)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        systems: dict[str, fs.FileSystem] = {}
+        for pdf in batches:
+            for a in range(0, len(pdf), 64):  # so that few contents are held at a time
+                part, out = pdf.iloc[a : a + 64].copy(), []
+                for path in part["path"]:
+                    uri = path if "://" in path else "file://" + path
+                    base = re.match(r"[^:]+://[^/]*", uri).group(0)
+                    try:
+                        if base not in systems:
+                            systems[base] = fs.LocalFileSystem() if base == "file://" else fs.FileSystem.from_uri(base + "/")[0]
+                        where = uri[len("file://") :] if base == "file://" else uri[uri.index("://") + 3 :]
+                        with systems[base].open_input_stream(where) as f:
+                            out.append(f.read().decode("utf-8", "replace"))
+                    except OSError:
+                        out.append(None)
+                part["content"] = np.array(out, dtype=object)
+                yield part
+
+    return spread(listed).mapInPandas(read, fields + ", content string")
+
+
+def read_tree(spark: SparkSession, root: str, patterns: list[str] | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """The files of list_tree() with their content; those that can't be read are passed over."""
+    return read_files(list_tree(spark, root, patterns, max_bytes)).where("content is not null")

@@ -135,7 +135,7 @@ def test_engine_end_to_end(spark, tmp_path):
     (root / "node_modules" / "x.ts").write_text("export function hidden() {}")
     (root / "pic.png").write_bytes(b"\x00")
     e = Engine(spark, str(root), f"file://{tmp_path}/index")
-    assert e.index_all() == {"indexed": 3, "skipped_mtime": 0, "skipped_hash": 0, "removed": 0}
+    assert e.index_all() == {"indexed": 3, "skipped_mtime": 0, "skipped_hash": 0, "removed": 0, "unreadable": 0}
     st = e.status(now_ms=0)
     assert st["files"] == 3 and st["chunks"] > 3 and st["vectors"] == st["chunks"] and st["graph_edges"] == 2 and e.store.orphans().count() == 0
     names = [r["name"] for r in e.search_symbols("admit").collect()]
@@ -155,7 +155,7 @@ def test_engine_end_to_end(spark, tmp_path):
     os.utime(root / "auth.ts", (4_000_000_000, 4_000_000_000))
     (root / "more.ts").write_text("export function more() {}\n")
     (root / "utils.ts").unlink()
-    assert e.index_all() == {"indexed": 2, "skipped_mtime": 1, "skipped_hash": 0, "removed": 1}
+    assert e.index_all() == {"indexed": 2, "skipped_mtime": 1, "skipped_hash": 0, "removed": 1, "unreadable": 0}
     assert e.store.table("files").where(F.col("path").endswith("auth.ts")).first()["hash"] != old
     assert rows(e.search_symbols("later"), "name") == [("later",)] and e.search_symbols("formatDay").count() == 0 and e.store.orphans().count() == 0
 
@@ -165,9 +165,9 @@ def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame([(1.0, "p", "update"), (1.2, "p", "delete"), (1.3, "p", "update"), (1.4, "q", "delete"), (5.0, "q", "update")], "t double, path string, event_type string")
     df = df.select(F.timestamp_millis((F.col("t") * 1000).cast("bigint")).alias("ts"), "path", "event_type").coalesce(1)
     df.write.parquet(str(src))
-    b = last_of_batch(debounced(df))
+    b = last_of_batch(debounced(df.withColumn("project", F.lit("p")), "project"))
     assert [(r["path"], r["event_type"]) for r in b.orderBy("opened", "path").collect()] == [("p", "update"), ("q", "delete"), ("q", "update")]
-    assert batches_of_table(df).count() == 2
+    assert batches_of_table(df.withColumn("project", F.lit("p")), "project").count() == 2
     seen = []
     stream = spark.readStream.schema(df.schema).parquet(str(src))
     q = run(stream, lambda c, d: seen.append((rows(c), rows(d))), str(tmp_path / "cp"))

@@ -236,3 +236,32 @@ def test_store_versions(spark, tmp_path):
     assert store.index_stats(st.table("files")).first().asDict() == {"files": 1, "chunks": 2, "oldest": 1, "newest": 1}
     assert store.index_stats(st.table("files").limit(0)).first().asDict() == {"files": 0, "chunks": 0, "oldest": None, "newest": None}
     assert store.staleness(st.table("files").limit(0), 5).first()["stale"] is False
+
+
+def test_store_meets_other_writers_grows_and_is_swept(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/index"
+    f = lambda *ps: spark.createDataFrame([(p, "h", 1, 2, "ts", None) for p in ps], store.SCHEMAS["files"])
+    paths = lambda *ps: spark.createDataFrame([(p,) for p in ps], "path string")
+    a, b = store.Store(spark, root, buckets=2), store.Store(spark, root, buckets=2)
+    a.upsert({"files": f("x")}, paths("x"))
+    create, other = a._create, []
+
+    def slow(name, text):  # another writer comes in between
+        if not other:
+            other.append(b.upsert({"files": f("z")}, paths("z")))
+        return create(name, text)
+
+    monkeypatch.setattr(a, "_create", slow)
+    a.upsert({"files": f("y")}, paths("y"))
+    monkeypatch.setattr(a, "_create", create)
+    assert rows(b.table("files"), "path") == [("x",), ("y",), ("z",)] and a.version() == b.version() == a.versions()[-1]
+    # A manifest that was never completed is passed over, and its number isn't used again.
+    (tmp_path / "index" / "manifests" / f"{9:020d}.json").write_text("{")
+    assert rows(b.table("files"), "path") == [("x",), ("y",), ("z",)]
+    small = store.Store(spark, root, bucket_bytes=1000)
+    small.upsert({"files": f("w")}, paths("w"))
+    assert small._manifest(small.version())["buckets"] > 2 and small.version() == f"{10:020d}" and rows(a.table("files"), "path") == [("w",), ("x",), ("y",), ("z",)]
+    state = a.state_of("files")
+    assert state == small.state_of("files") and a.vacuum(keep=1) >= 3 and a.table("files").count() == 4
+    a.remove(paths("w"))
+    assert a.state_of("files") != state and a.table("files").count() == 3
