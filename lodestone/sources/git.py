@@ -46,7 +46,7 @@ def changed_paths(root: str, since_ms: int | None = None) -> dict[str, str]:
         out |= {p: "deleted" for p in git(root, "diff", "--name-only", "--diff-filter=D", "HEAD")}
         out |= {p: "changed" for p in git(root, "diff", "--name-only", "--diff-filter=ACMR", "HEAD")}
         if since_ms is not None:
-            before = git(root, "rev-list", "-1", f"--before={since_ms // 1000}", "HEAD")
+            before = git(root, "rev-list", "-1", f"--before={max(since_ms // 1000, 100_000_000)}", "HEAD")
             then = before[0] if before else git(root, "hash-object", "-t", "tree", os.devnull)[0]  # else all there is is new
             for p in git(root, "diff", "--name-only", then, "HEAD"):
                 out.setdefault(p, "changed" if os.path.exists(os.path.join(root, p)) else "deleted")

@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.api import Engine
@@ -195,3 +196,93 @@ def test_git_source(spark, tmp_path):
     assert rows(df) == [("a.txt", "changed"), ("b.txt", "deleted"), ("c.txt", "untracked")]
     log = spark.read.format("lodestone_git").options(path=str(tmp_path), what="commits", since="2w").load().collect()
     assert [r["message"] for r in log] == ["first one"] and git.window_seconds("2w") == 1_209_600
+
+
+@pytest.fixture
+def tree(tmp_path):
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "auth.ts").write_text(AUTH)
+    (root / "users.ts").write_text(USERS)
+    (root / ".gitignore").write_text("# ours\nsecret.ts\nlogs/\n")
+    (root / "secret.ts").write_text("export function hidden() {}\n")
+    (root / "logs").mkdir()
+    (root / "logs" / "a.ts").write_text("export function logged() {}\n")
+    return root
+
+
+def test_an_unchanged_tree_is_not_read(spark, tree, tmp_path, monkeypatch):
+    from lodestone import api
+
+    e = Engine(spark, str(tree), f"file://{tmp_path}/index")
+    assert e.index_all()["indexed"] == 2 and sorted(p.rsplit("/", 1)[1] for (p,) in rows(e.store.table("files"), "path")) == ["auth.ts", "users.ts"]
+    opened = []
+    read = api.read_files
+    monkeypatch.setattr(api, "read_files", lambda df: opened.append(df.count()) or read(df))
+    assert e.index_all() == {"indexed": 0, "skipped_mtime": 2, "skipped_hash": 0, "removed": 0, "unreadable": 0} and opened == [0]
+    plan = api.list_tree(spark, str(tree))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+    # Touched but equal: opened, and told by its hash. Forced: all.
+    os.utime(tree / "auth.ts", (4_000_000_000, 4_000_000_000))
+    assert e.index_all()["skipped_hash"] == 1 and opened[-1] == 1
+    assert e.index_all(force=True)["indexed"] == 2
+
+
+def test_version_control_tells_what_to_read(spark, tree, tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tree), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    e = Engine(spark, str(tree), f"file://{tmp_path}/index")
+    e.index_all()
+    # An old time of modification doesn't hide a change that git reports.
+    (tree / "auth.ts").write_text(AUTH + "\nexport function late() {}\n")
+    os.utime(tree / "auth.ts", (1, 1))
+    assert e.index_all()["indexed"] == 1 and e.search_symbols("late").count() == 1
+    git("commit", "-qam", "two")
+    got = dict(rows(e.changes_by_git(0), "path", "change_type"))
+    assert got[str(tree / "auth.ts")] == "changed" and rows(e.changes_by_git()) == []
+    log = e.recent_changes().collect()
+    assert [r["message"] for r in log] == ["two", "one"] and (log[0]["files"], log[0]["insertions"]) == (1, 2)
+    from lodestone.sources import git as source
+
+    assert set(source.tracked(str(tree))) == {".gitignore", "auth.ts", "users.ts"} and not source.is_repository(str(tmp_path)) and e.__class__(spark, str(tmp_path / "index"), f"file://{tmp_path}/i2").changes_by_git() is None
+    with pytest.raises(RuntimeError):
+        source.git(str(tree), "no-such-command")
+
+
+def test_scores_are_kept_until_the_graph_changes(spark, tree, tmp_path, monkeypatch):
+    from lodestone import api
+
+    e = Engine(spark, str(tree), f"file://{tmp_path}/index")
+    e.index_all()
+    runs = []
+    rank = api.graph.pagerank
+    monkeypatch.setattr(api.graph, "pagerank", lambda *a, **k: runs.append(1) or rank(*a, **k))
+    first = rows(e.scores())
+    assert e.search("auth", strategy="structural").count() == 2 and e.repo_map().count() == 2 and rows(e.scores()) == first and len(runs) == 1
+    e.remove_files(spark.createDataFrame([(str(tree / "users.ts"),)], "path string"))
+    assert e.scores().count() == 1 and len(runs) == 2
+
+
+def test_live_events_wait_for_a_pause(spark, tmp_path):
+    src = tmp_path / "live"
+    for n, batch in enumerate([[(1, "p", "update"), (2, "p", "delete"), (2, "q", "update")], [(3, "p", "update"), (4, "r", "delete"), (4, "/t/node_modules/x.ts", "update")]]):
+        df = spark.createDataFrame(batch, "t long, path string, event_type string").select(F.timestamp_seconds("t").alias("ts"), "path", "event_type")
+        df.coalesce(1).write.mode("append").parquet(str(src))
+        os.utime(src, None)
+    from lodestone.sources.scan import wanted
+
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(src)).where(wanted(F.col("path"), "/t"))
+    seen = []
+    q = run(stream, lambda c, d: seen.append((rows(c), rows(d))), str(tmp_path / "cp"), trigger="100 milliseconds", pause="300 milliseconds")
+    try:
+        for _ in range(600):
+            if seen:
+                break
+            q.awaitTermination(0.1)
+    finally:
+        q.stop()
+    assert seen == [([("p",), ("q",)], [("r",)])]
