@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import render
+from lodestone import config
+from lodestone.functions import prompts, render
 from lodestone.functions.text import content_hash
 from lodestone.operators import calls as calls_ops
 from lodestone.operators import changes, embed, extract, graph, imports, retrieval
@@ -155,8 +157,6 @@ class Engine:
             parts.append(retrieval.symbol_search(symbols, query, limit))
         union = retrieval.union_strategies(*parts)
         merged = retrieval.merge(union) if strategy == "hybrid" else union
-        from pyspark.sql import Window
-
         top = retrieval.final_order(merged, limit).withColumn("pos", F.row_number().over(Window.orderBy(F.desc(F.round("score", 12)), "seq", "pos"))).select(*retrieval.RESULT, "pos")
         if expand:
             c = calls_ops.resolve_callees(self.store.table("call_edges"), symbols)
@@ -214,6 +214,67 @@ class Engine:
         g = graph.graph_stats(self.edges()).first()
         return out | {"vectors": self.store.table("chunks").count(), "graph_nodes": g["nodes"], "graph_edges": g["edges"], "index_dir": self.index_dir}
 
+    # Tools as text ------------------------------------------------------------------------------------------------------
+
+    def dependencies_text(self, path: str, depth: int = 1) -> str:
+        found = self.dependencies(path, depth)
+        last = self.store.table("dependency_edges").where(F.col("from_file") == path).groupBy("to_file").agg(F.max_by("symbols", "from_line").alias("symbols"))
+        return render.dependencies(path, found, {r["to_file"]: r["symbols"] for r in last.collect()})
+
+    def call_graph_text(self, symbol: str, direction: str = "callers", limit: int = 50) -> str:
+        state, found = self.call_graph(symbol, direction, limit)
+        rows = found.collect() if isinstance(found, DataFrame) else found
+        return render.call_graph(symbol, direction, state, rows, rows[0]["caller_file"] if state == "ok" and rows and direction == "callees" else None)
+
+    def symbols_text(self, query: str, kind: str | None = None, limit: int = 20) -> str:
+        order = Window.orderBy(F.when(F.col("name") == query, 0).otherwise(1), F.when(F.col("visibility") == "exported", 0).otherwise(1), "name", "id")
+        return render.symbols(self.search_symbols(query, kind, limit).withColumn("pos", F.row_number().over(order))).first()["text"]
+
+    def status_text(self, now_ms: int | None = None) -> str:
+        s = self.status(now_ms)
+        when = None if s["newest"] is None else self.spark.range(1).select(render.iso_time(F.lit(s["newest"])).alias("t")).first()["t"]
+        return render.status(s | {"newest_text": when})
+
+    def repo_map_text(self, scope: str | None = None, max_tokens: int = 2048) -> str:
+        return render.repo_map(self.repo_map(scope, max_tokens)).first()["text"]
+
+    def changes_text(self, since: str = "7d", limit: int = 20) -> str:
+        return render.commits(self.recent_changes(since, limit).collect(), since, limit)
+
+    def context(self, query: str, limit: str | int | None = None, strategy: str = "hybrid", width: int = 500) -> DataFrame:
+        """Search results for another program: (filePath, startLine, endLine, score, source, snippet, pos). limit is taken into
+        1 to 20, 5 if it is no number; a blank query raises."""
+        if not query.strip():
+            raise ValueError("a query is needed")
+        n = int(limit) if limit is not None and str(limit).lstrip("-").isdigit() else 5
+        found = self.search(query, strategy, min(max(n or 5, 1), 20))
+        return found.select("filePath", "startLine", "endLine", "score", "source", F.substring("content", 1, width).alias("snippet"), "pos")
+
+    def context_text(self, query: str, limit: int = 5) -> str:
+        """The results worth reading as numbered documents, best first."""
+        block = prompts.context_blocks(F.col("score"), F.col("pos"), F.col("filePath"), F.col("snippet"))
+        return "\n".join(r["b"] for r in self.context(query, limit).orderBy("pos").select(block.alias("b")).collect() if r["b"])
+
+    def resource(self, name: str, key: str | None = None) -> DataFrame:
+        """(json): the index for other programs, a row a record. stats; files; file (key: a path below the root) with its
+        symbols, imports and dependents; symbols (key: a kind), the first 200 by name."""
+        if name == "stats":
+            return self.spark.range(1).select(F.lit(json.dumps(self.status())).alias("json"))
+        if name == "files":
+            return self.store.table("files").select(F.to_json(F.struct("path", "language", F.col("chunk_count").alias("chunks"))).alias("json"))
+        if name == "symbols":
+            return self.store.table("symbols").where(F.col("kind") == key).orderBy("name", "id").limit(200).select(F.to_json(F.struct("*")).alias("json"))
+        if name != "file":
+            raise ValueError(f"no resource {name}")
+        if key is None or not config.within(plain_path(self.root), key):
+            raise ValueError("the path is outside of the root")
+        gather = lambda df, c: df.agg(F.sort_array(F.collect_list(c)).alias("x"))
+        own = gather(self.store.table("symbols").where(F.col("file_path") == key), F.struct("start_line", "end_line", "name", "qualified_name", "kind", "signature"))
+        e = self.edges()
+        into, out = gather(graph.dependents(e, key), F.col("path")), gather(graph.dependencies(e, key), F.col("path"))
+        one = own.select(F.col("x").alias("symbols")).crossJoin(out.select(F.col("x").alias("imports"))).crossJoin(into.select(F.col("x").alias("dependents")))
+        return one.select(F.to_json(F.struct(F.lit(key).alias("path"), "symbols", "imports", "dependents")).alias("json"))
+
     def watch(self, events: DataFrame, checkpoint: str, trigger: str | None = None):
         """Keep the index up to date with a stream of events (path, event_type, ts). Events of files that a scan leaves out
         are dropped."""

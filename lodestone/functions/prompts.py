@@ -127,12 +127,78 @@ def numbered(task: Column, checks: dict[str, list[str]], common: list[str]) -> C
     return by_task(task, {k: "\n".join(f"  {i}. {c}" for i, c in enumerate([*own, *common], 1)) for k, own in checks.items()})
 
 
+#: What the parts of a composed text say, by task.
+FOCUS = {
+    "debug": "where the fault shows, what changed lately, and who calls the code at fault",
+    "coding": "code like that to be written, what it depends on, and names to follow",
+    "refactor": "everything that uses what is to change",
+    "review": "the overall shape, and each file under review",
+    "research": "the overall shape, and the places that answer the question",
+}
+STYLE = {
+    "debug": "Find the cause before touching the symptom; change as little as mends it.",
+    "coding": "Follow what is there; add what the task asks for and nothing besides.",
+    "refactor": "Keep behaviour as it is; go in small steps that can each be checked.",
+    "review": "Judge what the code does, worst findings first.",
+    "research": "Answer from the code, with the places that show it.",
+}
+DIAGNOSIS = {
+    "debug": "List what could cause this, say what would tell the candidates apart, and check the likeliest first.",
+    "coding": "Say where the new code belongs, what it touches, and what could go wrong there.",
+    "refactor": "List what uses the code now, and what has to stay true afterwards.",
+    "review": "Say what this code is meant to do before saying how well it does it.",
+    "research": "Split the question into parts that single files can answer.",
+}
+DONE = {
+    "debug": "The cause is known, the fix is in, and every test still passes.",
+    "coding": "The feature works, fits in with the rest, and treats errors.",
+    "refactor": "All places are changed, tests pass, and callers notice nothing.",
+    "review": "Each finding has its weight and a next step.",
+    "research": "The answer covers the question and points to the code.",
+}
+CHECKS = {
+    "debug": ["The cause is mended, not its effect.", "No sister of the fault remains nearby.", "Tests that passed still pass."],
+    "coding": ["It builds and runs with the rest.", "Odd inputs and errors are covered.", "Names and style are those around it."],
+    "refactor": ["Nothing that others call has changed, as a search shows.", "The tests pass.", "Public promises are kept, or the change is written down."],
+    "review": ["Findings rest on code that was read.", "Grave ones stand apart from matters of taste.", "Each says what to do next."],
+    "research": ["What is said agrees with the code.", "Files or names back each statement."],
+}
+COMMON_CHECKS = ["The answer rests on real code.", "Nothing that worked is broken."]
+TEMPLATES = {
+    "debug": "Find out why {subject} fails, mend it, and show that it is mended.",
+    "coding": "Build {subject} so that it works with what is there.",
+    "refactor": "Reshape {subject} without changing what it does.",
+    "review": "Review {subject} and report what to change, gravest first.",
+    "research": "Explain {subject} from the code.",
+}
+SUFFIXES = {
+    "debug": "Name the cause and mend it.",
+    "coding": "Deliver working code with its tests.",
+    "refactor": "Deliver the change with its callers.",
+    "review": "Deliver findings by weight.",
+    "research": "Deliver an answer with its sources.",
+}
+NOTE = "Check counts and names against the code before relying on them."
+BLOCKS = {
+    "parallel_tools": "Ask independent questions of the tools at once.",
+    "default_to_action": "Do what is asked instead of proposing it.",
+    "investigate": "Read a file before speaking of it.",
+    "keep_it_small": "Add no layers, options or cases that the task doesn't need.",
+    "grounding": "Say where each statement comes from, and what is a guess.",
+    "concise": "Answer briefly.",
+}
+
+
 def tool_rules(text: Column, task: Column) -> Column:
-    """The first tool of the task with the text's first 60 characters as its query, and the others."""
+    """The first tool of the task with the text's first 60 characters as its query, the others, what to look for, and, where
+    callers matter, to expand results."""
     hint = F.substring(normalize(text), 1, 60)
     first = by_task(task, {k: next(iter(w)) for k, w in TOOL_WEIGHTS.items()})
     others = by_task(task, {k: ", ".join(list(w)[1:]) for k, w in TOOL_WEIGHTS.items()})
-    return F.concat(F.lit("Primary tool: "), first, F.lit('(query="'), hint, F.lit('")'), F.when(others != "", F.concat(F.lit("\nSecondary tools: "), others)).otherwise(""))
+    return F.concat(
+        F.lit("Primary tool: "), first, F.lit('(query="'), hint, F.lit('")'), F.when(others != "", F.concat(F.lit("\nSecondary tools: "), others)).otherwise(""),
+        F.lit("\nLook for: "), by_task(task, FOCUS), F.when(task.isin("debug", "refactor"), "\nExpand the best results by their callers and callees.").otherwise(""),
+    )
 
 
 def section(name: str, body: Column, when: Column | None = None) -> Column:
@@ -146,6 +212,58 @@ def compose(*sections: Column) -> Column:
     return F.concat_ws("\n\n", *sections)
 
 
+def enhanced(text: Column, task: Column | None = None, level: Column | None = None) -> Column:
+    """The whole composed text for a request: context first, the objective near the end. A light task has only the rules, the
+    style, the objective and when it is done; null for a blank request. task and level are detected if they aren't given."""
+    t = normalize(text)
+    task = task if task is not None else detect_task(t)
+    level = level if level is not None else detect_intensity(t, task)
+    full = level != "light"
+    fixed = lambda name, when: section(name, F.lit(BLOCKS[name]), when)
+    out = compose(
+        section("tool_rules", tool_rules(t, task)),
+        fixed("parallel_tools", full), fixed("default_to_action", full), fixed("investigate", full),
+        section("diagnosis", by_task(task, DIAGNOSIS), full),
+        fixed("keep_it_small", full & task.isin("coding", "refactor")),
+        section("work_style", F.concat(F.lit("Task type: "), task, F.lit(" | Intensity: "), level, F.lit("\n"), by_task(task, STYLE))),
+        fixed("grounding", full),
+        section("verification", numbered(task, CHECKS, COMMON_CHECKS), full),
+        section("concise", F.lit(BLOCKS["concise"])),
+        section("objective", objective(t, task, TEMPLATES, SUFFIXES, NOTE)),
+        section("done_criteria", by_task(task, DONE)),
+    )
+    return F.when(t != "", out)
+
+
 def context_blocks(score: Column, index: Column, source: Column, content: Column, low: float = 0.3) -> Column:
     """A numbered document block for a result, null for one below `low`."""
     return F.when(score >= low, F.format_string('<document index="%d">\n<source>%s</source>\n%s\n</document>', index, source, content))
+
+
+#: The flag that asks for a composed text.
+FLAG = "--enhancer"
+
+
+def flagged(text: Column) -> Column:
+    """The request without its flag; null if it has none or nothing is left."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(text, rf"(?<!\S){FLAG}(?!\S)", " "), r"\s+", " "))
+    return F.when(text.rlike(rf"(?<!\S){FLAG}(?!\S)") & (bare != ""), bare)
+
+
+# Extensions of files that hold one component, and those among which its uses and imports are looked for.
+COMPONENTS = ("vue", "tsx", "jsx", "svelte")
+USES, IMPORTERS = "*.{vue,tsx,jsx,svelte}", "*.{vue,tsx,jsx,ts,js}"
+
+
+def usage_patterns(path: Column) -> Column:
+    """(name, pattern, glob, import_pattern, import_glob, dependency_pattern) by which the uses of what a file defines are
+    found: a component by its name among all component files, a module among files of its own kind."""
+    base = F.substring_index(path, "/", -1)
+    ext = F.lower(F.regexp_extract(base, r"[^.]\.([^.]*)$", 1))
+    stem = F.regexp_replace(base, r"(?<=[^.])\.[^.]*$", "")
+    component = ext.isin(*COMPONENTS)
+    own = F.concat(F.lit("*."), ext)
+    return F.struct(
+        stem.alias("name"), stem.alias("pattern"), F.when(component, USES).otherwise(own).alias("glob"), F.concat(F.lit("import.*"), stem).alias("import_pattern"),
+        F.when(component, IMPORTERS).otherwise(own).alias("import_glob"), F.concat(F.lit("from.*"), stem, F.lit("|import.*"), stem).alias("dependency_pattern"),
+    )

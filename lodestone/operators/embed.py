@@ -40,6 +40,21 @@ def mean_pool(tokens: np.ndarray) -> np.ndarray:
     return v / n if n > 0 else v
 
 
+def embedded(ids: list, run, size: int = BATCH) -> list:
+    """run over batches of `size`; a batch that fails is tried again one by one, so that one text doesn't spoil the others."""
+    out = []
+    for a in range(0, len(ids), size):
+        part = ids[a : a + size]
+        try:
+            out += run(part)
+        except Exception:  # noqa: BLE001 - a model may fail on one text in many ways
+            if len(part) == 1:
+                raise
+            for x in part:
+                out += run([x])
+    return out
+
+
 def model_udf(folder: str):
     """An iterator UDF that loads the model once a worker and answers in batches."""
 
@@ -51,14 +66,20 @@ def model_udf(folder: str):
         options.intra_op_num_threads = 1
         session = ort.InferenceSession(model_file(folder), options)
         names = {i.name for i in session.get_inputs()}
+
+        def run(ids: list[list[int]]) -> list[np.ndarray]:
+            """The vectors of some token lists at once; shorter ones are filled up and masked."""
+            longest = max(map(len, ids))
+            tokens = np.array([x + [0] * (longest - len(x)) for x in ids], dtype=np.int64)
+            mask = np.array([[1] * len(x) + [0] * (longest - len(x)) for x in ids], dtype=np.int64)
+            feed = {"input_ids": tokens, "attention_mask": mask, "token_type_ids": np.zeros_like(tokens)}
+            y = session.run(None, {k: v for k, v in feed.items() if k in names})[0]
+            return [mean_pool(row[: len(x)]) for row, x in zip(y, ids)]
+
         for texts in batches:
-            out = []
-            for t in texts:
-                ids = np.array([naive_ids(t or "") or [0]], dtype=np.int64)
-                feed = {"input_ids": ids, "attention_mask": np.ones_like(ids), "token_type_ids": np.zeros_like(ids)}
-                y = session.run(None, {k: v for k, v in feed.items() if k in names})[0]
-                out.append(mean_pool(y[0]).astype(np.float32).tolist())
-            yield pd.Series(out)
+            ids = [naive_ids(t or "") or [0] for t in texts]
+            out = embedded(ids, run)
+            yield pd.Series([v.astype(np.float32).tolist() for v in out])
 
     return embed
 

@@ -292,6 +292,27 @@ def _split_large(path: str, chunk: dict) -> list[dict]:
     return [dict(chunk, id=f"{path}:{first + x}-{first + y - 1}", content="\n".join(lines[x:y]), startLine=first + x, endLine=first + y - 1, signature=lines[x].strip()[:120]) for x, y in out if y > x]
 
 
+# Words of import statements that are no names, wherever they stand in one.
+IMPORT_NOISE = frozenset("import from as type typeof crate self super".split())
+_PATH_IMPORT = re.compile(r"(?m)^\s*(?:pub\s+)?(?:import(?:\s+static)?|use)\s+(?P<path>[\w.:{}, *\n]+?)\s*;")
+
+
+def import_refs(text: str, language: str | None) -> list[dict]:
+    """Tags of kind ref for the names that a file's import statements bring in: the names that the other file gives them, not
+    their local aliases; a default import counts by its local name. Whole-module imports, paths and IMPORT_NOISE are left out."""
+    found: list[tuple[str, int]] = []
+    if language in ("rust", "java", "kotlin", "scala"):
+        for m in _PATH_IMPORT.finditer(text):
+            path = re.sub(r"\bas\s+\w+", " ", m.group("path"))
+            found += [(w, text.count("\n", 0, m.start("path")) + 1) for w in re.findall(r"\w+", path)]
+    elif language in ("typescript", "tsx", "javascript", "jsx", "vue", "svelte"):
+        for m in _TS_IMPORT.finditer(text):
+            what = re.sub(r"\*\s*as\s+\w+", "", m.group("what"))
+            names = [p.strip().removeprefix("type ").split(" as ")[0].strip() for p in re.sub(r"[{}]", ",", what).split(",")]
+            found += [(n, text.count("\n", 0, m.start("what")) + 1) for n in names]
+    return [dict(name=n, kind="ref", line=a) for n, a in dict.fromkeys(found) if n not in IMPORT_NOISE and re.match(r"[A-Za-z_$]", n)]
+
+
 BRACES = frozenset("typescript tsx javascript jsx go java rust c cpp c_sharp kotlin scala swift dart php vue svelte".split())
 
 
@@ -305,6 +326,8 @@ def extract_one(path: str, text: str, language: str | None) -> dict:
     except (ValueError, IndexError, RecursionError):
         found = None
     found = found or dict(chunks=[whole_file(path, text)], symbols=[], imports=[], calls=[], tags=[])
+    known = {(t["name"], t["line"]) for t in found["tags"] if t["kind"] == "ref"}
+    found["tags"] = found["tags"] + [t for t in import_refs(text, language) if (t["name"], t["line"]) not in known]
     found["chunks"] = [p for c in found["chunks"] for p in _split_large(path, c)]
     return found
 

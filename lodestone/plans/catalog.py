@@ -73,6 +73,7 @@ QUERIES = {
     "file_detail": q.file_detail,
     "prompt_sections": q.prompt_sections,
     "track_merge": q.track_merge,
+    "usage_patterns": q.usage_patterns,
 }
 
 # Pieces of SQL -------------------------------------------------------------------------------------------------------------
@@ -169,6 +170,35 @@ def _union(*parts: str) -> str:
     return f"u AS (SELECT * REPLACE (score * CASE source WHEN 'semantic' THEN 0.5 WHEN 'keyword' THEN 0.3 ELSE 0.2 END AS score) FROM ({each}))"
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _of_task(values: dict[str, str]) -> str:
+    return "CASE task " + " ".join(f"WHEN '{k}' THEN {_quoted(v)}" for k, v in values.items()) + " END"
+
+
+def _composed() -> str:
+    """The composed text of a request from t, task, level and subject."""
+    full = "level <> 'light'"
+    rules = (
+        f"'Primary tool: ' || {_of_task({k: next(iter(w)) for k, w in prompts.TOOL_WEIGHTS.items()})} || '(query=\"' || substr(t, 1, 60) || '\")' || {_of_task({k: chr(10) + 'Secondary tools: ' + ', '.join(list(w)[1:]) if len(w) > 1 else '' for k, w in prompts.TOOL_WEIGHTS.items()})} "
+        f"|| chr(10) || 'Look for: ' || {_of_task(prompts.FOCUS)} || CASE WHEN task IN ('debug', 'refactor') THEN chr(10) || 'Expand the best results by their callers and callees.' ELSE '' END"
+    )
+    framed = {k: v.split("{subject}") for k, v in prompts.TEMPLATES.items()}
+    goal = f"CASE WHEN subject <> t THEN {_of_task({k: v[0] for k, v in framed.items()})} || subject || {_of_task({k: v[1] for k, v in framed.items()})} ELSE t || '. ' || {_of_task(prompts.SUFFIXES)} END || chr(10) || {_quoted(prompts.NOTE)} || chr(10) || 'Original request: ' || t"
+    checks = _of_task({k: chr(10).join(f"  {i}. {c}" for i, c in enumerate([*own, *prompts.COMMON_CHECKS], 1)) for k, own in prompts.CHECKS.items()})
+    fixed = lambda name: _quoted(prompts.BLOCKS[name])
+    parts = [
+        ("tool_rules", rules, None), ("parallel_tools", fixed("parallel_tools"), full), ("default_to_action", fixed("default_to_action"), full), ("investigate", fixed("investigate"), full),
+        ("diagnosis", _of_task(prompts.DIAGNOSIS), full), ("keep_it_small", fixed("keep_it_small"), f"{full} AND task IN ('coding', 'refactor')"),
+        ("work_style", f"'Task type: ' || task || ' | Intensity: ' || level || chr(10) || {_of_task(prompts.STYLE)}", None), ("grounding", fixed("grounding"), full),
+        ("verification", checks, full), ("concise", fixed("concise"), None), ("objective", goal, None), ("done_criteria", _of_task(prompts.DONE), None),
+    ]
+    made = [(f"'<{n}>' || chr(10) || {x} || chr(10) || '</{n}>'", when) for n, x, when in parts]
+    return "concat_ws(chr(10) || chr(10), " + ", ".join(f"CASE WHEN {when} THEN {x} END" if when else x for x, when in made) + ")"
+
+
 ORACLES: dict[str, str] = {
     "p2_found": f"""
         WITH seen AS (
@@ -395,11 +425,13 @@ ORACLES: dict[str, str] = {
         i AS (SELECT src AS path, count(*) AS n FROM edges GROUP BY 1), d AS (SELECT dst AS path, count(*) AS n FROM edges GROUP BY 1)
         SELECT f.path, coalesce(s.n, 0) AS symbols, coalesce(i.n, 0) AS imports, coalesce(d.n, 0) AS dependents FROM f LEFT JOIN s USING (path) LEFT JOIN i USING (path) LEFT JOIN d USING (path)""",
     "prompt_sections": f"""
-        WITH {_NORMAL}, {_SCORED}, {_TASKED}, lev AS (SELECT *, CASE WHEN regexp_matches(lower(t), '{_bounded('|'.join(prompts.DEEP))}') THEN 'deep' WHEN regexp_matches(lower(t), '{_bounded('|'.join(prompts.LIGHT))}') THEN 'light'
+        WITH {_NORMAL}, {_SCORED}, {_TASKED}, lev AS (SELECT doc_id, t, task, {_SUBJECT} AS subject, CASE WHEN regexp_matches(lower(t), '{_bounded('|'.join(prompts.DEEP))}') THEN 'deep' WHEN regexp_matches(lower(t), '{_bounded('|'.join(prompts.LIGHT))}') THEN 'light'
             WHEN task = 'research' AND length(t) <= 200 THEN 'light' ELSE 'standard' END AS level FROM tasked),
-        tools AS (SELECT * FROM (VALUES """ + ", ".join(f"('{t}', '{next(iter(w))}', '{', '.join(list(w)[1:])}')" for t, w in prompts.TOOL_WEIGHTS.items()) + """) AS x(task, first, others))
-        SELECT doc_id, '<tool_rules>' || chr(10) || 'Primary tool: ' || first || '(query="' || substr(t, 1, 60) || '")' || CASE WHEN others <> '' THEN chr(10) || 'Secondary tools: ' || others ELSE '' END || chr(10) || '</tool_rules>'
-            || chr(10) || chr(10) || '<work_style>' || chr(10) || 'Task type: ' || lev.task || ' | Intensity: ' || level || chr(10) || '</work_style>'
-            || CASE WHEN level <> 'light' THEN chr(10) || chr(10) || '<verification>' || chr(10) || 'Check the result.' || chr(10) || '</verification>' ELSE '' END AS body
-        FROM lev JOIN tools ON tools.task = lev.task""",
+        body AS (SELECT doc_id, CASE WHEN t <> '' THEN {_composed()} END AS body FROM lev)
+        SELECT doc_id, sha256(body) AS hash, length(body)::INT AS chars FROM body""",
+    "usage_patterns": """
+        WITH b AS (SELECT path, regexp_extract(path, '[^/]*$') AS base FROM (SELECT DISTINCT path FROM scanned_files WHERE path IS NOT NULL)),
+        x AS (SELECT path, lower(regexp_extract(base, '[^.]\\.([^.]*)$', 1)) AS ext, CASE WHEN regexp_matches(base, '[^.]\\.[^.]*$') THEN regexp_replace(base, '\\.[^.]*$', '') ELSE base END AS stem FROM b)
+        SELECT path, stem AS name, stem AS pattern, CASE WHEN ext IN ('vue', 'tsx', 'jsx', 'svelte') THEN '*.{vue,tsx,jsx,svelte}' ELSE '*.' || ext END AS glob, 'import.*' || stem AS import_pattern,
+            CASE WHEN ext IN ('vue', 'tsx', 'jsx', 'svelte') THEN '*.{vue,tsx,jsx,ts,js}' ELSE '*.' || ext END AS import_glob, 'from.*' || stem || '|import.*' || stem AS dependency_pattern FROM x""",
 }

@@ -432,14 +432,14 @@ def file_detail(spark, d):
 
 
 def prompt_sections(spark, d):
-    t = documents(spark, d).where("text is not null").select("doc_id", prompts.normalize(F.col("text")).alias("t"))
-    t = t.withColumn("task", prompts.detect_task(F.col("t"))).withColumn("level", prompts.detect_intensity(F.col("t"), F.col("task")))
-    body = prompts.compose(
-        prompts.section("tool_rules", prompts.tool_rules(F.col("t"), F.col("task"))),
-        prompts.section("work_style", F.concat(F.lit("Task type: "), F.col("task"), F.lit(" | Intensity: "), F.col("level"))),
-        prompts.section("verification", F.lit("Check the result."), F.col("level") != "light"),
-    )
-    return t.select("doc_id", body.alias("body"))
+    """Each text as a request, composed."""
+    t = documents(spark, d).where("text is not null").select("doc_id", prompts.enhanced(F.col("text")).alias("body"))
+    return t.select("doc_id", F.sha2("body", 256).alias("hash"), F.length("body").alias("chars"))
+
+
+def usage_patterns(spark, d):
+    s = table(spark, d, "scanned_files", "path").where("path is not null").distinct()
+    return s.select("path", prompts.usage_patterns(F.col("path")).alias("u")).select("path", "u.*")
 
 
 def track_merge(spark, d):

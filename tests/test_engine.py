@@ -228,6 +228,31 @@ def test_an_unchanged_tree_is_not_read(spark, tree, tmp_path, monkeypatch):
     assert e.index_all(force=True)["indexed"] == 2
 
 
+def test_tools_as_text_and_resources(spark, tree, tmp_path):
+    import json
+
+    e = Engine(spark, str(tree), f"file://{tmp_path}/index")
+    e.index_all()
+    auth, users = str(tree / "auth.ts"), str(tree / "users.ts")
+    assert f"Imported by:\n  <- {users}" in e.dependencies_text(auth) and "  { " in e.dependencies_text(users)
+    assert 'in "' not in e.call_graph_text("nope") and "No recorded callers" in e.call_graph_text("nope") and e.symbols_text("admit").startswith("[1] ")
+    assert "Has index    : yes" in e.status_text(now_ms=0) and auth in e.repo_map_text() and "(no commits found)" in e.changes_text()
+    got = e.context("admit", "99")
+    assert 0 < got.count() <= 20 and got.columns[-2:] == ["snippet", "pos"] and e.context("admit", "x").count() <= 5 and "<document index=" in e.context_text("admit")
+    with pytest.raises(ValueError):
+        e.context(" ")
+    files = [json.loads(r["json"]) for r in e.resource("files").collect()]
+    assert {f["path"] for f in files} == {auth, users} and json.loads(e.resource("stats").first()["json"])["files"] == 2
+    one = json.loads(e.resource("file", auth).first()["json"])
+    assert one["dependents"] == [users] and one["symbols"] and one["imports"] == []
+    assert all(json.loads(r["json"])["kind"] == "class" for r in e.resource("symbols", "class").collect())
+    for bad in (("file", "/etc/passwd"), ("other", None)):
+        with pytest.raises(ValueError):
+            e.resource(*bad)
+    refs = {r[0] for r in rows(e.store.table("tags").where("kind = 'ref'"), "name")}
+    assert "Logger" in refs and not refs & extract.IMPORT_NOISE
+
+
 def test_version_control_tells_what_to_read(spark, tree, tmp_path):
     import subprocess
 
