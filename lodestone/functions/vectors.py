@@ -24,9 +24,3 @@ def norm(a: Column) -> Column:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     return 1.0 - dot(a, b) / (norm(a) * norm(b))
-
-
-def normalized(a: Column) -> Column:
-    """Scaled to unit length; a zero vector stays."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(_double(a), lambda x: x / n)).otherwise(_double(a))

@@ -59,10 +59,6 @@ def resolve_symbol(symbols: DataFrame, name: str, limit: int = 10) -> tuple[str,
     return ("missing" if not rows else "unique" if len(rows) == 1 else "ambiguous"), rows
 
 
-def result_tokens(content: Column) -> Column:
-    return count_tokens(content)
-
-
 def expand_context(results: DataFrame, calls: DataFrame, symbols: DataFrame, max_tokens: int = 4000, top: int = 3, n_callees: int = 10, n_callers: int = 5, resolve: bool = True) -> DataFrame:
     """results (with `pos`) and, below them, the callees and callers of the best, as long as they fit into max_tokens.
 

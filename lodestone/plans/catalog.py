@@ -74,6 +74,13 @@ QUERIES = {
     "prompt_sections": q.prompt_sections,
     "track_merge": q.track_merge,
     "usage_patterns": q.usage_patterns,
+    "name_functions": q.name_functions,
+    "indexed_times": q.indexed_times,
+    "file_outlines": q.file_outlines,
+    "file_definitions": q.file_definitions,
+    "search_text": q.search_text,
+    "graph_add_tags": q.graph_with_batch,
+    "graph_remove_files": q.graph_without_deleted,
 }
 
 # Pieces of SQL -------------------------------------------------------------------------------------------------------------
@@ -434,4 +441,22 @@ ORACLES: dict[str, str] = {
         x AS (SELECT path, lower(regexp_extract(base, '[^.]\\.([^.]*)$', 1)) AS ext, CASE WHEN regexp_matches(base, '[^.]\\.[^.]*$') THEN regexp_replace(base, '\\.[^.]*$', '') ELSE base END AS stem FROM b)
         SELECT path, stem AS name, stem AS pattern, CASE WHEN ext IN ('vue', 'tsx', 'jsx', 'svelte') THEN '*.{vue,tsx,jsx,svelte}' ELSE '*.' || ext END AS glob, 'import.*' || stem AS import_pattern,
             CASE WHEN ext IN ('vue', 'tsx', 'jsx', 'svelte') THEN '*.{vue,tsx,jsx,ts,js}' ELSE '*.' || ext END AS import_glob, 'from.*' || stem || '|import.*' || stem AS dependency_pattern FROM x""",
+    "name_functions": """
+        WITH s AS (SELECT DISTINCT path, '..' || regexp_replace(path, '[^A-Za-z0-9]+', '.', 'g') AS dotted FROM scanned_files WHERE path IS NOT NULL),
+        m AS (SELECT *, regexp_extract(dotted, '^(\\.*)', 1) AS dots, replace(regexp_replace(dotted, '^\\.+', ''), '.', '/') AS rest FROM s)
+        SELECT path, path AS bare, CASE WHEN length(dots) = 0 THEN rest WHEN length(dots) = 1 THEN './' || rest ELSE repeat('../', length(dots) - 1) || rest END AS module, trim(path) AS annotation, 'A.' || regexp_extract(path, '[^/]*$') AS qualified,
+            least(2000, 61 * length(path) + 1)::INT AS embedded, starts_with(path, './') OR starts_with(path, '../') OR starts_with(path, '/') AS relative FROM m""",
+    "indexed_times": f"WITH {_LATEST} SELECT path, strftime(make_timestamp(last_indexed * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM latest",
+    "file_outlines": f"WITH {_SYMBOLS}, {_NAMES} SELECT file, '// ' || file || array_to_string(list_transform(definitions, lambda x: chr(10) || '- ' || x), '') AS outline FROM names WHERE file IS NOT NULL",
+    "file_definitions": f"""
+        WITH {_SYMBOLS}, t AS (SELECT DISTINCT name, file_path AS file, start_line AS seq FROM symbols WHERE file_path IS NOT NULL)
+        SELECT file, string_agg(name, ',' ORDER BY seq, name) AS definitions FROM t GROUP BY 1""",
+    "search_text": f"""
+        WITH {_SYMBOLS}, {_symbol('joinPlatform', 10)}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, "filePath", "startLine") AS pos FROM sy)
+        SELECT CASE WHEN count(*) = 0 THEN 'No results found.' ELSE 'Results: ' || count(*) || ' found | top score: ' || printf('%.2f', max(score)) || ' | sources: structural' || chr(10) || chr(10)
+            || string_agg('[' || pos || '] ' || "filePath" || ' (lines ' || "startLine" || '-' || "endLine" || ', score: ' || printf('%.2f', score) || ', source: ' || source || ')' || chr(10) || '    ' || replace(substr(content, 1, 300), chr(10), chr(10) || '    '), chr(10) || chr(10) ORDER BY pos) END AS text FROM r""",
+    "graph_add_tags": f"""
+        WITH {_EDGES}, {_CALLS}, {_SYMBOLS}, defs AS (SELECT name, file_path AS dst FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY start_line DESC, file_path DESC) AS rn FROM symbols WHERE name IS NOT NULL AND file_path IS NOT NULL) WHERE rn = 1)
+        SELECT src, dst FROM edges UNION SELECT c.caller_file, d.dst FROM calls c JOIN defs d ON d.name = c.callee_name WHERE c.caller_file <> d.dst""",
+    "graph_remove_files": f"WITH {_EDGES}, {_EVENTS}, gone AS (SELECT path FROM ev WHERE change_type = 'deleted' AND path IS NOT NULL) SELECT src, dst FROM edges WHERE src NOT IN (SELECT path FROM gone) AND dst NOT IN (SELECT path FROM gone)",
 }

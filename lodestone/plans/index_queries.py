@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import lang, prompts, text
+from lodestone.functions import lang, prompts, render, text
 from lodestone.functions.paths import canonical_path
 from lodestone.operators import calls, changes, extract, graph, imports, retrieval, store
+from lodestone.session import materialize, release
 from lodestone.sources.scan import indexable
 from lodestone.sources.tables import table, utc
 from lodestone.streaming.watch import batches_of_table
@@ -301,22 +302,37 @@ def two_hops(spark, d):
     return graph.two_hops(import_edges(spark, d))
 
 
+_kept: dict[tuple, DataFrame] = {}
+
+
+def scores(spark, d):
+    """(node, score) of the import graph: computed at the first question and kept while the table's files stay as they are."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/dependency_edges.parquet")
+    st = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+    key = (spark.sparkContext.applicationId, d, st.getModificationTime(), st.getLen())
+    if key not in _kept:
+        for old in [k for k in _kept if k[:2] == key[:2]]:
+            release(_kept.pop(old))
+        _kept[key] = materialize(graph.pagerank(import_edges(spark, d)), "scores")
+    return _kept[key]
+
+
 def pagerank(spark, d):
-    return graph.pagerank(import_edges(spark, d)).select("node", F.round("score", 9).alias("score"))
+    return scores(spark, d).select("node", F.round("score", 9).alias("score"))
 
 
 def ranked_files(spark, d):
-    return graph.ranked(graph.pagerank(import_edges(spark, d))).select("node", F.round("score", 9).alias("score"))
+    return graph.ranked(scores(spark, d)).select("node", F.round("score", 9).alias("score"))
 
 
 def repo_map(spark, d):
     e = import_edges(spark, d)
-    m = graph.repo_map(graph.pagerank(e), e, names_by_file(spark, d), max_tokens=2048)
+    m = graph.repo_map(scores(spark, d), e, names_by_file(spark, d), max_tokens=2048)
     return m.select("path", F.round("rank", 9).alias("rank"), F.array_join("symbols", ",").alias("symbols"), F.size("dependencies").alias("n_out"), F.size("dependents").alias("n_in"))
 
 
 def structural_search(spark, d):
-    s = retrieval.structural_search(graph.pagerank(import_edges(spark, d)), names_by_file(spark, d), "search load", 10)
+    s = retrieval.structural_search(scores(spark, d), names_by_file(spark, d), "search load", 10)
     return s.select("filePath", F.round("score", 6).alias("score"), "chunkName")
 
 
@@ -354,7 +370,7 @@ def hybrid_search(spark, d):
     parts = [
         retrieval.semantic_search(c, query_vector(c), 10),
         retrieval.keyword_search(c.where("content is not null").select("filePath", "content"), "return", 10),
-        retrieval.structural_search(graph.pagerank(import_edges(spark, d)), names, "load search", 10),
+        retrieval.structural_search(scores(spark, d), names, "load search", 10),
         retrieval.symbol_search(symbols(spark, d), "load", 10),
     ]
     merged = retrieval.merge(retrieval.union_strategies(*parts))
@@ -447,3 +463,51 @@ def track_merge(spark, d):
     found = retrieval.keyword_search(p, "returned", 20)
     tools = p.where(F.col("content").contains("TODO")).orderBy("filePath").limit(20)
     return retrieval.merge_tracks(found, tools, 4000).select("filePath", F.round("score", 6).alias("score"), F.length("content").alias("chars"))
+
+
+# Further functions ------------------------------------------------------------------------------------------------------------
+
+
+def name_functions(spark, d):
+    """Functions on names and source texts, over all scanned files."""
+    s = table(spark, d, "scanned_files", "path").where("path is not null").distinct()
+    dotted = F.concat(F.lit(".."), F.regexp_replace("path", r"[^A-Za-z0-9]+", "."))
+    return s.select(
+        "path",
+        text.strip_quotes(F.concat(F.lit("'"), "path", F.lit("'"))).alias("bare"),
+        text.module_path(dotted).alias("module"),
+        text.strip_annotation(F.concat(F.lit(": "), "path", F.lit(" "))).alias("annotation"),
+        text.qualified_name(F.lit("A"), F.substring_index("path", "/", -1)).alias("qualified"),
+        F.length(text.embedding_input(F.col("path"), F.repeat("path", 60))).alias("embedded"),
+        text.is_relative_import(F.col("path")).alias("relative"),
+    )
+
+
+def indexed_times(spark, d):
+    return files(spark, d).select("path", render.iso_time(F.col("last_indexed")).alias("at"))
+
+
+def file_outlines(spark, d):
+    return names_by_file(spark, d).where("file is not null").select("file", retrieval.outline(F.col("file"), F.col("definitions")).alias("outline"))
+
+
+def file_definitions(spark, d):
+    return graph.definitions(_tags(spark, d).distinct()).select("file", F.array_join("definitions", ",").alias("definitions"))
+
+
+def search_text(spark, d):
+    """Results as the text that a tool gives."""
+    from pyspark.sql import Window
+
+    top = retrieval.symbol_search(symbols(spark, d), "joinPlatform", 10)
+    return render.search_results(top.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "filePath", "startLine"))))
+
+
+def graph_with_batch(spark, d):
+    """The import graph after a batch of tags was added."""
+    return graph.add_tags(import_edges(spark, d), _tags(spark, d))
+
+
+def graph_without_deleted(spark, d):
+    gone = changes.last_event(_changes(spark, d)).where("change_type = 'deleted'").select("path")
+    return graph.remove_file(graph.replace_graph(import_edges(spark, d).limit(0), import_edges(spark, d)), gone)
