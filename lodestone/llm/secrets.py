@@ -305,6 +305,8 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
             if m.group("op") == ",":
                 continue
             _, spans = _unquote(m.group("quoted"))
+            if not kind and len(spans) == 1:
+                continue  # judged below, as a token under a neutral name
             at = m.start("quoted")
             spans = [(at + x, at + y) for x, y in spans]
             if not free(spans[0][0], spans[-1][1]):
