@@ -1,11 +1,11 @@
 """Mixing sources to target shares of the total size.
 
 A classifier is trained on a bounded sample of labelled records (multinomial naive Bayes on hashed words). It gives each
-record a posterior over the sources, to which the record's own label contributes as an observation that is wrong at a rate
-found on held-out records: membership is soft. A record's rate, how often it is used on average, is its membership times a
+record a posterior over the sources, as sure as it proves right on held-out records, to which the record's own label contributes
+as an observation that is wrong at a given rate: membership is soft. A record's rate, how often it is used on average, is its membership times a
 factor a source. Expected totals are then linear in the factors, and their matrix, the moments of membership weighted by size,
 is summed over all records in one distributed pass; projected gradient descent on the squared distance between expected totals
-and targets needs nothing else. Further passes, three at most, put right what the caps of single records take away. Rates
+and targets needs nothing else. Further passes, eight at most, put right what the caps of single records take away. Rates
 become whole repeats by a hash of the record's id and a threshold a source, chosen from a histogram over all records so that
 rounding leaves each source's total as it was fitted. Shares are reported by the records' own labels and by membership.
 """
@@ -16,6 +16,7 @@ import base64
 import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -27,12 +28,15 @@ from pyspark.sql import functions as F
 TRAIN_ROWS = 20_000
 #: Hashed features of the classifier.
 FEATURES = 1 << 14
-#: The range of the rate at which labels are taken to be wrong; where in it is found on held-out records.
-LABEL_NOISE = (1e-4, 0.2)
+#: How often a record's own label is taken to be wrong.
+LABEL_NOISE = 0.002
 #: A source that could keep its share only in a mix smaller than this part of all tokens is reported as infeasible.
 LEAST_SIZE = 0.1
 #: Passes that put right what single records' caps take away, and steps of the projected gradient between them.
-PASSES, STEPS = 3, 20_000
+PASSES, STEPS = 8, 20_000
+#: A factor may be so many times its source's cap: records that are only in part a source's would else stay below the cap that
+#: they have in any case.
+SLACK = 4.0
 #: Bins of the histogram by which rounding is put right.
 BINS = 1024
 #: The public vocabulary that counts tokens, and the pattern that goes with it.
@@ -76,30 +80,43 @@ def likelihoods(counts: np.ndarray, records: np.ndarray) -> tuple[np.ndarray, np
     return np.log(c / c.sum(axis=1, keepdims=True)).astype(np.float32), np.log(n / n.sum())
 
 
-def score(text: str, like: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Log posterior of the text alone, but for a constant. Words aren't independent: a long text's evidence is scaled down to
-    that of 20 words."""
+def evidence(text: str, like: np.ndarray) -> np.ndarray:
+    """Log likelihoods of the text, scaled down to those of 20 words, as words aren't independent."""
     f = _features(text)
-    return prior + (like[:, f].sum(axis=1) * min(1.0, 20 / len(f)) if len(f) else 0.0)
+    return like[:, f].sum(axis=1) * min(1.0, 20 / len(f)) if len(f) else np.zeros(len(like))
 
 
-def membership(scores: np.ndarray, label: np.ndarray, noise: float) -> np.ndarray:
-    """Membership in each source, row by row, given the texts' scores and the labels."""
-    k = scores.shape[1]
-    s = scores + np.log(noise / max(1, k - 1))
-    rows = np.arange(len(s))
-    s[rows, label] += np.log(1 - noise) - np.log(noise / max(1, k - 1))
-    e = np.exp(s - s.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+def _log_softmax(s: np.ndarray) -> np.ndarray:
+    s = s - s.max(axis=1, keepdims=True)
+    return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
 
 
-def label_noise(scores: np.ndarray, label: np.ndarray) -> float:
-    """How often labels are wrong, by expectation maximisation on held-out records."""
-    low, high = LABEL_NOISE
-    noise = 0.02
-    for _ in range(30 if len(label) else 0):
-        noise = float(np.clip(1 - membership(scores, label, noise)[np.arange(len(label)), label].mean(), low, high))
-    return noise
+@dataclass(frozen=True)
+class Classifier:
+    """Likelihoods and priors, the factor by which evidence has to be scaled so that posteriors are as sure as they are right,
+    and how often labels are taken to be wrong."""
+
+    like: np.ndarray
+    prior: np.ndarray
+    scale: float = 1.0
+    noise: float = LABEL_NOISE
+
+    def membership(self, found: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Membership in each source, row by row, given the texts' evidence and the labels."""
+        s = _log_softmax(self.prior + self.scale * found)
+        k = s.shape[1]
+        off = np.log(self.noise / max(1, k - 1))
+        s = s + off
+        s[np.arange(len(s)), label] += np.log(1 - self.noise) - off
+        return np.exp(_log_softmax(s))
+
+    def calibrated(self, found: np.ndarray, label: np.ndarray) -> Classifier:
+        """With the scale under which held-out labels are likeliest, given the texts alone."""
+        if not len(label):
+            return self
+        rows = np.arange(len(label))
+        scale = max(np.geomspace(0.02, 4.0, 40), key=lambda t: _log_softmax(self.prior + t * found)[rows, label].mean())
+        return replace(self, scale=float(scale))
 
 
 def fit(moments: np.ndarray, want: np.ndarray, most: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -116,7 +133,7 @@ def fit(moments: np.ndarray, want: np.ndarray, most: np.ndarray, start: np.ndarr
     return x
 
 
-def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY, least_size: float = LEAST_SIZE) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY, least_size: float = LEAST_SIZE, label_noise: float = LABEL_NOISE) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares).
 
     chosen: (doc_id, source, tokens, repeats) of each record used at least once, repeats at most its source's max_repeats.
@@ -128,7 +145,8 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     mix is as large as all feasible sources' shares allow. A source that could keep its share only in a mix of less than
     `least_size` of all tokens, or is absent, isn't feasible: it is used to its most, and wanted_share tells what the others'
     shares are then, in proportion. With least_size = 0 only absent sources are infeasible. With no records at all chosen is
-    empty and every share 0.
+    empty and every share 0. The greater label_noise, the more a text outweighs its label, and the further the shares by label
+    lie from those by membership, which are what is fitted.
     """
     from lodestone.session import materialize, spread
 
@@ -158,11 +176,11 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     # At most one row a source and feature.
     got = sample.where(~held_out).mapInPandas(count, "i int, f int, n double").groupBy("i", "f").agg(F.sum("n").alias("n")).toPandas()
     counts[got["i"], got["f"]] = got["n"]
-    like, prior = likelihoods(counts[:, :FEATURES], counts[:, FEATURES])
-    model = spark.sparkContext.broadcast((like, prior))
+    model = Classifier(*likelihoods(counts[:, :FEATURES], counts[:, FEATURES]), noise=label_noise)
+    like = spark.sparkContext.broadcast(model.like)
 
     def scored(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        return np.stack([score(t, *model.value) for t in pdf["text"]]) if len(pdf) else np.zeros((0, k)), pdf["source"].map(where).to_numpy(int)
+        return np.stack([evidence(t, like.value) for t in pdf["text"]]) if len(pdf) else np.zeros((0, k)), pdf["source"].map(where).to_numpy(int)
 
     def rate_labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -170,7 +188,8 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
             yield pd.DataFrame({"label": label, "s": list(s)})
 
     held = sample.where(held_out).mapInPandas(rate_labels, "label int, s array<double>").toPandas()
-    noise = label_noise(np.stack(held["s"].to_numpy()) if len(held) else np.zeros((0, k)), held["label"].to_numpy(int))
+    model = model.calibrated(np.stack(held["s"].to_numpy()) if len(held) else np.zeros((0, k)), held["label"].to_numpy(int))
+    judge = replace(model, like=np.zeros((0, 0)))  # the likelihoods are broadcast already
     if os.path.isfile(vocabulary):  # executors get it from the driver
         spark.sparkContext.addFile(vocabulary)
 
@@ -179,7 +198,7 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
         path = sent if os.path.isfile(sent) else vocabulary
         for pdf in batches:
             s, label = scored(pdf)
-            yield pd.DataFrame({"id": pdf["id"], "label": label, "tokens": [count_tokens(t, path) for t in pdf["text"]], "member": list(membership(s, label, noise))})
+            yield pd.DataFrame({"id": pdf["id"], "label": label, "tokens": [count_tokens(t, path) for t in pdf["text"]], "member": list(judge.membership(s, label))})
 
     # Texts end here; of several rows under an id one is kept.
     weighed = spread(used).mapInPandas(weigh, "id bigint, label int, tokens bigint, member array<double>")
@@ -207,13 +226,13 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
         return out
 
     def first(m, label, tokens, u):
-        return np.concatenate([np.bincount(label, tokens, k), ((m * tokens[:, None]).T @ m).ravel()])
+        return np.concatenate([np.bincount(label, tokens, k), (cap[label] * tokens) @ m, ((m * tokens[:, None]).T @ m).ravel()])
 
-    got = dense(summed(first), k + k * k)
-    size, moments = got[:k], got[k:].reshape(k, k)
+    got = dense(summed(first), 2 * k + k * k)
+    size, room, moments = got[:k], got[k : 2 * k], got[2 * k :].reshape(k, k)
     total = size.sum()
+    room = np.where(size > 0, room, 0.0)  # what the records' caps allow each source, by membership
     # The mix's size: the largest at which every feasible source keeps its share within its cap.
-    room = size * cap
     reach = np.divide(room, share, out=np.full(k, np.inf), where=share > 0)
     feasible = (share == 0) | (room > 0) & (reach >= least_size * total)
     bound = feasible & (share > 0)
@@ -226,9 +245,9 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
 
     # Expected totals by membership; what infeasible sources give to others' totals is small and left to the passes below.
     aim = want.copy()
-    x = np.minimum(np.divide(want, size, out=np.zeros(k), where=size > 0), cap)
+    x = np.minimum(np.divide(want, size, out=np.zeros(k), where=size > 0), cap).astype(float)
     for _ in range(PASSES if total else 0):
-        x = fit(moments, aim, cap.astype(float), x)
+        x = fit(moments, aim, SLACK * cap, x)
 
         def reached(m, label, tokens, u, x=x):
             return (rate(x, m, label) * tokens) @ m
