@@ -58,3 +58,10 @@ def test_shipping_writes_nothing_into_the_package(tmp_path):
     assert sorted(str(p) for p in tmp_path.rglob("*")) == before
     names = zipfile.ZipFile(io.BytesIO(made)).namelist()
     assert "lodestone/session.py" in names and "lodestone/operators/store.py" in names and not [n for n in names if not n.endswith(".py")]
+
+
+def test_session_defaults_leave_a_running_session_alone(spark):
+    from lodestone.session import build_session
+
+    same = build_session("other", shuffle_partitions=None)
+    assert same.sparkContext.applicationId == spark.sparkContext.applicationId and same.conf.get("spark.sql.session.timeZone") == "UTC" and same.sparkContext.appName != "other"
