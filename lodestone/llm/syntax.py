@@ -56,26 +56,36 @@ def _valid(lang: Language, text: str) -> bool:
         raise Unjudged from e
 
 
-def check(text: str, ext: str) -> tuple[str, int] | None:
+def _place(lang: Language, text: str) -> tuple[int, list[str], int] | None:
+    """(token, tokens, line) at which an invalid text stops being parsed, sought once more with an empty memo; None if the parser
+    can't tell."""
+    for _ in range(2):
+        try:
+            token = lang.failure(text)
+            return None if token is None else (token, lang.lex(text), _line_of(lang, text, token))
+        except (RecursionError, MemoryError, IndexError, KeyError):
+            lang.grammar.fresh(at_once=True)
+    return None
+
+
+def check(text: str, ext: str) -> tuple[str, int | None] | None:
     """None if text is valid for the extension, else (cause, line). Raises Unjudged if the parser can't tell.
 
     cause: conflict (a merge marker stands where parsing failed or before), truncated (the text ends too early),
-    other_language (it is valid in another one), or syntax.
+    other_language (it is valid in another one), syntax, or unknown: the text is invalid, but the parser failed where it looked for
+    the place, whose line is then null, or at another language.
     """
     if sys.getrecursionlimit() < DEPTH:
         sys.setrecursionlimit(DEPTH)
     lang = language(EXTENSIONS[ext])
     if _valid(lang, text):
         return None
-    try:
-        token = lang.failure(text)
-        tokens = lang.lex(text)
-        line = _line_of(lang, text, token if token is not None else len(tokens))
-    except (RecursionError, MemoryError, IndexError, KeyError):
-        token, tokens, line = 0, [], 1
+    place = _place(lang, text)
+    known = place is not None
+    token, tokens, line = place or (0, [], None)
     lines = text.split("\n")
     marks = [text.count("\n", 0, m.start()) + 1 for m in _CONFLICT.finditer(text)]
-    if marks and min(marks) <= line + 1 and any(abs(m - line) <= 60 for m in marks):
+    if known and marks and min(marks) <= line + 1 and any(abs(m - line) <= 60 for m in marks):
         return "conflict", line
     for name in ("python", "go", "java", "typescript", "javascript"):
         if name != lang.name and not (name == "javascript" and lang.name == "typescript"):
@@ -84,8 +94,10 @@ def check(text: str, ext: str) -> tuple[str, int] | None:
                 if len(text.strip()) > 40 and _valid(other, text):
                     return "other_language", line
             except Unjudged:
-                continue
-    if token is None or token >= len(tokens) - 1 or line >= len(lines) - 1:
+                known = False
+    if not known:
+        return "unknown", line
+    if token >= len(tokens) - 1 or line >= len(lines) - 1:
         return "truncated", line
     return "syntax", line
 

@@ -189,3 +189,15 @@ def test_canonical_text(ext, text, lines):
 
 def test_every_extension_has_a_language():
     assert all(language(x).name == x for x in set(EXTENSIONS.values()))
+
+
+def test_a_failure_of_the_parser_is_no_cause(spark, monkeypatch):
+    deep = "x = " + "not " * 100_000 + "1\n"  # no JavaScript; whether it is Python the parser can't tell
+    assert syntax.check(deep, "js") == ("unknown", 1)
+    assert syntax.check("a();\nb();\nc(1 2);\nd();\ne();\n", "js") == ("syntax", 3)
+
+    def fails(text):
+        raise RecursionError
+
+    monkeypatch.setattr(language("javascript"), "failure", fails)
+    assert syntax.check("a();\nb();\nc(1 2);\nd();\ne();\n", "js") == ("unknown", None)
