@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that speak for a kind of task, in order of precedence.
@@ -47,15 +47,18 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"))
 
 
-def task_scores(text: Column) -> dict[str, Column]:
-    """How many of each task's words stand in the text."""
-    words = words_of(text)
+def task_scores(text: Column, words: Column | None = None) -> dict[str, Column]:
+    """How many of each task's words stand in the text, or in its words, if they are known."""
+    words = words if words is not None else words_of(text)
     return {task: F.size(F.array_intersect(words, F.array(*map(F.lit, own)))) for task, own in TASK_WORDS.items()}
 
 
 def detect_task(text: Column) -> Column:
     """The task with most words in the text, the first of equals; research if there is none."""
-    scores = task_scores(text)
+    return best_task(task_scores(text))
+
+
+def best_task(scores: dict[str, Column]) -> Column:
     best = F.greatest(*scores.values())
     out = F.when(best == 0, "research")
     for task, s in scores.items():
@@ -114,12 +117,13 @@ def by_task(task: Column, values: dict[str, str], default: str = "research") ->
     return out
 
 
-def objective(text: Column, task: Column, templates: dict[str, str], suffixes: dict[str, str], note: str) -> Column:
+def objective(text: Column, task: Column, templates: dict[str, str], suffixes: dict[str, str], note: str, bare: Column | None = None) -> Column:
     """The task's template around the subject where the leading phrase could be taken off, else the text and the task's suffix;
-    below it a note and the original. Templates hold `{subject}`."""
-    framed = F.replace(by_task(task, templates), F.lit("{subject}"), subject(text, task))
+    below it a note and the original. Templates hold `{subject}`. bare is the subject, if it is known."""
+    bare = bare if bare is not None else subject(text, task)
+    framed = F.replace(by_task(task, templates), F.lit("{subject}"), bare)
     plain = F.concat(text, F.lit(". "), by_task(task, suffixes))
-    return F.concat(F.when(was_stripped(text, task), framed).otherwise(plain), F.lit("\n" + note + "\nOriginal request: "), text)
+    return F.concat(F.when(bare != text, framed).otherwise(plain), F.lit("\n" + note + "\nOriginal request: "), text)
 
 
 def numbered(task: Column, checks: dict[str, list[str]], common: list[str]) -> Column:
@@ -214,10 +218,27 @@ def compose(*sections: Column) -> Column:
 
 def enhanced(text: Column, task: Column | None = None, level: Column | None = None) -> Column:
     """The whole composed text for a request: context first, the objective near the end. A light task has only the rules, the
-    style, the objective and when it is done; null for a blank request. task and level are detected if they aren't given."""
+    style, the objective and when it is done; null for a blank request. task and level are detected if they aren't given.
+    Over tables with_enhanced() is much cheaper, since within one expression they are computed again wherever they are used."""
     t = normalize(text)
     task = task if task is not None else detect_task(t)
     level = level if level is not None else detect_intensity(t, task)
+    return _composed(t, task, level, subject(t, task))
+
+
+def with_enhanced(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with the column `out`, the composed text for the request in the column `text`. The normalised text, its words and
+    their counts, its task, level and subject are columns on the way, so each is computed once a row."""
+    own = {c: f"_request_{c}" for c in ("text", "words", "task", "level", "subject", *TASK_WORDS)}
+    t, words, task, level, bare = (F.col(own[c]) for c in ("text", "words", "task", "level", "subject"))
+    df = df.withColumn(own["text"], normalize(F.col(text))).withColumn(own["words"], words_of(t))
+    df = df.withColumns({own[k]: s for k, s in task_scores(t, words).items()})
+    df = df.withColumn(own["task"], best_task({k: F.col(own[k]) for k in TASK_WORDS}))
+    df = df.withColumn(own["level"], detect_intensity(t, task)).withColumn(own["subject"], subject(t, task))
+    return df.withColumn(out, _composed(t, task, level, bare)).drop(*own.values())
+
+
+def _composed(t: Column, task: Column, level: Column, bare: Column) -> Column:
     full = level != "light"
     fixed = lambda name, when: section(name, F.lit(BLOCKS[name]), when)
     out = compose(
@@ -229,7 +250,7 @@ def enhanced(text: Column, task: Column | None = None, level: Column | None = No
         fixed("grounding", full),
         section("verification", numbered(task, CHECKS, COMMON_CHECKS), full),
         section("concise", F.lit(BLOCKS["concise"])),
-        section("objective", objective(t, task, TEMPLATES, SUFFIXES, NOTE)),
+        section("objective", objective(t, task, TEMPLATES, SUFFIXES, NOTE, bare)),
         section("done_criteria", by_task(task, DONE)),
     )
     return F.when(t != "", out)

@@ -449,7 +449,7 @@ def file_detail(spark, d):
 
 def prompt_sections(spark, d):
     """Each text as a request, composed."""
-    t = documents(spark, d).where("text is not null").select("doc_id", prompts.enhanced(F.col("text")).alias("body"))
+    t = prompts.with_enhanced(documents(spark, d).where("text is not null"), "text", "body")
     return t.select("doc_id", F.sha2("body", 256).alias("hash"), F.length("body").alias("chars"))
 
 

@@ -175,3 +175,14 @@ def test_batches_of_a_model_fall_back_to_single_texts():
         return [sum(x) for x in part]
 
     assert embedded([[i] for i in range(12)], run, 5) == list(range(12)) and calls == [5, 5, 1, 1, 1, 1, 1, 2]
+
+
+def test_requests_of_a_table_are_composed_from_columns(spark, folder):
+    from lodestone.plans import index_queries
+
+    texts = [("fix the crash in a.py",), ("quick rename",), ("  explain   how it works ",), ("refactor and simplify <b>",), ("",), (None,)]
+    df = spark.createDataFrame(texts, "text string")
+    both = prompts.with_enhanced(df.withColumn("one", prompts.enhanced(F.col("text"))), "text", "body")
+    assert both.columns == ["text", "one", "body"] and both.where("not one <=> body").count() == 0 and both.where("body is null").count() == 2
+    plan = index_queries.prompt_sections(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("array_intersect(") == 5  # each is computed once a row
